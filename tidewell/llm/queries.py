@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, topk_search, url_filter
-from .shared import table
+from . import chat_tree, decontam, sharding, topk_search, url_filter, warc_zip
+from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+#: Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", asked), (-1, 1, "assistant", asked)], "conv_id long, turn long, role string, text string")
+    tokenizer = f"{TOKENIZERS}/byte_bpe_50k.json"
+    trees = chat_tree.format_chat_trees(table(spark, sf_dir, "conversations").select(extra.columns).unionByName(extra), tokenizer=tokenizer)
+    return chat_tree.read_chat_trees(cut(trees, "chat-trees"), tokenizer=tokenizer)
+
+
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc_zip.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "packages"))
+    return warc_zip.read_archives(cut(written, "packages-written"), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -23,13 +40,45 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op5_kd_top_k, op7_hypergeometric_shards, op10_url_range_join)}
+QUERIES = {f.__name__: f for f in (op2_chat_prefix_tree, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op10_url_range_join)}
+
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _c in chat_tree.CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
 ORACLES = {
+    "op2_chat_prefix_tree": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length({_ESCAPED.format("role")}) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id""",
+    "op4_warc_zip": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f""",
+    "op8_prefix_set_join": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, w[s : s + 9] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0)),
+k AS (SELECT DISTINCT len(win) AS n FROM i),
+p AS (SELECT r, n, s, w[s : s + n - 1] AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d JOIN k ON len(w) >= n)),
+h AS (SELECT r, s, n, item_id FROM p JOIN i USING (win)),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS x FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
     "op5_kd_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
