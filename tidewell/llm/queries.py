@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, sharding, topk_search, url_filter, warc_zip
+from . import chat_tree, decontam, near_dedup, sharding, topk_search, url_filter, warc_zip
 from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
@@ -44,11 +44,15 @@ def op8_prefix_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_prefix_tree, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op10_url_range_join)}
+QUERIES = {f.__name__: f for f in (op2_chat_prefix_tree, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat_tree.CONTROL:

@@ -52,7 +52,9 @@ _powers = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        _powers[base] = np.cumprod(np.concatenate([[1], np.full(max(n, 64) - 1, base, U)]).astype(U), dtype=U)
+        factors = np.full(max(n, 64), base, U)
+        factors[0] = 1
+        _powers[base] = np.cumprod(factors, dtype=U)
     return _powers[base][:n]
 
 
