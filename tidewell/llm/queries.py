@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, near_dedup, sharding, topk_search, url_filter, warc_zip
+from . import chat_tree, decontam, knn_quality, near_dedup, sharding, topk_search, url_filter, warc_zip
 from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
@@ -16,6 +16,21 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: Documents from this score on are kept.
+KEEP_SCORE = 0.3
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = knn_quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = docs.select("doc_id", held_out(5, 0).alias("held_out"), knn_quality.quality_score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= KEEP_SCORE).cast("int"))
+
+
 def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", asked), (-1, 1, "assistant", asked)], "conv_id long, turn long, role string, text string")
@@ -52,7 +67,7 @@ def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_prefix_tree, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
+QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat_tree.CONTROL:
