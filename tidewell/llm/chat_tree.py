@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,20 @@ TREES = (
     "conversations array<struct<conv_id: bigint, leaf: int>>"
 )
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
+TREE_ROWS = pa.schema(
+    [
+        ("tree_id", pa.string()),
+        ("input_ids", pa.list_(pa.int32())),
+        ("position_ids", pa.list_(pa.int32())),
+        ("loss_mask", pa.list_(pa.bool_())),
+        ("nodes", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("attend", pa.list_(_SPAN))]))),
+        ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())]))),
+    ]
+)
+READ_ROWS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+#: Tokens of trees that a task holds before it hands them on.
+FLUSH = 100_000
 
 
 def escape(text: str) -> str:
@@ -102,36 +116,36 @@ class _Tree:
         self.convs.append({"conv_id": conv_id, "leaf": self.path[-1]})
 
     def row(self) -> dict:
-        return {"tree_id": str(self.convs[0]["conv_id"]), "input_ids": self.ids, "position_ids": self.pos, "loss_mask": self.loss, "nodes": self.nodes, "conversations": self.convs}
+        return {"tree_id": str(self.convs[0]["conv_id"]), "input_ids": np.array(self.ids, np.int32), "position_ids": np.array(self.pos, np.int32), "loss_mask": np.array(self.loss, bool), "nodes": self.nodes, "conversations": self.convs}
+
 
+def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
 
-def _emit(parts: Iterator[pd.DataFrame], tokenizer: str, max_tokens: int, max_convs: int) -> Iterator[pd.DataFrame]:
+
+def _emit(batches: Iterator[pa.RecordBatch], tokenizer: str, max_tokens: int, max_convs: int) -> Iterator[pa.RecordBatch]:
     tok = _tokenizer(tokenizer)
-    tree, last = _Tree(), []
-    for part in parts:
-        out = []
-        for conv_id, turns in zip(part["conv_id"], part["turns"]):
-            turns = [(t["role"], t["text"]) for t in turns]
-            conv_id = None if pd.isna(conv_id) else int(conv_id)
-            shared = 0
-            while shared < min(len(turns), len(last)) and turns[shared] == last[shared]:
-                shared += 1
-            texts = [x for t in turns[shared:] for x in wrap(*t)]
-            ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            pieces = [ids[i : i + 3] for i in range(0, len(ids), 3)]
-            if tree.convs and (not shared or len(tree.convs) >= max_convs or len(tree.ids) + sum(map(len, ids)) > max_tokens):
-                out.append(tree.row())
-                if shared:
-                    texts = [x for t in turns[:shared] for x in wrap(*t)]
-                    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-                    pieces = [ids[i : i + 3] for i in range(0, len(ids), 3)] + pieces
-                tree, shared = _Tree(), 0
-            tree.add(conv_id, turns, shared, pieces)
-            last = turns
-        if out:
-            yield pd.DataFrame(out)
+    split = lambda turns: [[e.ids for e in tok.encode_batch_fast(list(wrap(*t)), add_special_tokens=False)] for t in turns]
+    tree, last, out, held = _Tree(), [], [], 0
+    for batch in batches:
+        for first in range(0, batch.num_rows, 64):
+            for row in batch.slice(first, 64).to_pylist():
+                turns, shared = [(t["role"], t["text"]) for t in row["turns"]], 0
+                while shared < min(len(turns), len(last)) and turns[shared] == last[shared]:
+                    shared += 1
+                pieces = split(turns[shared:])
+                new = sum(len(x) for piece in pieces for x in piece)
+                if tree.convs and (not shared or len(tree.convs) >= max_convs or len(tree.ids) + new > max_tokens):
+                    held += len(tree.ids)
+                    out.append(tree.row())
+                    tree, pieces, shared = _Tree(), split(turns[:shared]) + pieces, 0
+                    if held > FLUSH:
+                        yield _rows(out, TREE_ROWS)
+                        out, held = [], 0
+                tree.add(row["conv_id"], turns, shared, pieces)
+                last = turns
     if tree.convs:
-        yield pd.DataFrame([tree.row()])
+        yield _rows([*out, tree.row()], TREE_ROWS)
 
 
 def format_chat_trees(conversations: DataFrame, *, tokenizer: str, max_tree_tokens: int = 16384, max_tree_conversations: int = 256) -> DataFrame:
@@ -150,31 +164,31 @@ def format_chat_trees(conversations: DataFrame, *, tokenizer: str, max_tree_toke
     keys = [f"_k{n}" for n in range(1, 5)]
     whole = whole.select("conv_id", "turns", *[F.xxhash64(F.slice("turns", 1, n)).alias(f"_k{n}") for n in range(1, 5)])
     ordered = whole.repartitionByRange(*keys, "conv_id").sortWithinPartitions(*keys, "turns", "conv_id").select("conv_id", "turns")
-    return ordered.mapInPandas(lambda parts: _emit(parts, tokenizer, max_tree_tokens, max_tree_conversations), TREES)
+    return ordered.mapInArrow(lambda batches: _emit(batches, tokenizer, max_tree_tokens, max_tree_conversations), TREES)
 
 
-def _read(parts: Iterator[pd.DataFrame], tokenizer: str) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     tok = _tokenizer(tokenizer)
     text = lambda ids: tok.decode(ids.tolist(), skip_special_tokens=False)
-    for part in parts:
+    for batch in batches:
         out = []
-        for row in part.itertuples():
-            ids, pos, loss, known = np.asarray(row.input_ids), np.asarray(row.position_ids), np.asarray(row.loss_mask, bool), {}
-            for conv in row.conversations:
+        for i in range(batch.num_rows):
+            ids, pos, loss = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("input_ids", "position_ids", "loss_mask"))
+            nodes, known = batch.column("nodes")[i].as_py(), {}
+            for conv in batch.column("conversations")[i].as_py():
                 if (leaf := conv["leaf"]) not in known:
-                    node = row.nodes[leaf]
-                    at = np.concatenate([np.arange(x["begin"], x["end"]) for x in [*node["attend"], node]])
+                    at = np.concatenate([np.arange(x["begin"], x["end"]) for x in [*nodes[leaf]["attend"], nodes[leaf]]])
                     if not np.array_equal(pos[at], np.arange(len(at))):
                         raise ValueError(f"positions of conversation {conv['conv_id']} have gaps")
                     formatted, learnt = text(ids[at]), unescape(text(ids[at][loss[at]]))
                     turns = parse(formatted)
                     said = "".join(f"{role}\n{t}\n" for role, t in turns)
                     known[leaf] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(formatted))
-                out.append((conv["conv_id"], *known[leaf]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")]).astype({"conv_id": "Int64"})
+                out.append(dict(zip(READ_ROWS.names, (conv["conv_id"], *known[leaf]), strict=True)))
+        yield _rows(out, READ_ROWS)
 
 
 def read_chat_trees(trees: DataFrame, *, tokenizer: str) -> DataFrame:
     """Per conversation what its path through the tree says: number of turns, digest of roles and texts, characters
     and digest of what is under the loss mask, characters of the formatted conversation."""
-    return trees.mapInPandas(lambda parts: _read(parts, tokenizer), READ)
+    return trees.mapInArrow(lambda batches: _read(batches, tokenizer), READ)
