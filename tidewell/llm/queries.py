@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, knn_quality, near_dedup, sharding, topk_search, url_filter, warc_zip
+from . import chat_tree, decontam, knn_quality, near_dedup, packing, sharding, topk_search, url_filter, warc_zip
 from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
@@ -39,6 +39,10 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_chat_trees(cut(trees, "chat-trees"), tokenizer=tokenizer)
 
 
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc_zip.write_archives(table(spark, sf_dir, "pages"), scratch(spark, "packages"))
     return warc_zip.read_archives(cut(written, "packages-written"), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,7 +71,7 @@ def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
+QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat_tree.CONTROL:
