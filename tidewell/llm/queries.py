@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, knn_quality, near_dedup, packing, sharding, topk_search, url_filter, warc_zip
+from . import chat_tree, decontam, knn_quality, near_dedup, ngram_lm, packing, sharding, topk_search, url_filter, warc_zip
 from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
@@ -52,6 +52,13 @@ def op5_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs.filter(~F.coalesce(held_out(7, 2), F.lit(False))), F.col("text"))
+    out = ngram_lm.score_texts(docs, model)
+    return out.select("doc_id", held_out(7, 2).alias("held_out"), *out.columns[1:])
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -71,7 +78,7 @@ def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
+QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op6_elias_fano_lm, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat_tree.CONTROL:
