@@ -7,8 +7,9 @@ earliest dart of each coordinate is the signature; two documents agree in a coor
 their weighted Jaccard similarity. About ``k ln k + 2k`` darts are thrown a document, however long it is.
 
 Signatures are cut into bands. Documents of a band bucket are first held against one of them, a different one in
-each bucket, by exact similarity, and joined; what is then still apart in a bucket is compared pair by pair. So a
-bucket of thousands of copies costs a comparison a row, and no link found by a bucket is dropped.
+each bucket, by exact similarity, and joined; what is then still apart in a bucket is compared with all others there: as pairs
+in small buckets, and in blocks of bounded size, which hand on links only, in large ones. So a bucket of thousands
+of copies costs a comparison a row, and no link that shares a bucket is dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .textcore import WORDS, U, blocks, mix, powers, shingles, words
 
 SKETCH = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
 PAIR = "a long, b long"
+#: Buckets of at most so many rows are compared as pairs; of larger ones, blocks of so many rows with so many.
+PAIRED, ASKED, HELD = 8, 256, 1024
 
 
 def dart_signatures(n_docs: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray | None = None, k: int = 192, seed: int = 1) -> np.ndarray:
@@ -134,6 +137,28 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
+def _blocks_alike(asked: pa.Table, held: pa.Table, least: float) -> pa.Table:
+    """Pairs of other labels that are alike: each asked set is laid out over the held sets' elements."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if asked.num_rows and held.num_rows:
+        rid, label = held.column("rid").to_numpy(), held.column("label").to_numpy()
+        data = held.column("shingles").to_pylist()
+        size = np.array([len(x) // 4 for x in data])
+        known, code = np.unique(np.frombuffer(b"".join(data), np.uint32), return_inverse=True)
+        begin, on = np.cumsum(size) - size, np.zeros(len(known) + 1, np.int32)
+        for x, lx, sx in zip(asked.column("rid").to_pylist(), asked.column("label").to_pylist(), asked.column("shingles").to_pylist(), strict=True):
+            own = np.frombuffer(sx, np.uint32)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            at = at[known[at] == own]
+            on[at] = 1
+            common = np.add.reduceat(on[code], begin)
+            on[at] = 0
+            near = (common >= least * (len(own) + size - common) - 1e-9) & (label != lx)
+            out_a.append(np.minimum(x, rid[near]))
+            out_b.append(np.maximum(x, rid[near]))
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, label (the smallest node that it is connected with) of all nodes of ``edges`` (a, b): smallest labels
     travel along edges and labels are replaced by their own labels until nothing changes."""
@@ -182,27 +207,39 @@ def near_duplicates(
     pivots = banded.groupBy("bucket").agg(F.max_by("rid", F.xxhash64("rid", "bucket")).alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = cut(banded.join(pivots, "bucket"), "buckets")
 
-    def texts(pairs: DataFrame, name: str) -> DataFrame:
+    # Sets of all that share a bucket, taken once; these grow with the corpus, so nothing here is broadcast.
+    sharing = shared.select("rid").distinct().hint("merge")
+    sets = cut(sketches.select("rid", "shingles").join(sharing, "rid", "left_semi"), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
         """The pairs that are alike."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        sets = cut(sketches.select("rid", "shingles").join(ends, "rid", "left_semi"), f"{name}-sets")
-        told = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
-        return told.select("a", "b", "sa", "sb").mapInArrow(lambda b: _alike(b, similarity), PAIR)
+        left, right = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(lambda b: _alike(b, similarity), PAIR)
 
     stars = cut(shared.filter("rid <> pivot").select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct(), "stars")
-    edges = cut(texts(stars, "stars"), "links")
+    edges = cut(alike(stars), "links")
     labels = components(edges)
-    own = F.coalesce("label", "rid")
-    labelled = shared.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "pivot", own.alias("label"))
+    named = shared.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "pivot", F.coalesce("label", "rid").alias("label"))
     heads = labels.select(F.col("node").alias("pivot"), F.col("label").alias("head"))
-    labelled = labelled.join(heads, "pivot", "left").select("bucket", "rid", "label", F.coalesce("head", "pivot").alias("head"))
-    apart = labelled.filter("label <> head")
-    split = labelled.join(apart.select("bucket").distinct(), "bucket", "left_semi")
-    one, other = apart.select("bucket", F.col("rid").alias("x"), F.col("label").alias("lx")), split.select("bucket", F.col("rid").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("head")).alias("main"))
+    named = named.join(heads, "pivot", "left").select("bucket", "rid", "label", (F.col("label") == F.coalesce("head", "pivot")).alias("main"))
+    sizes = named.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(~F.col("main")).alias("m")).filter("m > 0")
+    apart = cut(named.join(sizes, "bucket"), "apart")
+    # Buckets of few rows: pairs, a bounded number a row.
+    few = apart.filter(F.col("n") <= PAIRED)
+    one, other = few.filter("NOT main").select("bucket", F.col("rid").alias("x"), F.col("label").alias("lx")), few.select("bucket", F.col("rid").alias("y"), F.col("label").alias("ly"), "main")
     rest = one.join(other, "bucket").filter((F.col("lx") != F.col("ly")) & (F.col("main") | (F.col("x") < F.col("y"))))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = cut(rest, "rest")
-    more = cut(texts(rest, "rest"), "more-links")
+    more = alike(cut(rest, "rest"))
+    # Larger ones: each row that stands apart against all rows, block by block.
+    block = lambda size, count: F.pmod(F.xxhash64("rid"), F.ceil(F.col(count) / size)).cast("int")
+    each = lambda size, count: F.explode(F.sequence(F.lit(0), F.ceil(F.col(count) / size).cast("int") - 1))
+    many = apart.filter(F.col("n") > PAIRED).join(sets, "rid")
+    asked = many.filter("NOT main").select("bucket", block(ASKED, "m").alias("i"), each(HELD, "n").alias("j"), "rid", "label", "shingles")
+    held = many.select("bucket", each(ASKED, "m").alias("i"), block(HELD, "n").alias("j"), "rid", "label", "shingles")
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])  # columns of its own beside those of ``asked``
+    by = ["bucket", "i", "j"]
+    found = asked.groupBy(by).cogroup(held.groupBy(by)).applyInArrow(lambda x, y: _blocks_alike(x, y, similarity), PAIR)
+    more = cut(more.unionByName(found.distinct()), "more-links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     classes = sketches.select("rid", "doc_id", "text_hash", *keys).join(firsts.withColumnRenamed("rid", "node"), keys).join(labels, "node", "left")
