@@ -8,6 +8,8 @@ import numpy as np
 
 U = np.uint64
 ONE = U(1)
+#: Place of the k-th set bit of each byte.
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -45,6 +47,7 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str) -> None:
         self.high, self.low, self.ones = (arrays[f"{name}.{x}"] for x in ("high", "low", "ones"))
         self.n, self.bits = (int(x) for x in arrays[f"{name}.shape"])
+        self.last = int(self.get(np.array([self.n - 1]))[0]) >> self.bits if self.n else 0
         self.zeros = (np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones).astype(np.int64)
 
     @staticmethod
@@ -53,7 +56,7 @@ class EliasFano:
         bits = max(0, int(np.log2(top / n))) if n and top > n else 0
         values = values.astype(U)
         at = (values >> U(bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(((int(at[-1]) if n else 0) // 64 + 2) * 64, np.uint8)
+        unary = np.zeros(((int(at[-1]) if n else 0) // 64 + 2) * 64, np.uint8)  # some zeros at the end
         unary[at] = 1
         high = np.packbits(unary, bitorder="little").view(U)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])[:-1].astype(np.int64)
@@ -67,15 +70,17 @@ class EliasFano:
         return {f"{name}.high": high, f"{name}.low": low, f"{name}.ones": ones, f"{name}.shape": np.array([n, bits], np.int64)}
 
     def _in_word(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th set bit."""
-        place = np.zeros(len(word), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & U((1 << width) - 1)).astype(np.int64)
+        """Place of the k-th set bit: halves down to a byte, and the byte by a table."""
+        k = k.astype(np.uint8)
+        place = np.zeros(len(word), np.uint8)
+        for width in (32, 16, 8):
+            count = np.bitwise_count(word & U((1 << width) - 1))
             over = k >= count
-            k = np.where(over, k - count, k)
-            place += over * width
-            word = np.where(over, word >> U(width), word)
-        return place
+            k -= count * over
+            shift = over * np.uint8(width)
+            place += shift
+            word = word >> shift.astype(U)
+        return (place + IN_BYTE[(word & U(255)).astype(np.int64), np.minimum(k, 7)]).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -89,21 +94,29 @@ class EliasFano:
         at = word * 64 + self._in_word(self.high[word], i - self.ones[word])
         return (((at - i).astype(U) << U(self.bits)) | self._low(i)).astype(np.int64)
 
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        """How many numbers have a high part below ``h``: what stands before the zero of number h - 1."""
-        out = np.zeros(len(h), np.int64)
-        some = h > 0
-        j = h[some] - 1
+    def _zero(self, j: np.ndarray) -> np.ndarray:
+        """Place of the j-th zero; past the end where there is none."""
         word = np.searchsorted(self.zeros, j, "right") - 1
-        inside = word < len(self.high)
-        at = word * 64 + self._in_word(~self.high[np.minimum(word, len(self.high) - 1)], j - self.zeros[word])
-        out[some] = np.where(inside, at - j, self.n)
-        return np.minimum(out, self.n)
+        return word * 64 + self._in_word(~self.high[word], j - self.zeros[word])
+
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers with high part ``h`` begin and end: the run of ones behind zero number h - 1."""
+        h = np.minimum(h, self.last + 1)
+        at = np.zeros(len(h), np.int64)
+        some = h > 0
+        at[some] = self._zero(h[some] - 1) + 1
+        shift = (at & 63).astype(U)
+        rest = ~(self.high[np.minimum(at >> 6, len(self.high) - 1)] >> shift)
+        run = np.bitwise_count((rest & (~rest + ONE)) - ONE).astype(np.int64)
+        over = np.flatnonzero(run >= 64 - (at & 63))  # goes on in the next word
+        run[over] = self._zero(h[over]) - at[over]
+        left = at - h
+        return np.minimum(left, self.n), np.minimum(left + run, self.n)
 
     def successor(self, target: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """First place from ``begin`` on, ``end`` at most, of a number that is not below ``target``."""
         h, low = target >> self.bits, target.astype(U) & U((1 << self.bits) - 1)
-        left, right = self._bucket(h), self._bucket(h + 1)
+        left, right = self._bucket(h)
         left, right = np.clip(left, begin, end), np.clip(right, begin, end)
         open_ = np.flatnonzero(left < right)
         while len(open_):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, map_arrays, write_arrays
 from .shared import cut, scratch
-from .textcore import SPACED, U, blocks, words
+from .textcore import SPACED, U, blocks, mix, words
 
 BLOCK = 4 << 20
 #: The hash that stands for the end of a text in the vocabulary.
@@ -94,34 +94,50 @@ class Trie:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.m.tokens + self.m.vocabulary + 1)
 
-    def find(self, n: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, log10 probability, log10 back-off of the context) at level n; for parents and words from 0."""
+    def _by_shard(self, n: int, parents: np.ndarray) -> Iterator[tuple[int, int, tuple[str, int, int, int]]]:
+        """(begin, end, file) of runs of sorted ``parents``; contexts without file have no successors."""
         level = self.m.levels[n - 2]
-        code, back = np.unique(parent * (self.m.vocabulary + 1) + word, return_inverse=True)
-        parent, word = code // (self.m.vocabulary + 1), code % (self.m.vocabulary + 1)
-        node, p, off = np.full(len(code), -1, np.int64), np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
-        shard = parent * level["shards"] // level["parents"]
-        edges = np.searchsorted(shard, np.arange(level["shards"] + 1))
-        for s, (uri, low, first, size) in enumerate(level["files"]):
-            a, b = edges[s], edges[s + 1]
-            if a == b or not size:
-                continue
+        edges = np.searchsorted(parents * level["shards"] // level["parents"], np.arange(level["shards"] + 1))
+        for s in np.flatnonzero(np.diff(edges)):
+            if level["files"][s][3]:
+                yield edges[s], edges[s + 1], level["files"][s]
+
+    def backoff(self, n: int, parents: np.ndarray) -> np.ndarray:
+        """log10 back-off of contexts at level n."""
+        some, back = np.unique(parents, return_inverse=True)
+        off = np.zeros(len(some), np.float32)
+        for a, b, (uri, low, _, _) in self._by_shard(n, some):
+            off[a:b] = self._arrays(uri)["backoff"][some[a:b] - low] / -float(STEPS)
+        return off[back]
+
+    def find(self, n: int, parent: np.ndarray, word: np.ndarray, scores: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """(node or -1, log10 probability where found, else back-off of the context) at level n; from 0 on both."""
+        width = self.m.vocabulary + 1
+        code, back = np.unique(parent * width + word, return_inverse=True)
+        parent, word = np.divmod(code, width)
+        node, p = np.full(len(code), -1, np.int64), np.zeros(len(code), np.float32)
+        heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(code) else np.zeros(0, np.int64)
+        stops = np.append(heads[1:], len(code))
+        for a, b, (uri, low, first, _) in self._by_shard(n, parent[heads]):
             arrays, pointers, successors = self._level(uri)
-            own, w = parent[a:b] - low, word[a:b]
+            own = parent[heads[a:b]] - low
             begin, end = pointers.get(own), pointers.get(own + 1)
-            off[a:b] = arrays["backoff"][own] / -float(STEPS)
-            some = np.flatnonzero(begin < end)
-            begin, end = begin[some], end[some]
-            base = np.zeros(len(some), np.int64)
+            base = np.zeros(len(own), np.int64)
             base[begin > 0] = successors.get(begin[begin > 0] - 1) + 1
-            target = base + w[some]
+            size = stops[a:b] - heads[a:b]
+            if scores:
+                p[heads[a] : stops[b - 1]] = np.repeat(arrays["backoff"][own] / np.float32(-STEPS), size)
+            some = np.flatnonzero(np.repeat(begin < end, size))
+            begin, end, base = (np.repeat(x, size)[some] for x in (begin, end, base))
+            target = base + word[heads[a] + some]
             at = successors.successor(target, begin, end)
-            inside = at < end
-            inside[inside] = successors.get(at[inside]) == target[inside]
-            hit = a + some[inside]
+            inside = np.flatnonzero(at < end)
+            inside = inside[successors.get(at[inside]) == target[inside]]
+            hit = heads[a] + some[inside]
             node[hit] = at[inside] + first
-            p[hit] = arrays["prob"][at[inside]] / -float(STEPS)
-        return node[back], p[back], off[back]
+            if scores:
+                p[hit] = arrays["prob"][at[inside]] / np.float32(-STEPS)
+        return node[back], p[back] if scores else None
 
     def node_counts(self, n: int, nodes: np.ndarray) -> np.ndarray:
         level = self.m.levels[n - 2]
@@ -151,69 +167,92 @@ def _stream(batch_text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     for first, last, data, offsets in blocks(batch_text, BLOCK):
         doc, word = words(data, offsets, SPACED)
         n = last - first
-        order = np.argsort(np.concatenate([doc, np.arange(n)]), kind="stable")
-        yield first, last, np.concatenate([doc, np.arange(n)])[order], np.concatenate([word.view(np.int64), np.full(n, END)])[order]
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(back, np.concatenate(counts), minlength=len(key)).astype(np.int64)
-
-
-def _counted(parts: Iterator[np.ndarray], most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """key and n: keys counted in runs of at most about ``most``."""
-    keys, counts, held = [], [], 0
-    for part in parts:
-        key, n = np.unique(part, return_counts=True)
-        keys.append(key)
-        counts.append(n)
-        if (held := held + len(key)) > most:
-            key, n = _merge(keys, counts)
-            keys, counts, held = ([key], [n], len(key)) if len(key) < most / 2 else ([], [], 0)
-            if not keys:
-                yield from _key_batches(key, n)
-    if keys:
-        yield from _key_batches(*_merge(keys, counts))
-
-
-def _key_batches(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(key), 100_000):
-        yield pa.record_batch([pa.array(key[a : a + 100_000]), pa.array(n[a : a + 100_000].astype(np.int64))], names=["key", "n"])
-
-
-def _nodes(trie: Trie, doc: np.ndarray, ids: np.ndarray, upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(level, place of those with a context, context's node, found node, probability, back-off), from level 2 to ``upto``."""
+        size = np.bincount(doc, minlength=n) + 1
+        hashed = np.full(len(doc) + n, END)
+        hashed[np.arange(len(doc)) + doc] = word.view(np.int64)
+        yield first, last, np.repeat(np.arange(n), size), hashed
+
+
+def _sums(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, what goes with each (the same for equal keys), and the sum of their counts."""
+    key, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
+    return key, *(c[at] for c in columns[1:-1]), np.bincount(back, columns[-1], minlength=len(key)).astype(np.int64)
+
+
+def _counted(parts: Iterator[tuple[np.ndarray, ...]], most: int = 3_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys, what goes with them, and counts, in runs of at most about ``most`` keys."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for columns in parts:
+        held.append(_sums([*columns, np.ones(len(columns[0]), np.int64)]))
+        if sum(len(h[0]) for h in held) > most:
+            held = [_sums([np.concatenate(c) for c in zip(*held, strict=True)])]
+            if len(held[0][0]) > most / 2:
+                yield held.pop()
+    if held:
+        yield _sums([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _packed(runs: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket (by the key's hash) and the columns of its keys, one after another: a row for many keys."""
+    for columns in runs:
+        bucket = (mix(columns[0].astype(U)) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket)
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        columns = [c[order] for c in columns]
+        some = np.flatnonzero(np.diff(edges))
+        yield pa.record_batch([pa.array(some), pa.array([b"".join(c[edges[i] : edges[i + 1]].tobytes() for c in columns) for i in some], pa.binary())], names=["bucket", "data"])
+
+
+def _unpack(group: pa.Table, names: list[str], least: int) -> pa.Table:
+    """Keys of a bucket that were counted ``least`` times in all."""
+    parts = [np.frombuffer(x, np.int64).reshape(len(names), -1) for x in group.column("data").to_pylist()]
+    columns = _sums(list(np.concatenate(parts, axis=1)))
+    return pa.table({n: c[columns[-1] >= least] for n, c in zip(names, columns, strict=True)})
+
+
+def _ngrams(texts: DataFrame, model: Model, n: int, least: int, keys_a_bucket: int) -> DataFrame:
+    """key, n (and suffix from level 3 on) of the n-grams that were counted ``least`` times. Tasks count what they read
+    and send packed counts; a bucket has about ``keys_a_bucket`` of them at most, whatever the corpus repeats."""
+    buckets = max(1, -(-model.tokens // keys_a_bucket))
+    names = ["key", "n"] if n == 2 else ["key", "suffix", "n"]
+    count = _pairs if n == 2 else _with_suffix
+    packed = texts.mapInArrow(lambda b: _packed(count(b, model, n), buckets), "bucket long, data binary")
+    return packed.groupBy("bucket").applyInArrow(lambda group: _unpack(group, names, least), ", ".join(f"{c} long" for c in names))
+
+
+def _nodes(trie: Trie, doc: np.ndarray, ids: np.ndarray, upto: int, scores: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level from 2 to ``upto``: places with a context; the found node or -1 and log10 probability or back-off
+    there; and the node of the n-gram that ends at each place, or -1."""
+    begins = np.append(True, doc[1:] != doc[:-1])
     before = np.empty(len(ids), np.int64)
     before[1:] = ids[:-1]
-    before[np.append(True, doc[1:] != doc[:-1])] = trie.m.vocabulary  # the mark before the first word
-    last = None
+    before[begins] = trie.m.vocabulary  # the mark before the first word
     for n in range(2, upto + 1):
-        if n > 2:
-            before = np.full(len(ids), -1, np.int64)
-            same = doc[1:] == doc[:-1]
-            before[1:][same] = last[:-1][same]
-        at = np.flatnonzero((before >= 0) & (ids >= 0))
-        node, p, off = trie.find(n, before[at], ids[at])
-        # a context before an unknown word backs off too
-        lost = np.flatnonzero((before >= 0) & (ids < 0))
-        lost_off = trie.find(n, before[lost], np.zeros(len(lost), np.int64))[2]
+        at, lost = np.flatnonzero((before >= 0) & (ids >= 0)), np.flatnonzero((before >= 0) & (ids < 0))
+        node, p = trie.find(n, before[at], ids[at], scores)
         last = np.full(len(ids), -1, np.int64)
         last[at] = node
-        yield n, np.concatenate([at, lost]), np.concatenate([node, np.full(len(lost), -1)]), np.concatenate([p, np.zeros(len(lost), np.float32)]), np.concatenate([off, lost_off]), last
+        if scores:  # a context before an unknown word backs off too
+            node, p = np.concatenate([node, np.full(len(lost), -1)]), np.concatenate([p, trie.backoff(n, before[lost])])
+            at = np.concatenate([at, lost])
+        yield at, node, p, last
+        before = np.empty(len(ids), np.int64)
+        before[1:] = last[:-1]
+        before[begins] = -1
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], model: Model, n: int = 2) -> Iterator[tuple[np.ndarray, ...]]:
     """Counts of a context of one word, or a text's begin, and a word."""
     trie = Trie(model)
 
-    def codes() -> Iterator[np.ndarray]:
+    def codes() -> Iterator[tuple[np.ndarray]]:
         for batch in batches:
             for _, _, doc, hashed in _stream(batch.column("text")):
                 ids = trie.ids(hashed)[0]
                 context = np.empty(len(ids), np.int64)
                 context[1:] = ids[:-1]
                 context[np.append(True, doc[1:] != doc[:-1])] = model.vocabulary
-                yield context * (model.vocabulary + 1) + ids
+                yield (context * (model.vocabulary + 1) + ids,)
 
     return _counted(codes())
 
@@ -249,25 +288,26 @@ def _builder(model: Model, n: int, level: dict, discount: float, folder: str):
     return lambda group: _build(group, model, n, level, discount, folder)
 
 
-def _with_suffix(batches: Iterator[pa.RecordBatch], model: Model, n: int) -> Iterator[pa.RecordBatch]:
+def _with_suffix(batches: Iterator[pa.RecordBatch], model: Model, n: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Counts of n-grams whose (n-1)-grams were both kept, with the node of the one at the end."""
     trie = Trie(model)
-    for batch in batches:
-        for _, _, doc, hashed in _stream(batch.column("text")):
-            ids = trie.ids(hashed)[0]
-            for *_, last in _nodes(trie, doc, ids, n - 1):
-                pass
-            begins = np.append(True, doc[1:] != doc[:-1])
-            context = np.full(len(ids), -1, np.int64)
-            context[1:][~begins[1:]] = last[:-1][~begins[1:]]
-            on = (context >= 0) & (last >= 0)
-            key, at, n_ = np.unique(context[on] * (model.vocabulary + 1) + ids[on], return_index=True, return_counts=True)
-            suffix = last[on][at]
-            for a in range(0, len(key), 100_000):
-                yield pa.record_batch([pa.array(x[a : a + 100_000]) for x in (key, suffix, n_.astype(np.int64))], names=["key", "suffix", "n"])
+
+    def codes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for _, _, doc, hashed in _stream(batch.column("text")):
+                ids = trie.ids(hashed)[0]
+                for *_, last in _nodes(trie, doc, ids, n - 1):
+                    pass
+                context = np.empty(len(ids), np.int64)
+                context[1:] = last[:-1]
+                context[np.append(True, doc[1:] != doc[:-1])] = -1
+                on = (context >= 0) & (last >= 0)
+                yield context[on] * (model.vocabulary + 1) + ids[on], last[on]
+
+    return _counted(codes())
 
 
-def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 2_000_000, ngrams_a_file: int = 1_000_000) -> Model:
+def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 2_000_000, ngrams_a_file: int = 1_000_000, keys_a_bucket: int = 2_000_000) -> Model:
     """A model of all texts of ``docs``; null is an empty text. Files go to the shared folder.
 
     Words are known by a 64-bit hash. At most 2**31 distinct words, so that an n-gram's key fits 64 bits. All kept
@@ -278,7 +318,9 @@ def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, disc
     folder = scratch(spark, "ngram-lm")
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(hashed for batch in batches for *_, hashed in _stream(batch.column("text")))
+        for key, n in _counted((hashed,) for batch in batches for *_, hashed in _stream(batch.column("text"))):
+            for a in range(0, len(key), 100_000):
+                yield pa.record_batch([pa.array(key[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["key", "n"])
 
     counted = cut(texts.mapInArrow(unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     size = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0)).alias("texts")).first()
@@ -298,15 +340,11 @@ def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, disc
     model = Model(size["tokens"], size["v"], size["texts"], bits, [known.get(s, ("", 0)) for s in range(1 << bits)])
     parents = model.vocabulary + 1
     for n in range(2, order + 1):
-        if n == 2:
-            counts = texts.mapInArrow(lambda b: _pairs(b, model), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        else:
-            counts = texts.mapInArrow(lambda b, n=n: _with_suffix(b, model, n), "key long, suffix long, n long").groupBy("key", "suffix").agg(F.sum("n").alias("n"))
-        counts = cut(counts.filter(F.col("n") >= least), f"level{n}")
+        so_far = Model(**vars(model) | {"levels": list(model.levels)})
+        counts = cut(_ngrams(texts, so_far, n, least, keys_a_bucket), f"level{n}")
         level = {"parents": parents, "shards": max(1, -(-counts.count() // ngrams_a_file)), "files": []}
         v = model.vocabulary + 1
         ranged = counts.withColumn("shard", F.expr(f"cast(((key div {v}) * {level['shards']}) div {parents} as int)"))
-        so_far = Model(**vars(model) | {"levels": list(model.levels)})
         written = ranged.groupBy("shard").applyInArrow(_builder(so_far, n, level, discount, folder), "shard long, uri string, low long, size long")
         known = {r["shard"]: r for r in cut(written, f"level{n}-files").collect()}
         first = 0
@@ -328,8 +366,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             ids, counts = trie.ids(hashed)
             base = np.log10(trie.unigram(counts))
             score = base.copy()
-            for _, at, node, p, off, _ in _nodes(trie, doc, ids, len(model.levels) + 1):
-                score[at] = np.where(node >= 0, p, score[at] + off)
+            for at, node, p, _ in _nodes(trie, doc, ids, len(model.levels) + 1, scores=True):
+                score[at] = np.where(node >= 0, p, score[at] + p)
             n = last - first
             totals = (np.bincount(doc, x, minlength=n) for x in (base, score))
             yield pa.record_batch(

@@ -10,6 +10,10 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
 BLOCK_BYTES = 1 << 20
+#: Base of word hashes and its inverse modulo 2**64; tables of their powers are kept for so many bytes of text.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+TABLE_BYTES = 6 << 20
 
 
 def _table(word: np.ndarray) -> np.ndarray:
@@ -62,18 +66,27 @@ def words(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.nd
     """(document of each word, hash of each word), in order of the text."""
     cls = lut[data]
     on = cls >= 0
-    before, after = np.zeros(len(on), bool), np.zeros(len(on), bool)
-    before[1:], after[:-1] = on[:-1], on[1:]
+    starts_, stops_ = on.copy(), on.copy()
+    starts_[1:] &= ~on[:-1]
+    stops_[:-1] &= ~on[1:]
     cuts = offsets[(offsets > 0) & (offsets < len(on))]
-    before[cuts], after[cuts - 1] = False, False
-    starts = np.flatnonzero(on & ~before)
+    starts_[cuts], stops_[cuts - 1] = on[cuts], on[cuts - 1]
+    starts = np.flatnonzero(starts_)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    sizes = np.flatnonzero(on & ~after) + 1 - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
-    code = (cls[on] + 1).astype(U) * powers(0x9E3779B97F4A7C15, int(sizes.max()))[place]
-    hashed = mix(np.add.reduceat(code, first) + sizes.astype(U) * U(0xD6E8FEB86659FD93))
+    ends = np.flatnonzero(stops_) + 1
+    sizes = ends - starts
+    if len(data) <= TABLE_BYTES:
+        # sums over words from a running sum; a word's first place is taken out by the inverse of the base
+        total = np.zeros(len(data) + 1, U)
+        np.multiply((cls + 1).astype(U), powers(BASE, len(data)), out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
+        code = (total[ends] - total[starts]) * powers(INVERSE, len(data))[starts]
+    else:
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+        code = np.add.reduceat((cls[on] + 1).astype(U) * powers(BASE, int(sizes.max()))[place], first)
+    hashed = mix(code + sizes.astype(U) * U(0xD6E8FEB86659FD93))
     return np.searchsorted(offsets, starts, "right") - 1, hashed
 
 
