@@ -113,7 +113,9 @@ def apply_boosts(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def recency_score(created: Column, now: str, half_life: Column | float) -> Column:
-    days = F.greatest(F.lit(0), F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000))
+    # `greatest` would skip a null and take 0 days
+    age = F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000)
+    days = F.when(age > 0, age).when(age.isNotNull(), F.lit(0))
     return F.coalesce(F.pow(F.lit(2.0), -days / half_life), F.lit(0.5))
 
 
