@@ -419,7 +419,7 @@ def _(v: Views):
 
 @query("k03_topic_candidates")
 def _(v: Views):
-    q = v.sql("SELECT conv_id * 10 + turn AS query_id, text AS q FROM conversations WHERE role = 'user'")
+    q = v.chat_history.groupBy(F.col("question").alias("q")).agg(F.min("id").alias("query_id"))
     return K.topic_candidates(q)
 
 
