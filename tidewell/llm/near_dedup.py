@@ -244,7 +244,6 @@ def near_duplicates(
         labels = components(edges.unionByName(more))
     classes = sketches.select("rid", "doc_id", "text_hash", *keys).join(firsts.withColumnRenamed("rid", "node"), keys).join(labels, "node", "left")
     classes = cut(classes.select("rid", "doc_id", "text_hash", F.coalesce("label", "node").alias("label")), "classes")
-    best = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    chosen = classes.join(best, "label")
-    first = chosen.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("rid").alias("first"))
-    return chosen.join(first, "label").select("doc_id", "text_hash", "class_id", (F.col("rid") == F.col("first")).alias("kept"))
+    first = F.coalesce(F.min_by("rid", "doc_id"), F.min("rid"))
+    best = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first"))
+    return classes.join(best, "label").select("doc_id", "text_hash", "class_id", (F.col("rid") == F.col("first")).alias("kept"))
