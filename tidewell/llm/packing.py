@@ -37,7 +37,7 @@ class WordTokens:
     """The tokenizer's ids of a text as little-endian unsigned 32-bit numbers. Words are looked up in a memory of
     bounded size; a batch's new words are encoded at once."""
 
-    def __init__(self, path: str, remember: int = 200_000) -> None:
+    def __init__(self, path: str, remember: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.remember, self.young, self.old = Tokenizer.from_file(path), remember, {}, {}
