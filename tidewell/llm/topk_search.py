@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 LEAF = 256
+BLOCKS_A_GROUP = 32
 PAIR = "query_id long, vec_id long, score long"
 
 
@@ -127,49 +128,42 @@ def exact_top_k(
     rows = vectors.filter(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"), is_query.alias("q"), F.size(x).alias("dim"))
     n = max(1, rows.count())
     shards = -(-n // shard_rows)
-    asked = max(1, rows.filter("q").count())
-    query_blocks = -(-asked // block_queries)
+    spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("int")
+    query_blocks = -(-max(1, rows.filter("q").count()) // block_queries)
+    queries = rows.filter("q").dropDuplicates(["id", "v"]).withColumn("block", spread(2, query_blocks))
+
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        return np.array(part["v"].tolist(), np.int64).reshape(len(part), -1)
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        tree = build_tree(part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(len(part), -1))
-        return pd.DataFrame({"dim": [part["dim"].iat[0]], "shard": [part["shard"].iat[0]], "tree": [_pack(**tree)]})
+        return part[["dim", "shard"]].head(1).assign(tree=[_pack(**build_tree(part["id"].to_numpy(np.int64), matrix(part)))])
 
     def stack(part: pd.DataFrame) -> pd.DataFrame:
-        packed = _pack(ids=part["id"].to_numpy(np.int64), rows=np.array(part["v"].tolist(), np.int64).reshape(len(part), -1))
-        return pd.DataFrame({"dim": [part["dim"].iat[0]], "block": [part["block"].iat[0]], "queries": [packed]})
+        packed = _pack(ids=part["id"].to_numpy(np.int64), rows=matrix(part), floor=part["floor"].to_numpy(np.int64))
+        return part[["dim", "block"]].head(1).assign(queries=[packed])
 
     def ask(blocks: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
-        for data in trees["tree"]:
-            tree = _unpack(data)
-            for _, block in blocks.iterrows():
-                q = _unpack(block["queries"])
-                floor = q.get("floor", np.full(len(q["ids"]), -(2**63)))
-                found += search_tree(tree, q["ids"], q["rows"], k, floor)
+        for tree in map(_unpack, trees["tree"]):
+            for q in map(_unpack, blocks["queries"]):
+                found += search_tree(tree, q["ids"], q["rows"], k, q["floor"])
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("int")
-    trees = cut(rows.withColumn("shard", spread(1, shards)).groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, tree binary"), "trees")
-    queries = rows.filter("q").dropDuplicates(["id", "v"]).withColumn("block", spread(2, query_blocks))
-    queries = cut(queries.groupBy("dim", "block").applyInPandas(stack, "dim int, block int, queries binary"), "queries")
-
-    def at(blocks: DataFrame, keys: list[str]) -> DataFrame:
-        return blocks.groupBy(keys).cogroup(trees_by(keys).groupBy(keys)).applyInPandas(ask, PAIR)
-
-    def trees_by(keys: list[str]) -> DataFrame:
-        few = F.explode(F.sequence(F.lit(0), F.lit((query_blocks - 1) // 32)))
-        return trees.withColumn("few", few) if "few" in keys else trees
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.groupBy("dim", "block").applyInPandas(stack, "dim int, block int, queries binary"), name)
 
+    trees = cut(rows.withColumn("shard", spread(1, shards)).groupBy("dim", "shard").applyInPandas(grow, "dim int, shard int, tree binary"), "trees")
+    lowest = F.lit(-(2**63)).cast("long")
     # First one shard for each block of queries, for a k-th score to begin with.
-    seeds = at(queries.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")), ["dim", "shard"])
-    floors = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k).select("query_id", "floor")
-
-    def lift(part: pd.DataFrame) -> pd.DataFrame:
-        return stack(part).assign(queries=[_pack(ids=part["id"].to_numpy(np.int64), rows=np.array(part["v"].tolist(), np.int64).reshape(len(part), -1), floor=part["floor"].to_numpy(np.int64))])
-
-    lifted = rows.filter("q").dropDuplicates(["id", "v"]).withColumn("block", spread(2, query_blocks)).join(floors, F.col("id") == F.col("query_id"), "left")
-    lifted = lifted.withColumn("floor", F.coalesce("floor", F.lit(-(2**63)))).groupBy("dim", "block").applyInPandas(lift, "dim int, block int, queries binary")
-    everywhere = cut(lifted, "lifted").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("few", F.floor(F.col("block") / 32).cast("int"))
-    found = at(everywhere, ["dim", "shard", "few"])
+    first = blocks(queries.withColumn("floor", lowest), "queries").withColumn("shard", F.pmod("block", F.lit(shards)).cast("int"))
+    seeds = first.groupBy("dim", "shard").cogroup(trees.groupBy("dim", "shard")).applyInPandas(ask, PAIR)
+    floors = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
+    # Then all shards. A shard meets the blocks in groups, and its tree is sent once to each group.
+    lifted = blocks(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", lowest)), "lifted")
+    group = F.floor(F.col("block") / BLOCKS_A_GROUP).cast("int")
+    everywhere = lifted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", group)
+    sent = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((query_blocks - 1) // BLOCKS_A_GROUP))))
+    keys = ["dim", "shard", "part"]
+    found = everywhere.groupBy(keys).cogroup(sent.groupBy(keys)).applyInPandas(ask, PAIR)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
