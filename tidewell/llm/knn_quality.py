@@ -60,10 +60,11 @@ def term_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, dims: int, seed: int = 1) -> dict[str, np.ndarray]:
-    """Weights of terms, projection and unit vectors of the labelled rows, by a randomised SVD."""
-    weight = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))).astype(np.float32) + 1
-    x = rows * weight
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Weights of terms, projection and unit vectors of the labelled rows, by a randomised SVD; ``rows`` is used up."""
+    weight = np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))).astype(np.float32) + 1
+    x = rows
+    x *= weight
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
     mean = x.mean(0)
     x -= mean
     rank = max(1, min(dims, len(rows), rows.shape[1]))
