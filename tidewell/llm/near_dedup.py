@@ -201,7 +201,7 @@ def near_duplicates(
     schema = "rid long, doc_id long, text_hash long, key1 long, key2 long, bands array<long>, shingles binary"
     sketches = cut(given.mapInArrow(lambda b: _sketch(b, shingle_words, bands, rows, counted), schema), "sketches")
     keys = ["key1", "key2"]
-    firsts = sketches.groupBy(keys).agg(F.min("rid").alias("rid"))
+    firsts = cut(sketches.groupBy(keys).agg(F.min("rid").alias("rid")), "firsts")
     nodes = cut(sketches.select("rid", "bands").join(firsts.select("rid"), "rid"), "nodes")
     banded = nodes.select("rid", F.explode("bands").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.max_by("rid", F.xxhash64("rid", "bucket")).alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
