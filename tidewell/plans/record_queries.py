@@ -441,11 +441,6 @@ def _(v: Views):
     return G.list_answers(v.sql(_ASK), v.issues)
 
 
-@query("a01_read_documents", "SELECT id, source, title, content FROM corpus_docs WHERE content <> ''")
-def _(v: Views):
-    return v.corpus_docs.filter("content <> ''").select("id", "source", "title", "content")
-
-
 @query("f11_latest_versions", """WITH f AS (SELECT file_id, folder, trim(regexp_extract(name, '(?s)^(.*?)_v[0-9]', 1)) AS base, string_split(regexp_extract(name, '_v([0-9.]+)\\.pptx$', 1), '.')::INTEGER[] AS version FROM file_listing WHERE file_id % 4 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(base) ORDER BY version DESC, file_id) AS n FROM f) SELECT file_id FROM r WHERE n = 1 UNION ALL SELECT file_id FROM file_listing WHERE file_id % 4 = 0""")
 def _(v: Views):

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..streaming import streams as S
 from .registry import Views, query
 
@@ -97,6 +98,40 @@ def _(v: Views):
     return drained(v, S.turn_counter(log)).select("id", "turn_index")
 
 
+def _exported(v: Views) -> str:
+    """The documents as JSON lines, with a broken line and one without id for each hundredth."""
+    base = shared(v)
+    docs = v.corpus_docs.select("id", "source", "title", "content", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    lines = docs.select(F.to_json(F.struct("*")).alias("value"))
+    bad = docs.filter(F.substring("id", 2, 20).cast("long") % 100 == 0).select(F.explode(F.array(F.lit("{broken"), F.lit('{"content": "no id"}'), F.lit(""))).alias("value"))
+    lines.unionByName(bad).write.text(f"{base}/in")
+    return f"{base}/in"
+
+
+@query("a01_read_documents", "SELECT id, source, title, content, lang FROM corpus_docs WHERE content <> ''")
+def _(v: Views):
+    return files.read_documents(v.spark, _exported(v))[0].select("id", "source", "title", "content", F.col("metadata")["lang"].alias("lang"))
+
+
+@query("a01_rejects", "SELECT reason, count(*) AS n FROM (SELECT unnest(['malformed', 'no id']) AS reason FROM corpus_docs WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 0 UNION ALL SELECT 'no content' FROM corpus_docs WHERE content = '') GROUP BY 1")
+def _(v: Views):
+    return files.read_documents(v.spark, _exported(v))[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("a02_read_issue_docs", "SELECT id FROM corpus_docs")
+def _(v: Views):
+    return files.read_issue_docs(v.spark, _exported(v)).filter("id IS NOT NULL").select("id")
+
+
+@query("a10_upsert_table", "SELECT id AS chunk_id, source, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 'new' ELSE 'old' END AS content_hash FROM corpus_docs WHERE CAST(substr(id, 2) AS BIGINT) % 7 <> 0 OR CAST(substr(id, 2) AS BIGINT) % 3 = 0")
+def _(v: Views):
+    base, no = shared(v), F.substring("id", 2, 20).cast("long")
+    row = lambda h: [F.col("id").alias("chunk_id"), "source", F.lit(h).alias("content_hash"), F.create_map(F.lit("lang"), F.col("lang")).alias("meta")]
+    v.corpus_docs.filter(no % 7 != 0).select(*row("old")).write.partitionBy("source").parquet(f"{base}/table")
+    files.upsert_chunks(v.spark, f"{base}/table", v.corpus_docs.filter(no % 3 == 0).select(*row("new")))
+    return v.spark.read.parquet(files.compact(v.spark, f"{base}/table", 4)).select("chunk_id", "source", "content_hash")
+
+
 @query("l01_ingest_stream", "SELECT 'd' || doc_id AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def _(v: Views):
     base = shared(v)
