@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import MOST, contains_join, held
+
 #: What open and closed mean, and the words that ask for them.
 OPEN_STATUSES = ["Open", "To Do", "In Progress", "In Review", "Ready for Development", "Reopened", "Frozen"]
 CLOSED_STATUSES = ["Closed", "Done", "Resolved"]
@@ -101,20 +103,13 @@ def linked_issues(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return neighbours(edges, nodes, one)
 
 
-def link_mentions(nodes: DataFrame, entities: DataFrame, max_entities: int = 100_000) -> DataFrame:
+def link_mentions(nodes: DataFrame, entities: DataFrame, max_entities: int = MOST) -> DataFrame:
     """src, dst: nodes (issue or doc) whose label has an entity's name or alias (name, alias) in it, by lower case.
 
-    Up to ``max_entities`` aliases are broadcast; more are joined by their first three characters with the label's
-    trigrams, so that no pair is made that doesn't share them."""
+    Up to ``max_entities`` aliases are broadcast; see `contains_join` for more."""
     some = nodes.filter(F.col("type").isin("issue", "doc")).select("id", F.lower("label").alias("_label"))
     alias = entities.select("name", F.lower("alias").alias("_alias")).filter(F.length("_alias") >= 2).distinct()
-    if alias.limit(max_entities + 1).count() <= max_entities:
-        pairs = some.join(F.broadcast(alias), F.col("_label").contains(F.col("_alias")))
-    else:
-        grams = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_label") - (k - 1))), lambda i: F.substr(F.col("_label"), i, F.lit(k))))
-        longer = some.withColumn("_g", F.explode(grams(3))).join(alias.filter(F.length("_alias") >= 3).withColumn("_g", F.substring("_alias", 1, 3)), "_g")
-        two = some.withColumn("_g", F.explode(grams(2))).join(alias.filter(F.length("_alias") == 2).withColumn("_g", F.col("_alias")), "_g")
-        pairs = longer.unionByName(two).filter(F.col("_label").contains(F.col("_alias")))
+    pairs = contains_join(some, alias, "_label", "_alias", max_entities)
     return pairs.select(F.col("id").alias("src"), F.concat(F.lit("entity:"), "name").alias("dst")).distinct()
 
 
@@ -144,7 +139,7 @@ def newest_mentions(mentions: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 def detect_entities(queries: DataFrame, entities: DataFrame, max_n: int = 2) -> DataFrame:
     """query_id, name: entities one of whose aliases stands in the query as written; the longest first, ``max_n`` at most."""
-    found = queries.join(F.broadcast(entities), F.col("q").contains(F.col("alias")) & (F.length("alias") > 0))
+    found = contains_join(queries, entities, "q", "alias")
     best = found.groupBy("query_id", "name").agg(F.max(F.length("alias")).alias("_len"))
     w = Window.partitionBy("query_id").orderBy(F.desc("_len"), "name")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_n).drop("_len")
@@ -194,7 +189,7 @@ def list_answers(queries: DataFrame, issues: DataFrame, top: int = 5) -> DataFra
     whether the answer is definite: rows were found, or project or assignee was given."""
     opened = F.when(F.col("i.status").isin(OPEN_STATUSES), "open").when(F.col("i.status").isin(CLOSED_STATUSES), "closed").otherwise("other")
     fits = ((F.col("q.project") == "") | (F.col("q.project") == F.col("i.project"))) & ((F.col("q.assignee") == "") | (F.col("q.assignee") == F.col("i.assignee"))) & ((F.col("q.status") == "") | (F.col("q.status") == opened))
-    hits = issues.alias("i").join(F.broadcast(queries.alias("q")), fits).select("q.query_id", "i.issue_key", "i.created_at")
+    hits = issues.alias("i").join(held(queries).alias("q"), fits).select("q.query_id", "i.issue_key", "i.created_at")
     w = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "issue_key")
     first = hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "issue_key"))), lambda x: x["issue_key"]), ",").alias("first_keys"))
     totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))

@@ -1,7 +1,7 @@
 """Retrieval for tables of questions: vector and keyword search, fusion, boosts, second-stage ranking, references.
 
 A question is a row of ``queries`` (query_id, ...). Tables of questions are small beside the corpus; they are broadcast
-when a count shows at most ``MAX_QUERIES`` of them, and joined by shuffle in blocks of queries otherwise.
+when a count shows that they are few (`sizes.held`), and joined by shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -14,18 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import tokens_of
+from .sizes import contains_join, held
 
-MAX_QUERIES = 20_000
 #: Fixed values of the fusion: rank offset, weight of hits by keyword only, largest fused score.
 RRF_K, KEYWORD_ONLY = 60, 0.5
 RRF_MAX = 2 / 61
 SOURCE_WEIGHTS = {"jira": 0.95, "confluence": 0.85, "teams": 0.9, "sharepoint": 0.7, "local": 0.7, "docs": 0.5}
 
 
-def _held(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else queries
-
-
 def distance(a: Column, b: Column, metric: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     if metric == "l2":
@@ -40,7 +36,7 @@ def top_by(df: DataFrame, n: int | Column, *order: Column | str, by: str = "quer
 
 def vector_top_n(queries: DataFrame, vectors: DataFrame, n: int, metric: str = "cosine") -> DataFrame:
     """query_id, chunk_id, distance, rank: exact nearest ``n`` (query vectors qvec, chunk vectors embedding)."""
-    pairs = vectors.select("chunk_id", "embedding").crossJoin(_held(queries.select("query_id", "qvec")))
+    pairs = vectors.select("chunk_id", "embedding").crossJoin(held(queries.select("query_id", "qvec")))
     return top_by(pairs.select("query_id", "chunk_id", F.round(distance(F.col("qvec"), F.col("embedding"), metric), 9).alias("distance")), n, "distance", "chunk_id")
 
 
@@ -76,7 +72,7 @@ def bm25_search(queries: DataFrame, postings: DataFrame, n: int = 10, k1: float
 def substring_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """query_id, chunk_id, rank: chunks that have a keyword in them, by the keyword's place in the query, then id."""
     keys = queries.select("query_id", F.posexplode("keywords").alias("_k", "kw")).filter("kw <> ''")
-    hits = chunks.select("chunk_id", "text").join(_held(keys), F.contains("text", "kw")).groupBy("query_id", "chunk_id").agg(F.min("_k").alias("_k"))
+    hits = contains_join(chunks.select("chunk_id", "text"), keys, "text", "kw").groupBy("query_id", "chunk_id").agg(F.min("_k").alias("_k"))
     return top_by(hits, n, "_k", "chunk_id").drop("_k")
 
 
