@@ -50,13 +50,13 @@ def find_contamination(
     items_sha256 (of the found items' ids, sorted as strings, joined by commas), contaminated.
 
     Null and wordless texts have no words; wordless items match nothing; items without id count as "null".
-    Repeated rows stay repeated, equal windows of several items count for each. Up to ``max_inline`` distinct
-    shingles of the benchmark are a literal set in the scan and windows are broadcast; beyond that both are joined
-    by shuffle. An empty table of documents gives an empty result; other columns are ignored.
+    Repeated rows stay repeated, equal windows of several items count for each. Up to ``max_inline`` windows and
+    distinct shingles of the benchmark are sent to all tasks (shingles as a literal set in the scan); beyond that both
+    are joined by shuffle. An empty table of documents gives an empty result; other columns are ignored.
     """
     wins = cut(item_windows(benchmark, window, shingle), "windows")
     sizes = wins.select("k", F.explode("shingles").alias("s")).select("k", "s.h").distinct()
-    small = sizes.limit(max_inline + 1).count() <= max_inline
+    small = all(df.limit(max_inline + 1).count() <= max_inline for df in (sizes, wins))
     ks = sorted(r["k"] for r in wins.select("k").distinct().collect())
     empty = F.expr("CAST(array() AS array<struct<k: int, pos: int, h: bigint>>)")
     text = F.col(text_col)
