@@ -27,7 +27,7 @@ from .elias_fano import EliasFano, map_arrays, write_arrays
 from .shared import cut, scratch
 from .textcore import SPACED, U, blocks, mix, words
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: The hash that stands for the end of a text in the vocabulary.
 END = np.array([0x5BD1E9955BD1E995], U).view(np.int64)[0]
 STEPS = 2048
@@ -179,7 +179,7 @@ def _sums(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return key, *(c[at] for c in columns[1:-1]), np.bincount(back, columns[-1], minlength=len(key)).astype(np.int64)
 
 
-def _counted(parts: Iterator[tuple[np.ndarray, ...]], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+def _counted(parts: Iterator[tuple[np.ndarray, ...]], most: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
     """Keys, what goes with them, and counts, in runs of at most about ``most`` keys."""
     held: list[tuple[np.ndarray, ...]] = []
     for columns in parts:
@@ -308,7 +308,7 @@ def _with_suffix(batches: Iterator[pa.RecordBatch], model: Model, n: int) -> Ite
     return _counted(codes())
 
 
-def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 2_000_000, ngrams_a_file: int = 1_000_000, keys_a_bucket: int = 1_000_000) -> Model:
+def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 1_000_000, ngrams_a_file: int = 400_000, keys_a_bucket: int = 500_000) -> Model:
     """A model of all texts of ``docs``; null is an empty text. Files go to the shared folder.
 
     Words are known by a 64-bit hash. At most 2**31 distinct words, so that an n-gram's key fits 64 bits. All kept
