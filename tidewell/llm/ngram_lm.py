@@ -27,7 +27,7 @@ from .elias_fano import EliasFano, map_arrays, write_arrays
 from .shared import cut, scratch
 from .textcore import SPACED, U, blocks, mix, words
 
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 #: The hash that stands for the end of a text in the vocabulary.
 END = np.array([0x5BD1E9955BD1E995], U).view(np.int64)[0]
 STEPS = 2048
@@ -261,28 +261,31 @@ def _pairs(batches: Iterator[pa.RecordBatch], model: Model, n: int = 2) -> Itera
 def _build(group: pa.Table, model: Model, n: int, level: dict, discount: float, folder: str) -> pa.Table:
     """Writes the file of one range of contexts."""
     trie, shard = Trie(model), int(group.column("shard")[0].as_py())
-    order = np.argsort(group.column("key").to_numpy(), kind="stable")
-    key, count = group.column("key").to_numpy()[order], group.column("n").to_numpy()[order]
-    parent, word = key // (model.vocabulary + 1), key % (model.vocabulary + 1)
+    order = np.argsort(group.column("key").to_numpy())
+    count = group.column("n").to_numpy()[order]
+    suffix = group.column("suffix").to_numpy()[order] if n > 2 else None
+    parent, word = np.divmod(group.column("key").to_numpy()[order], model.vocabulary + 1)
+    del group, order
     low, high = (-(-x * level["parents"] // level["shards"]) for x in (shard, shard + 1))
     begin = np.searchsorted(parent, np.arange(low, high + 1))
+    del parent
     at = np.flatnonzero(np.diff(begin))
-    contexts, sizes = at + low, np.diff(begin)[at]
-    total = (trie.counts_of(contexts) if n == 2 else trie.node_counts(n - 1, contexts)).astype(float)
-    some = np.zeros(len(contexts)) if not len(key) else np.add.reduceat(count - discount, begin[at]) / total
-    rest = np.clip(1 - some, 0, 1)
-    if n == 2:
-        below = trie.unigram(trie.counts_of(word))
-    else:
-        below = trie.node_probs(n - 1, group.column("suffix").to_numpy()[order])
-    p = (count - discount) / np.repeat(total, sizes) + np.repeat(rest, sizes) * below
+    sizes = np.diff(begin)[at]
+    total = (trie.counts_of(at + low) if n == 2 else trie.node_counts(n - 1, at + low)).astype(float)
+    rest = np.clip(1 - np.add.reduceat(count - discount, begin[at]) / total, 0, 1)
+    p = trie.unigram(trie.counts_of(word)) if n == 2 else trie.node_probs(n - 1, suffix)
+    p *= np.repeat(rest, sizes)
+    p += (count - discount) / np.repeat(total, sizes)
     backoff = np.zeros(high - low, np.uint16)
     backoff[at] = _quantise(rest)
-    used = np.cumsum(word[begin[at + 1] - 1] + 1) if len(key) else np.zeros(0, np.int64)
-    base = np.repeat(np.concatenate([[0], used])[:-1], sizes)
+    arrays = {"prob": _quantise(p), "backoff": backoff, "count": count} | EliasFano.encode(begin, "pointers")
+    del p, rest, total
+    used = np.cumsum(word[begin[at + 1] - 1] + 1)
+    word += np.repeat(np.concatenate([[0], used])[:-1], sizes)
+    arrays |= EliasFano.encode(word, "words")
     uri = f"{folder}/level{n}-{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.ef"
-    write_arrays(uri, EliasFano.encode(begin, "pointers") | EliasFano.encode(word + base, "words") | {"prob": _quantise(p), "backoff": backoff, "count": count})
-    return pa.table({"shard": [shard], "uri": [uri], "low": [low], "size": [len(key)]})
+    write_arrays(uri, arrays)
+    return pa.table({"shard": [shard], "uri": [uri], "low": [low], "size": [len(count)]})
 
 
 def _builder(model: Model, n: int, level: dict, discount: float, folder: str):
@@ -308,7 +311,7 @@ def _with_suffix(batches: Iterator[pa.RecordBatch], model: Model, n: int) -> Ite
     return _counted(codes())
 
 
-def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 1_000_000, ngrams_a_file: int = 400_000, keys_a_bucket: int = 500_000) -> Model:
+def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 2_000_000, ngrams_a_file: int = 1_000_000, keys_a_bucket: int = 500_000) -> Model:
     """A model of all texts of ``docs``; null is an empty text. Files go to the shared folder.
 
     Words are known by a 64-bit hash. At most 2**31 distinct words, so that an n-gram's key fits 64 bits. All kept
