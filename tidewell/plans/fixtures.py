@@ -46,3 +46,12 @@ FROM part""",
 FROM supplier""",
     "entities_v": """SELECT * FROM (VALUES ('E1', 'tion'), ('E1', 'ment'), ('E2', 'ouble'), ('E3', 'eux'), ('E4', 'sch'), ('E5', 'zzzz')) AS t(name, alias)""",
 }
+
+#: In place of the views above that leave rows or characters out, for the queries named ..._whole.
+WHOLE_VIEWS = VIEWS | {
+    "queries_v": """SELECT item_id AS query_id, text AS q FROM benchmark""",
+    "query_vectors": """SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0""",
+    "issue_links": """SELECT DISTINCT l_orderkey AS src_no, l_partkey * 10 AS dst_no,
+       CASE WHEN l_returnflag = 'R' THEN 'blocks' ELSE 'relates' END AS link_type
+FROM lineitem""",
+}

@@ -7,46 +7,74 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .fixtures import VIEWS
+from .fixtures import VIEWS, WHOLE_VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_GIVEN: dict[str, tuple[Callable, str | None]] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 class Views:
     """Tables and fixture views by name."""
 
+    views, whole = VIEWS, False
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return self.sql(VIEWS[name])
+        return self.sql(self.views[name])
 
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over tables and views named in ``text``."""
-        used = [t for t in [*TABLES, *VIEWS] if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
+        used = [t for t in [*TABLES, *self.views] if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", text)
         return self.spark.sql(text, **{t: getattr(self, t) for t in used})
 
 
+class WholeViews(Views):
+    """The same names over whole tables."""
+
+    views, whole = WHOLE_VIEWS, True
+
+
+def with_views(sql: str, views: dict[str, str]) -> str:
+    """``sql`` with the views that it names as its WITH list."""
+    used = [v for v in views if re.search(rf"\b{v}\b", sql)]
+    heads = [f"{v} AS ({views[v]})" for v in used]
+    body = sql.strip()
+    if heads and body.upper().startswith("WITH "):
+        body = "WITH " + ", ".join(heads) + ", " + body[5:]
+    elif heads:
+        body = "WITH " + ", ".join(heads) + " " + body
+    return body
+
+
 def query(name: str, sql: str | None = None):
     """Registers ``f(views)`` as query ``name``; fixture views that ``sql`` names become its WITH list."""
 
     def add(f: Callable[[Views], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        _GIVEN[name] = f, sql
         if sql:
-            used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-            heads = [f"{v} AS ({VIEWS[v]})" for v in used]
-            body = sql.strip()
-            if heads and body.upper().startswith("WITH "):
-                body = "WITH " + ", ".join(heads) + ", " + body[5:]
-            elif heads:
-                body = "WITH " + ", ".join(heads) + " " + body
-            ORACLES[name] = body
+            ORACLES[name] = with_views(sql, VIEWS)
         return f
 
     return add
+
+
+def whole(name: str, *swaps: tuple[str, str]) -> None:
+    """Registers query ``name`` again as ``name``_whole, over `WholeViews`. Its SQL is that of ``name`` with the parts
+    that leave rows out exchanged (``swaps``: old, new)."""
+    f, sql = _GIVEN[name]
+    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(WholeViews(spark, sf_dir))
+    if sql:
+        for old, new in swaps:
+            if old not in sql:
+                raise ValueError(f"{name}: its SQL has no {old[:60]}")
+            sql = sql.replace(old, new)
+        ORACLES[f"{name}_whole"] = with_views(sql, WHOLE_VIEWS)

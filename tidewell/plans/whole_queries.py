@@ -1,0 +1,20 @@
+"""Queries of which the first form asks a part of the tables only, over whole tables; the first forms keep their SQL."""
+
+from __future__ import annotations
+
+from . import record_queries, search_queries, text_queries  # noqa: F401
+from .registry import whole
+from .search_queries import _BM, _HITS, _KW
+from .text_queries import _POST
+
+# The fusion family: candidates of both searches over all documents instead of made-up ranks of the first 40.
+
+_MADE = _HITS[: _HITS.index("cand AS (")]
+_FOUND = f"""hv AS (SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) - 1 AS rank
+FROM (SELECT q.vec_id AS query_id, 'd' || e.vec_id AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS distance FROM embeddings q JOIN queries_v ON query_id = q.vec_id, embeddings e)) WHERE rank < 12),
+hk AS (WITH ch AS (SELECT id AS chunk_id, content AS text FROM corpus_docs), {_POST}, {_KW}, {_BM} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 12),
+"""
+FUSION = "d04_merge_candidates i05_rrf g02_top_k i06_apply_boosts i07_recency_boost i08_weight_distance i09_rerank i10_calibrate i11_recency_ladder f04_dominance_gate f05_dedup_documents f08_build_references h02_prepend h05_collect_sources d05_inject_by_key d12_substitute_pages d13_compare_references c17_compact_hits i15_hit_report e27_assemble_context".split()
+
+for _name in FUSION:
+    whole(_name, (_MADE, _FOUND))
