@@ -336,7 +336,8 @@ x AS (SELECT key, src AS id FROM l JOIN k ON dst = key UNION SELECT key, dst FRO
 @query("d07_neighbours", _NEAR)
 def _(v: Views):
     nodes, edges = graph(v)
-    keys = edges.filter("rel = 'LINKS_TO'").select(F.col("dst").alias("key")).distinct().filter(F.substring("key", 9, 20).try_cast("long") % 100 == 0)
+    keys = edges.filter("rel = 'LINKS_TO'").select(F.col("dst").alias("key")).distinct()
+    keys = keys if v.whole else keys.filter(F.substring("key", 9, 20).try_cast("long") % 100 == 0)
     return G.neighbours(edges, nodes, keys).select("key", "id", "label").distinct()
 
 

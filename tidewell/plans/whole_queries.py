@@ -18,3 +18,16 @@ FUSION = "d04_merge_candidates i05_rrf g02_top_k i06_apply_boosts i07_recency_bo
 
 for _name in FUSION:
     whole(_name, (_MADE, _FOUND))
+
+# Every row whose id is divisible by 20 asks; whole benchmark texts are questions.
+
+ASKING = "i01_vector_top_n i02_vector_lsh f03_rank_hits h03_merge_multi_query i03_bm25_search i04_substring_search d03_attach_chunks i13_hybrid_search d15_inject_entities d19_detect_entities c07_extract_keywords".split()
+
+# All line items are links, all keys and all lines count.
+
+LINKED = "j01_issue_graph_edges j01_issue_graph_nodes j02_rebuild_graph e08_graph_counts d09_placeholder_nodes d18_replace_types b27_parse_links h01_union_distinct j04_linked_issues".split()
+
+for _name in ASKING + LINKED:
+    whole(_name)
+whole("d07_neighbours", (" WHERE CAST(substr(dst, 9) AS BIGINT) % 100 = 0", ""))
+whole("e24_ab_summary", (" WHERE l_linenumber <= 2", ""))
