@@ -11,7 +11,7 @@ from .fixtures import VIEWS, WHOLE_VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_GIVEN: dict[str, tuple[Callable, str | None]] = {}
+GIVEN: dict[str, tuple[Callable, str | None]] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -59,7 +59,7 @@ def query(name: str, sql: str | None = None):
 
     def add(f: Callable[[Views], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        _GIVEN[name] = f, sql
+        GIVEN[name] = f, sql
         if sql:
             ORACLES[name] = with_views(sql, VIEWS)
         return f
@@ -70,7 +70,7 @@ def query(name: str, sql: str | None = None):
 def whole(name: str, *swaps: tuple[str, str]) -> None:
     """Registers query ``name`` again as ``name``_whole, over `WholeViews`. Its SQL is that of ``name`` with the parts
     that leave rows out exchanged (``swaps``: old, new)."""
-    f, sql = _GIVEN[name]
+    f, sql = GIVEN[name]
     QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(WholeViews(spark, sf_dir))
     if sql:
         for old, new in swaps:

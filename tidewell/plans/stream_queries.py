@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import files
 from ..streaming import streams as S
-from .registry import Views, query
+from . import text_queries  # noqa: F401
+from .registry import GIVEN, Views, query
 
 
 def shared(v: Views) -> str:
@@ -132,14 +134,31 @@ def _(v: Views):
     return v.spark.read.parquet(files.compact(v.spark, f"{base}/table", 4)).select("chunk_id", "source", "content_hash")
 
 
-@query("l01_ingest_stream", "SELECT 'd' || doc_id AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
-def _(v: Views):
+def _ingested(v: Views) -> DataFrame:
+    """The table of chunks (chunk_id, source, content_hash, meta, doc_id, chunk_ix, text) after all documents came in."""
     base = shared(v)
     docs = v.documents.filter("text IS NOT NULL").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "source", F.col("text").alias("content"))
     docs.write.json(f"{base}/in")
-    put = lambda b, n: b.filter("chunk_ix = 0").write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
+    schema = "chunk_id string, content_hash string, meta map<string,string>, doc_id string, chunk_ix int, text string, source string"
+    v.spark.createDataFrame([], schema).write.partitionBy("source").parquet(f"{base}/table")
+
+    def put(b: DataFrame, n: int) -> None:
+        # chunks have no source any more; the table is cut by a hash of the document instead
+        rows = b.select(T.chunk_id("doc_id", "chunk_ix").alias("chunk_id"), T.content_hash("text").alias("content_hash"), F.create_map().cast("map<string,string>").alias("meta"), "doc_id", "chunk_ix", "text", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("string").alias("source"))
+        files.upsert_chunks(b.sparkSession, f"{base}/table", rows, schema)
+
     S.ingest_stream(v.spark, f"{base}/in", f"{base}/state", put).awaitTermination()
-    return v.spark.read.parquet(f"{base}/rows").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return v.spark.read.schema(schema).parquet(f"{base}/table")
+
+
+@query("l01_ingest_stream", "SELECT 'd' || doc_id AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def _(v: Views):
+    return _ingested(v).filter("chunk_ix = 0").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("l01_ingest_chunks", GIVEN["b15_chunk_words"][1])
+def _(v: Views):
+    return _ingested(v).select("doc_id", "chunk_ix", "text")
 
 
 @query("l04_session_batch", """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),

@@ -146,17 +146,18 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def upsert_chunks(spark: SparkSession, target: str, incoming: DataFrame) -> DataFrame:
+def upsert_chunks(spark: SparkSession, target: str, incoming: DataFrame, schema: str | None = None) -> DataFrame:
     """Puts new and changed chunks into the table at path ``target`` (partitioned by source): only the partitions that
-    change are written, into a new folder each, and then exchanged. Returns ``incoming`` with its action."""
-    stored = spark.read.parquet(target)
+    change are written, into a new folder each, and then exchanged. Returns ``incoming`` with its action. An empty table
+    needs its ``schema``."""
+    stored = spark.read.schema(schema).parquet(target) if schema else spark.read.parquet(target)
     side = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
     diff_chunks(incoming, stored).write.parquet(f"{side}/diff")  # before the table changes
     diff = spark.read.parquet(f"{side}/diff")
     changed = diff.filter("action <> 'skipped'").select(stored.columns)
     touched = stored.join(changed.select("source").distinct(), "source", "left_semi")
     upserted(touched, changed).repartition("source", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.partitionBy("source").parquet(f"{side}/rows")
-    spark.read.parquet(f"{side}/rows").select(stored.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(target)
+    spark.read.schema(stored.schema).parquet(f"{side}/rows").select(stored.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(target)
     return diff.select("chunk_id", "action")
 
 
