@@ -7,6 +7,7 @@ what bounds it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -99,15 +100,33 @@ def reply_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("question").applyInPandasWithState(stateful, schema, "first long, newest long", "update", GroupStateTimeout.NoTimeout)
 
 
+def _drop_expired(spark: SparkSession, sink: str, last: date) -> None:
+    """Deletes the day folders below ``sink`` (batch=n/day=d) up to ``last``."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sink}/batch=*/day=*")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for found in fs.globStatus(path) or []:
+        day = found.getPath().getName().removeprefix("day=")
+        if day != "__HIVE_DEFAULT_PARTITION__" and date.fromisoformat(day) <= last:
+            fs.delete(found.getPath(), True)
+
+
 def retain_stream(stream: DataFrame, days: int, sink: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
-    """Writes rows by day and, after each batch, takes days out of reading that are older than ``days`` before the newest one."""
+    """Writes rows by day and, after each batch, deletes days that are ``days`` or more before the newest one of all
+    batches so far, which is kept beside the sink; rows of such days that come late are not written. A batch may run
+    twice."""
+    sink = sink.rstrip("/")
+    schema = "newest date"
 
     def put(batch: DataFrame, number: int) -> None:
-        dated = batch.withColumn("day", F.to_date(ts))
-        newest = dated.agg(F.max("day")).first()[0]
+        spark, dated = batch.sparkSession, batch.withColumn("day", F.to_date(ts))
+        own = dated.agg(F.max("day").alias("newest")).first()[0]
+        spark.createDataFrame([(own,)], schema).coalesce(1).write.mode("overwrite").parquet(f"{sink}-newest/batch={number}")
+        newest = spark.read.schema(schema).parquet(f"{sink}-newest").agg(F.max("newest")).first()[0]
         if newest is not None:
-            kept = dated.filter(F.col("day") > F.date_sub(F.lit(newest), days))
-            kept.write.mode("append").partitionBy("day").parquet(f"{sink}/batch={number}")
+            last = newest - timedelta(days=days)
+            dated.filter(F.col("day") > F.lit(last)).write.mode("overwrite").partitionBy("day").parquet(f"{sink}/batch={number}")
+            _drop_expired(spark, sink, last)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
