@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import tokens_of
+from .linked import alike_groups
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -136,14 +136,16 @@ def flag_existing(topics: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def topic_candidates(questions: DataFrame, similarity: float = 0.4, least: int = 2, most: int = 15) -> DataFrame:
-    """topic_id, size, samples: questions (query_id, q) that share words, as groups around their smallest id."""
-    words = questions.select("query_id", "q", F.array_distinct(tokens_of(F.col("q"))).alias("words")).filter(F.size("words") > 0)
-    vectors = HashingTF(inputCol="words", outputCol="v", binary=True, numFeatures=1 << 18).transform(words)
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=1).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, 1 - similarity, "d").select(F.col("datasetA.query_id").alias("a"), F.col("datasetB.query_id").alias("b"))
-    head = near.groupBy("b").agg(F.min("a").alias("topic_id"))
-    grouped = words.join(head, F.col("query_id") == F.col("b")).groupBy("topic_id").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list("q")), 1, 8).alias("samples"))
-    return grouped.filter(F.col("size") >= least).orderBy(F.desc("size"), "topic_id").limit(most)
+    """topic_id, size, samples: questions (query_id, q) that share words, directly or over others, as groups named by
+    their smallest id."""
+    words = questions.select("query_id", "q", F.array_sort(F.array_distinct(tokens_of(F.col("q")))).alias("words")).filter(F.size("words") > 0)
+    sets = words.groupBy("words").agg(F.min("query_id").alias("node"))
+    named = sets.join(alike_groups(sets, similarity), "node", "left").select("words", F.coalesce("label", "node").alias("topic_id"))
+    first = F.row_number().over(Window.partitionBy("topic_id").orderBy("q", "query_id"))
+    all_ = words.join(named, "words")
+    sizes = all_.groupBy("topic_id").agg(F.count("*").alias("size")).filter(F.col("size") >= least).orderBy(F.desc("size"), "topic_id").limit(most)
+    some = all_.select("topic_id", "query_id", "q").withColumn("_n", first).filter("_n <= 8").groupBy("topic_id").agg(F.array_sort(F.collect_list("q")).alias("samples"))
+    return sizes.join(some, "topic_id").select("topic_id", "size", "samples")
 
 
 def ab_summary(judged: DataFrame) -> DataFrame:
