@@ -73,6 +73,14 @@ def source_hash(df: DataFrame, group: str, hash_col: str = "content_hash") -> Da
     return df.groupBy(group).agg(F.md5(F.array_join(some, "|").cast("binary")).alias("source_hash"))
 
 
+def source_hash_parts(df: DataFrame, group: str, hash_col: str = "content_hash") -> DataFrame:
+    """As `source_hash` for groups of any size: md5 of the sorted hashes that share their first three characters, and
+    md5 over those digests in order."""
+    part = F.when(F.col("_x") != "", F.concat("_x", F.md5(F.array_join(F.array_sort(F.collect_list(hash_col)), "|").cast("binary"))))
+    parts = df.filter(F.col(hash_col).isNotNull()).withColumn("_x", F.substring(hash_col, 1, 3)).groupBy(group, "_x").agg(part.alias("_part"))
+    return parts.groupBy(group).agg(F.md5(F.array_join(F.array_sort(F.collect_list("_part")), "|").cast("binary")).alias("source_hash"))
+
+
 def fact_conflicts(facts: DataFrame) -> DataFrame:
     """fact_key, n_values, entries (page_id, value) of keys that have more than one value over pages that aren't
     disabled; keys and values are compared without blanks and case; blank keys don't count."""

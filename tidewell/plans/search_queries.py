@@ -378,6 +378,11 @@ def _(v: Views):
     return K.source_hash(chunk_table(v), "source")
 
 
+@query("e19_source_hash_parts", f"WITH {_CHUNKS}, x AS (SELECT source, substr(content_hash, 1, 3) || md5(string_agg(content_hash, '|' ORDER BY content_hash)) AS part FROM ch GROUP BY source, substr(content_hash, 1, 3)) SELECT source, md5(string_agg(part, '|' ORDER BY part)) AS source_hash FROM x GROUP BY 1")
+def _(v: Views):
+    return K.source_hash_parts(chunk_table(v), "source")
+
+
 @query("e20_fact_conflicts", "WITH f AS (SELECT lower(replace(fact_key, ' ', '')) AS k, page_id, fact_value FROM page_facts WHERE status <> 'disabled') SELECT k AS fact_key, count(DISTINCT fact_value) AS n_values, count(*) AS n FROM f GROUP BY 1 HAVING count(DISTINCT fact_value) > 1")
 def _(v: Views):
     return K.fact_conflicts(v.page_facts).select("fact_key", "n_values", F.size("entries").cast("long").alias("n"))
@@ -385,7 +390,7 @@ def _(v: Views):
 
 @query("k04_stale_pages", f"WITH {_CHUNKS}, h AS (SELECT source, md5(string_agg(content_hash, '|' ORDER BY content_hash)) AS h FROM ch GROUP BY 1) SELECT source AS topic, CASE WHEN source IN ('src1', 'src2') THEN 'rebuilt' ELSE 'unchanged' END AS state, source = 'src1' AS was_approved FROM h UNION ALL SELECT 'gone', 'missing', false")
 def _(v: Views):
-    now = K.source_hash(chunk_table(v), "source").withColumnRenamed("source", "topic")
+    now = K.source_hash_parts(chunk_table(v), "source").withColumnRenamed("source", "topic")
     pages = now.withColumn("source_hash", F.when(F.col("topic").isin("src1", "src2"), "old").otherwise(F.col("source_hash"))).withColumn("status", F.when(F.col("topic") == "src2", "draft").otherwise("approved"))
     return K.stale_pages(pages.unionByName(v.spark.createDataFrame([("gone", "x", "approved")], "topic string, source_hash string, status string")), now)
 

@@ -67,16 +67,23 @@ def rate_limit(stream: DataFrame, limit: int = 30) -> DataFrame:
     timed = stream.select("client_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
 
     def one(part: pd.DataFrame, kept: list[float]) -> tuple[pd.DataFrame, list[float]]:
-        part = part.sort_values(["us", "id"])
         ok, kept = accept_calls((part["us"] / 1e6).tolist(), kept, limit)
         return part.assign(accepted=ok)[["client_id", "id", "us", "accepted"]], kept
 
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, kept = None, []
+        for part in parts:
+            for c, rows in part.groupby("client_id", sort=False, dropna=False):
+                client, kept = (client, kept) if c == client else (c, [])
+                out, kept = one(rows, kept)
+                yield out
+
     if not stream.isStreaming:
-        return timed.groupBy("client_id").applyInPandas(lambda part: one(part, [])[0], _LIMITED)
+        return timed.repartition("client_id").sortWithinPartitions("client_id", "us", "id").mapInPandas(walk, _LIMITED)
 
     def stateful(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
-        out, kept = one(pd.concat(list(parts)), kept)
+        out, kept = one(pd.concat(list(parts)).sort_values(["us", "id"]), kept)
         state.update((kept,))
         yield out
 
