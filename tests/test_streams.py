@@ -22,3 +22,17 @@ def test_upsert_may_run_twice_on_an_empty_table(spark, tmp_path):
     for _ in range(2):
         files.upsert_chunks(spark, path, new, schema)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_newest_reply_stays_under_the_first_document(spark, tmp_path):
+    from tidewell.streaming.streams import reply_state
+
+    schema = "question string, doc_id long, reply string, created_at long"
+    batches = [[("a", 1, "x", 10), ("a", 2, "y", 20), ("b", 9, "z", 5)], [("a", 3, "late", 15), ("b", 8, "w", 6)]]
+    got = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/n={i}"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        put = lambda b, n: got.extend(tuple(r) for r in b.collect())
+        reply_state(src).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [("a", 1, "y", 20), ("b", 9, "w", 6), ("b", 9, "z", 5)]
