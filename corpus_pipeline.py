@@ -12,35 +12,41 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, knn_quality, near_dedup, packing
 from tidewell.llm.queries import KEEP_SCORE, TOKENIZERS, held_out
-from tidewell.llm.shared import cut, table
+from tidewell.llm.shared import cut, fresh, table
 
 
-def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text_hash) is or isn't in ``keys``; null ids are like others."""
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(keys["doc_id"]) & (marked["_hash"] == keys["text_hash"])
-    return marked.join(keys, same, how).drop("_hash")
+def _marked(docs: DataFrame, keys: DataFrame, how: str, mark: str) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text_hash) is or isn't in ``keys``, with both in column ``mark``. As one struct they
+    are one key of the join, by which a window can go on, and null ids are like others."""
+    told = keys.select(F.struct("doc_id", F.coalesce("text_hash", F.lit(0)).alias("text_hash")).alias("told")).distinct()
+    rows = docs.withColumn(mark, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    return rows.join(told, rows[mark] == told["told"], how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours don't reject."""
     model = knn_quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
-    return docs.withColumn("_score", knn_quality.quality_score(docs, model)).filter(F.col("_score") >= KEEP_SCORE).drop("_score")
+    (score,) = fresh(docs, "_score")
+    return docs.withColumn(score, knn_quality.quality_score(docs, model)).filter(F.col(score) >= KEEP_SCORE).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates; of rows alike in id and text the first by a hash of all columns
+    (those that can be hashed)."""
     told = near_dedup.near_duplicates(docs)
-    kept = _only(docs, told.filter("kept").select("doc_id", "text_hash").distinct(), "left_semi")
-    # rows alike in id and text stay once
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    mark, number = fresh(docs, "_mark", "_number")
+    kept = _marked(docs, told.filter("kept"), "left_semi", mark)
+    # the join has already dealt the rows by this mark, so texts are shuffled once
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    first = Window.partitionBy(mark).orderBy(F.xxhash64(*plain))
+    return kept.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(mark, number)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     told = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, told.filter("contaminated").select("doc_id", "text_hash").distinct(), "left_anti")
+    (mark,) = fresh(docs, "_mark")
+    return _marked(docs, told.filter("contaminated"), "left_anti", mark).drop(mark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,30 +354,73 @@ def test_near_duplicates_odd(spark, odd_documents, no_documents):
     assert near_dedup.near_duplicates(no_documents).count() == 0
 
 
-def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
-    rng = random.Random(9)
-    base = [f"w{i}" for i in range(150)]
+def _edited(rng, base, most, n):
     texts = []
-    for _ in range(120):
+    for _ in range(n):
         w = list(base)
-        for i in rng.sample(range(150), rng.randint(1, 8)):
+        for i in rng.sample(range(len(base)), rng.randint(1, most)):
             w[i] = f"x{rng.randrange(10**12)}"
         texts.append(" ".join(w))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
-    label = list(range(120))
-    changed = True
-    near = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return texts
+
+
+def _linked(texts, k=5):
+    bags = [Counter(tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)) for t in texts]
+    label, changed = list(range(len(texts))), True
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total()]
     while changed:
         changed = False
         for i, j in near:
             m = min(label[i], label[j])
             changed |= label[i] != m or label[j] != m
             label[i] = label[j] = m
-    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize(("paired", "held", "rounds"), [(2, 7, 1), (2, 1000, 3)])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, paired, held, rounds):
+    rng = random.Random(9)
+    texts = _edited(rng, [f"w{i}" for i in range(150)], 8, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
     monkeypatch.setattr(near_dedup, "ASKED", 5)
-    monkeypatch.setattr(near_dedup, "HELD", 7)
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(label))
+    monkeypatch.setattr(near_dedup, "HELD", held)
+    monkeypatch.setattr(near_dedup, "SPREAD", 10)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == _linked(texts)
+
+
+def test_links_are_at_most_one_a_row_and_round(spark, monkeypatch):
+    """A large group of close copies, and two groups of one boilerplate that share buckets but no link."""
+    rng = random.Random(10)
+    half = [f"w{i}" for i in range(170)]
+    texts = _edited(rng, [f"v{i}" for i in range(200)], 5, 300)
+    for g in "ab":
+        texts += _edited(rng, half + [f"{g}{i}" for i in range(30)], 2, 150)
+    seen: dict = {}
+    plain = near_dedup.cut
+
+    def counted(df, name):
+        out = plain(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == _linked(texts)
+    assert all(n <= len(texts) for n in seen["pairs"]) and len(seen["pairs"]) <= near_dedup.ROUNDS
+    assert sum(seen["more-links"]) <= len(texts)
+    assert all(n <= 2 * len(texts) for n in seen["components-edges"])
+
+
+def test_repeated_shingles_weigh(spark):
+    """The same shingles, but one text says them five times: alike as sets, not as weighted sets."""
+    line = " ".join(f"w{i}" for i in range(60)) + " "
+    df = spark.createDataFrame([(1, line * 4), (2, line * 20), (3, line * 20 + "end")], "doc_id long, text string")
+    classes = lambda **how: {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, **how).collect()}
+    assert classes() == {1: 1, 2: 2, 3: 2}
+    assert classes(counted=False) == {1: 1, 2: 1, 3: 1}
 
 
 def test_signatures_estimate_weighted_similarity():

@@ -73,31 +73,65 @@ def test_op7_deals_evenly(spark, sf):
     assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
 
 
-def test_op9_finds_the_links_that_brute_force_finds(spark, sf):
+def brute_force_classes(docs):
+    """doc_id -> smallest doc_id that links of weighted Jaccard similarity of at least 0.8 connect it with."""
     import re
 
-    got = Q.op9_dart_minhash(spark, sf).collect()
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     words = {d: re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower()) for d, t in docs.items()}
-    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in words.items() if w}
-    label = {d: d for d in docs}
+    bags = {d: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in words.items() if w}
+    size = {d: sum(b.values()) for d, b in bags.items()}
+    holds, label = collections.defaultdict(list), {d: d for d in docs}
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            common = len(sets[a] & sets[b])
-            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
-                x, y = sorted((find(a), find(b)))
-                label[y] = x
-    assert {r.doc_id: r.class_id for r in got} == {d: find(d) for d in docs}
+    wordless = collections.defaultdict(list)
+    for d in sorted(docs):
+        if d in bags:
+            common = collections.Counter()
+            for e, n in bags[d].items():
+                for other, m in holds[e]:
+                    common[other] += min(n, m)
+                holds[e].append((d, n))
+            near = [o for o, c in common.items() if c >= 0.8 * (size[d] + size[o] - c)]
+        else:
+            near = wordless[docs[d]][:1]
+            wordless[docs[d]].append(d)
+        for o in near:
+            x, y = sorted((find(d), find(o)))
+            label[y] = x
+    return {d: find(d) for d in docs}
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_op9_finds_the_links_that_brute_force_finds(spark, folder):
+    got = Q.op9_dart_minhash(spark, folder).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: r.class_id for r in got} == brute_force_classes(docs)
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
+def test_op9_at_planted_similarities(spark):
+    """Pairs whose similarity is just above 0.8 to 0.9 are found, those just below are not."""
+    import random
+
+    from tidewell.llm import near_dedup
+
+    rng, docs = random.Random(4), {}
+    for i in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        edited = list(words)
+        for at in range(0, 5 * (3 + i % 8), 5):  # each edit takes five of 296 shingles
+            edited[at + 7] = f"x{rng.randrange(10**9)}"
+        docs[2 * i], docs[2 * i + 1] = " ".join(words), " ".join(edited)
+    want = brute_force_classes(docs)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert sum(w != d for d, w in want.items()) > 150 and sum(w == d for d, w in want.items()) > 420
+    assert {d: c for d, c in got.items() if c != d} == {d: c for d, c in want.items() if c != d}
+
+
 def test_op6_is_a_probability_and_beats_its_base(spark, sf):
     rows = Q.op6_elias_fano_lm(spark, sf).collect()
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -57,3 +57,15 @@ def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; ``lower`` is used where it means the same and is faster."""
     plain = F.length(text) == F.octet_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer where columns of ``df`` have them (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
