@@ -229,7 +229,7 @@ def test_trees_find_what_brute_force_finds():
 
 
 def test_lm_odd(spark, odd_documents, no_documents):
-    model = ngram_lm.train(odd_documents, F.col("text"), words_a_file=10_000, ngrams_a_file=3, keys_a_bucket=1000)
+    model = ngram_lm.train(odd_documents, F.col("text"), words_a_file=10_000, places_a_file=5000)
     rows = ngram_lm.score_texts(odd_documents, model).collect()
     assert len(rows) == odd_documents.count()
     assert all(r.n_tokens >= 1 and r.score < 0 and np.isfinite(r.score) for r in rows)
@@ -239,27 +239,88 @@ def test_lm_odd(spark, odd_documents, no_documents):
     assert ngram_lm.score_texts(no_documents, model).count() == 0
 
 
+def _plain_model(texts, least=1, discount=0.7):
+    """log10 probability of a text by interpolated absolute discounting, with plain dictionaries."""
+    split = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall("[^\x20\x09-\x0d]+", t)]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in texts:
+        w = [None, *split(t), 0]
+        one.update(w[1:])
+        two.update(zip(w, w[1:]))
+        three.update(zip(w, w[1:], w[2:]))
+    begins, n, v = len(texts), sum(one.values()), len(one)
+    two_kept, three_kept = ({k: c for k, c in x.items() if c >= least} for x in (two, three))
+    three_kept = {k: c for k, c in three_kept.items() if k[:2] in two_kept}
+    mass2, mass3 = Counter(), Counter()
+    for k, c in two_kept.items():
+        mass2[k[0]] += c - discount
+    for k, c in three_kept.items():
+        mass3[k[:2]] += c - discount
+
+    def score(t):
+        w, out = [None, *split(t), 0], 0.0
+        for i in range(1, len(w)):
+            p = (one[w[i]] + 1) / (n + v + 1)
+            if w[i - 1] in one or i == 1:
+                occurs = begins if i == 1 else one[w[i - 1]]
+                p = max(0, two_kept.get((w[i - 1], w[i]), discount) - discount) / occurs + (1 - mass2[w[i - 1]] / occurs) * p
+            if i > 1 and (pair := (w[i - 2], w[i - 1])) in two_kept:
+                p = max(0, three_kept.get((*pair, w[i]), discount) - discount) / two[pair] + (1 - mass3[pair] / two[pair]) * p
+            out += np.log10(p)
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_scores_as_a_plain_model_does(spark, monkeypatch, least):
+    """Also with words and the text's begin in several files, and texts longer than a run."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[60 / (i + 1) for i in range(60)], k=rng.randint(0, 40))) for _ in range(300)]
+    texts += ["the " * 300, "", "Only ONCE said", "w0 w1 " * 700]
+    held = ["w0 w1 never w2 w3 w0", "only once", "", "w59 w58 w57", "once said w0", "w0 w1 w0 w1 w0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for run, files in ((1_500_000, 1_000_000), (200, 100)):
+        monkeypatch.setattr(ngram_lm, "RUN", run)
+        monkeypatch.setattr(ngram_lm, "MAPPED", run)
+        model = ngram_lm.train(docs, F.col("text"), least=least, words_a_file=20, places_a_file=files)
+        assert run > 1000 or len(model.files) > 20 and len(model.split) > 3
+        plain = _plain_model(texts, least)
+        asked = spark.createDataFrame(list(enumerate(texts + held)), "doc_id long, text string")
+        for r in ngram_lm.score_texts(asked, model).collect():
+            assert -0.003 * r.n_tokens <= r.score - plain((texts + held)[r.doc_id]) <= 1e-9
+
+
+def test_lm_counts_alike_in_runs_of_any_length(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 30))) for _ in range(80)] + ["a b " * 500, ""]
+    model = ngram_lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("text"), places_a_file=500)
+    found = []
+    for run in (1_500_000, 40):
+        monkeypatch.setattr(ngram_lm, "RUN", run)
+        parts: dict = {}
+        for batch in ngram_lm._trigrams(iter([pa.record_batch([pa.array(texts)], names=["text"])]), model):
+            parts.setdefault(batch.column("shard")[0].as_py(), []).append(batch.column("data")[0].as_py())
+        found.append({(s, *row) for s, data in parts.items() for row in zip(*(c.tolist() for c in ngram_lm._merge(data)))})
+        assert run > 40 or max(map(len, parts.values())) > 10
+    assert found[0] == found[1] and sum(r[4] for r in found[0]) == sum(len(t.split()) + 1 for t in texts)
+
+
 def test_lm_sums_to_one_at_most(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choices("abcdefgh", k=12)) for _ in range(60)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = ngram_lm.train(docs, F.col("text"), ngrams_a_file=5, words_a_file=3)
+    model = ngram_lm.train(docs, F.col("text"), places_a_file=50, words_a_file=3)
     trie = ngram_lm.Trie(model)
-    vocab = sorted("abcdefgh")
-    # of a text "x y z" the difference to "x y" less its end is log p(z | x, y) + ...: sum over all next tokens
-    for head in ("a b", "c", "q", "a q"):
-        sums = 0.0
-        table_ = pa.array([f"{head} {w}" for w in vocab] + [head])
-        for _, _, doc, hashed in ngram_lm._stream(table_):
-            ids, counts = trie.ids(hashed)
-            logs = np.log10(trie.unigram(counts))
-            for at, node, p, _ in ngram_lm._nodes(trie, doc, ids, len(model.levels) + 1, scores=True):
-                logs[at] = np.where(node >= 0, p, logs[at] + p)
-            k = len(head.split())
-            for d in range(len(vocab)):
-                sums += 10 ** logs[doc == d][k]
-            sums += 10 ** logs[doc == len(vocab)][k]
-        assert 0.97 < sums <= 1.0
+    ids = np.arange(model.vocabulary)
+    p1 = trie.unigram(trie.counts_of(ids))
+    for before, last in ((-1, -1), (-1, model.vocabulary), (model.vocabulary, 0), (3, 4), (2, -1)):
+        total = 0.0
+        for word in ids:  # a place and, before it, the place of its context
+            got = trie.score(np.array([-1, before]), np.array([before, last]), np.array([last, word]), np.array([0.5, p1[word]]))
+            total += got[1]
+        assert 0.97 < total <= 1.0
 
 
 def test_elias_fano():

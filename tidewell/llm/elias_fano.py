@@ -65,8 +65,9 @@ class EliasFano:
             begin = np.arange(n, dtype=np.int64) * bits
             word, shift = begin >> 6, (begin & 63).astype(U)
             part = values & U((1 << bits) - 1)
-            np.bitwise_or.at(low, word, part << shift)
-            np.bitwise_or.at(low, word + 1, (part >> ONE) >> (U(63) - shift))
+            new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            low[word[new]] |= np.bitwise_or.reduceat(part << shift, new)
+            low[word[new] + 1] |= np.bitwise_or.reduceat((part >> ONE) >> (U(63) - shift), new)
         return {f"{name}.high": high, f"{name}.low": low, f"{name}.ones": ones, f"{name}.shape": np.array([n, bits], np.int64)}
 
     def _in_word(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:

@@ -1,19 +1,21 @@
 """N-gram language model in an Elias-Fano trie.
 
-Level 1 is the vocabulary: sorted 64-bit word hashes with counts; a word's id is its place. A node of level n is an
-n-gram: a node of level n - 1 and a word. A level keeps, by context, where its successors begin (monotone pointers),
-the successors' ids made monotone by adding what the contexts before use up, and probabilities and back-off
-weights in steps of 1/2048 of a decade, always rounded down. Levels are cut by context into files of bounded size in
-the shared folder; tasks map them into memory and look up whole batches by successor search relative to a context.
-
-Smoothing is interpolated absolute discounting down to add-one unigrams; n-grams seen less than ``least`` times
-give their mass to the lower order. Counting goes level by level: an n-gram is only counted if both of its (n-1)-grams
-were kept.
+The vocabulary is sorted 64-bit word hashes with counts; a word's id is its place. A node of the trie is an n-gram: a
+context and one more word. A level keeps, by context, where its successors begin (monotone pointers), the successors'
+ids made monotone by adding what the contexts before use up, and discounted frequencies and back-off weights in
+steps of 1/2048 of a decade, always rounded down. Bigrams and trigrams are cut by their first two words into files of
+bounded size in the shared folder, each with both levels; tasks map a few of them at a time into memory and look up
+whole batches by successor search relative to a context.
+
+Smoothing is interpolated absolute discounting down to add-one unigrams. Every n-gram counts, those seen once too
+(``least`` can prune). All levels come from one shuffle: each place of a text gives one trigram, whose begin is its
+bigram.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,63 +27,89 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, map_arrays, write_arrays
 from .shared import cut, scratch
-from .textcore import SPACED, U, blocks, mix, words
+from .textcore import SPACED, U, blocks, words
 
 BLOCK = 2 << 20
+#: Places of texts that are counted at once: three local ids of so many distinct words fit 63 bits.
+RUN = 1_500_000
+#: Bytes of files that a task keeps mapped.
+MAPPED = 128 << 20
 #: The hash that stands for the end of a text in the vocabulary.
 END = np.array([0x5BD1E9955BD1E995], U).view(np.int64)[0]
 STEPS = 2048
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+FILES = "shard long, uri string, bigrams long, trigrams long, head long, head_mass double, tail long, tail_mass double"
+_ZSTD = "zstd"
 
 
 @dataclass
 class Model:
-    """What tasks need to open the trie: a few numbers and the files' places; its size grows with the files only."""
+    """What tasks need to open the trie: a few numbers and the files' places; its size grows with the files only.
+
+    Words and the mark before a text's first word (id ``vocabulary``) are below ``width``. File i has the n-grams whose
+    first two words, as ``first * width + second``, are from edges[i] to edges[i + 1]."""
 
     tokens: int
     vocabulary: int
     texts: int
     vocab_bits: int
     vocab: list[tuple[str, int]]
-    levels: list[dict] = field(default_factory=list)
+    edges: list[int] = field(default_factory=lambda: [0])
+    files: list[str] = field(default_factory=list)
+    #: log10 steps of the back-off of words whose successors are in several files.
+    split: dict[int, int] = field(default_factory=dict)
+
+    @property
+    def width(self) -> int:
+        return self.vocabulary + 2
 
 
 def _quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(65535, np.ceil(-np.log10(np.maximum(p, 1e-31)) * STEPS)).astype(np.uint16)
 
 
+_VALUES = 10.0 ** (np.arange(65536) / -float(STEPS))
+
+
+def _value(steps: np.ndarray) -> np.ndarray:
+    return _VALUES[steps]
+
+
 class Trie:
     def __init__(self, model: Model) -> None:
         self.m = model
         self.first = np.cumsum([0, *(n for _, n in model.vocab)])
-        self.maps: dict[str, object] = {}
+        self.edges = np.array(model.edges, np.int64)
+        self.maps: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
+        self.mapped = 0
 
     def _arrays(self, uri: str) -> dict[str, np.ndarray]:
-        if uri not in self.maps:
-            self.maps[uri] = map_arrays(uri)
-        return self.maps[uri]
-
-    def _level(self, uri: str) -> tuple[dict[str, np.ndarray], EliasFano, EliasFano]:
-        if (key := f"{uri}#") not in self.maps:
-            a = self._arrays(uri)
-            self.maps[key] = a, EliasFano(a, "pointers"), EliasFano(a, "words")
-        return self.maps[key]
+        """A file's arrays; of files used last, MAPPED bytes at most stay mapped."""
+        if uri in self.maps:
+            self.maps.move_to_end(uri)
+            return self.maps[uri][0]
+        arrays = map_arrays(uri)
+        size = sum(a.nbytes for a in arrays.values())
+        self.mapped += size
+        self.maps[uri] = arrays, size
+        while self.mapped > MAPPED and len(self.maps) > 1:
+            self.mapped -= self.maps.popitem(last=False)[1][1]
+        return arrays
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of each word."""
-        some, back = np.unique(hashes, return_inverse=True)
-        ids, counts = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64)
-        shard = _vocab_shard(some, self.m.vocab_bits)
+        """(id or -1, count) of distinct sorted hashes."""
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        shard = _vocab_shard(hashes, self.m.vocab_bits)
         for s in np.unique(shard):
             uri, n = self.m.vocab[s]
             if n:
                 a, b = np.searchsorted(shard, [s, s + 1])
                 known = self._arrays(uri)
-                at = np.minimum(np.searchsorted(known["hash"], some[a:b]), n - 1)
-                same = known["hash"][at] == some[a:b]
+                at = np.minimum(np.searchsorted(known["hash"], hashes[a:b]), n - 1)
+                same = known["hash"][at] == hashes[a:b]
                 ids[a:b] = np.where(same, at + self.first[s], -1)
                 counts[a:b] = np.where(same, known["count"][at], 0)
-        return ids[back], counts[back]
+        return ids, counts
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         """Counts of words by id; of the mark before a text's first word, the number of texts."""
@@ -94,68 +122,68 @@ class Trie:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.m.tokens + self.m.vocabulary + 1)
 
-    def _by_shard(self, n: int, parents: np.ndarray) -> Iterator[tuple[int, int, tuple[str, int, int, int]]]:
-        """(begin, end, file) of runs of sorted ``parents``; contexts without file have no successors."""
-        level = self.m.levels[n - 2]
-        edges = np.searchsorted(parents * level["shards"] // level["parents"], np.arange(level["shards"] + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            if level["files"][s][3]:
-                yield edges[s], edges[s + 1], level["files"][s]
-
-    def backoff(self, n: int, parents: np.ndarray) -> np.ndarray:
-        """log10 back-off of contexts at level n."""
-        some, back = np.unique(parents, return_inverse=True)
-        off = np.zeros(len(some), np.float32)
-        for a, b, (uri, low, _, _) in self._by_shard(n, some):
-            off[a:b] = self._arrays(uri)["backoff"][some[a:b] - low] / -float(STEPS)
-        return off[back]
-
-    def find(self, n: int, parent: np.ndarray, word: np.ndarray, scores: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        """(node or -1, log10 probability where found, else back-off of the context) at level n; from 0 on both."""
-        width = self.m.vocabulary + 1
-        code, back = np.unique(parent * width + word, return_inverse=True)
-        parent, word = np.divmod(code, width)
-        node, p = np.full(len(code), -1, np.int64), np.zeros(len(code), np.float32)
-        heads = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(code) else np.zeros(0, np.int64)
-        stops = np.append(heads[1:], len(code))
-        for a, b, (uri, low, first, _) in self._by_shard(n, parent[heads]):
-            arrays, pointers, successors = self._level(uri)
-            own = parent[heads[a:b]] - low
-            begin, end = pointers.get(own), pointers.get(own + 1)
-            base = np.zeros(len(own), np.int64)
-            base[begin > 0] = successors.get(begin[begin > 0] - 1) + 1
-            size = stops[a:b] - heads[a:b]
-            if scores:
-                p[heads[a] : stops[b - 1]] = np.repeat(arrays["backoff"][own] / np.float32(-STEPS), size)
-            some = np.flatnonzero(np.repeat(begin < end, size))
-            begin, end, base = (np.repeat(x, size)[some] for x in (begin, end, base))
-            target = base + word[heads[a] + some]
-            at = successors.successor(target, begin, end)
-            inside = np.flatnonzero(at < end)
-            inside = inside[successors.get(at[inside]) == target[inside]]
-            hit = heads[a] + some[inside]
-            node[hit] = at[inside] + first
-            if scores:
-                p[hit] = arrays["prob"][at[inside]] / np.float32(-STEPS)
-        return node[back], p[back] if scores else None
-
-    def node_counts(self, n: int, nodes: np.ndarray) -> np.ndarray:
-        level = self.m.levels[n - 2]
-        firsts = np.array([f[2] for f in level["files"]])
-        out, shard = np.zeros(len(nodes), np.int64), np.searchsorted(firsts, nodes, "right") - 1
-        for s in np.unique(shard):
-            here = shard == s
-            out[here] = self._arrays(level["files"][s][0])["count"][nodes[here] - firsts[s]]
-        return out
-
-    def node_probs(self, n: int, nodes: np.ndarray) -> np.ndarray:
-        level = self.m.levels[n - 2]
-        firsts = np.array([f[2] for f in level["files"]])
-        out, shard = np.zeros(len(nodes)), np.searchsorted(firsts, nodes, "right") - 1
-        for s in np.unique(shard):
-            here = shard == s
-            out[here] = 10.0 ** (self._arrays(level["files"][s][0])["prob"][nodes[here] - firsts[s]] / -float(STEPS))
-        return out
+    def score(self, before: np.ndarray, last: np.ndarray, word: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """Probabilities of words (id or -1, unigram ``p1``), in order of their texts, after ``last`` (the mark of a begin,
+        or unknown: -1) and ``before`` that (or missing: -1)."""
+        width = self.m.width
+        known = last >= 0
+        ctx = (before >= 0) & known  # the bigram (before, last) is (last, word) of the place before
+        code, back = np.unique((last * width + np.where(word >= 0, word, width - 1))[known], return_inverse=True)
+        pair = np.full(len(word), -1)
+        pair[known] = back
+        context = np.where(ctx, np.append(-1, pair[:-1]), -1)
+        del back
+        asked = np.flatnonzero(ctx)
+        tri, tri_back = np.unique(context[asked] * width + np.where(word[asked] >= 0, word[asked], width - 1), return_inverse=True)
+        tri_context, tri_word = np.divmod(tri, width)
+        q2, off2, off3, q3 = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code)), np.zeros(len(tri))
+        ends = np.searchsorted(code, self.edges)
+        tri_ends = np.searchsorted(tri_context, ends)
+        for s in np.flatnonzero(np.diff(ends)):
+            if not self.m.files[s]:
+                continue
+            a, b, ta, tb = ends[s], ends[s + 1], tri_ends[s], tri_ends[s + 1]
+            f = self._arrays(self.m.files[s])
+            low = int(f["low"][0])
+            first, second = np.divmod(code[a:b], width)
+            node = _find(f, "2", first - low, second)
+            hit = node >= 0
+            q2[a:b][hit] = _value(f["prob2"][node[hit]])
+            off2[a:b] = _value(f["backoff2"][first - low])
+            off3[a:b][hit] = _value(f["backoff3"][node[hit]])
+            if tb > ta:
+                own = node[tri_context[ta:tb] - a]
+                there = np.flatnonzero(own >= 0)
+                found = _find(f, "3", own[there], tri_word[ta:tb][there])
+                hit = found >= 0
+                q3[ta + there[hit]] = _value(f["prob3"][found[hit]])
+        for w, steps in self.m.split.items():  # words in several files: a few very frequent ones
+            off2[np.searchsorted(code, w * width) : np.searchsorted(code, (w + 1) * width)] = _VALUES[steps]
+        p = p1.copy()
+        p[known] = q2[pair[known]] + off2[pair[known]] * p1[known]
+        p[asked] = q3[tri_back] + off3[context[asked]] * p[asked]
+        return p
+
+
+def _find(f: dict[str, np.ndarray], level: str, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Nodes of (context, word), sorted, or -1."""
+    pointers, successors = EliasFano(f, f"pointers{level}"), EliasFano(f, f"words{level}")
+    node = np.full(len(word), -1, np.int64)
+    if not len(word) or not successors.n:
+        return node
+    heads = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    size = np.diff(np.append(heads, len(context)))
+    begin, end = pointers.get(context[heads]), pointers.get(context[heads] + 1)
+    base = np.zeros(len(heads), np.int64)
+    base[begin > 0] = successors.get(begin[begin > 0] - 1) + 1
+    some = np.flatnonzero(np.repeat(begin < end, size))
+    begin, end, base = (np.repeat(x, size)[some] for x in (begin, end, base))
+    target = base + word[some]
+    at = successors.successor(target, begin, end)
+    inside = np.flatnonzero(at < end)
+    inside = inside[successors.get(at[inside]) == target[inside]]
+    node[some[inside]] = at[inside]
+    return node
 
 
 def _vocab_shard(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -173,156 +201,185 @@ def _stream(batch_text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield first, last, np.repeat(np.arange(n), size), hashed
 
 
-def _sums(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Distinct keys, what goes with each (the same for equal keys), and the sum of their counts."""
-    key, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
-    return key, *(c[at] for c in columns[1:-1]), np.bincount(back, columns[-1], minlength=len(key)).astype(np.int64)
+def _counted(parts: Iterator[np.ndarray], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts, in runs of at most about ``most`` keys."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return key, np.bincount(back, np.concatenate([n for _, n in held]), minlength=len(key)).astype(np.int64)
 
-def _counted(parts: Iterator[tuple[np.ndarray, ...]], most: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Keys, what goes with them, and counts, in runs of at most about ``most`` keys."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for columns in parts:
-        held.append(_sums([*columns, np.ones(len(columns[0]), np.int64)]))
-        if sum(len(h[0]) for h in held) > most:
-            held = [_sums([np.concatenate(c) for c in zip(*held, strict=True)])]
+    for keys in parts:
+        held.append(np.unique(keys, return_counts=True))
+        if sum(len(k) for k, _ in held) > most:
+            held = [merged()]
             if len(held[0][0]) > most / 2:
                 yield held.pop()
     if held:
-        yield _sums([np.concatenate(c) for c in zip(*held, strict=True)])
-
-
-def _packed(runs: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket (by the key's hash) and the columns of its keys, one after another: a row for many keys."""
-    for columns in runs:
-        bucket = (mix(columns[0].astype(U)) % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket)
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        columns = [c[order] for c in columns]
-        for i in np.flatnonzero(np.diff(edges)):
-            data = b"".join(c[edges[i] : edges[i + 1]].tobytes() for c in columns)
-            yield pa.record_batch([pa.array([i]), pa.array([data], pa.binary())], names=["bucket", "data"])
-
-
-def _unpack(group: pa.Table, names: list[str], least: int) -> pa.Table:
-    """Keys of a bucket that were counted ``least`` times in all."""
-    parts = [np.frombuffer(x, np.int64).reshape(len(names), -1) for x in group.column("data").to_pylist()]
-    columns = _sums(list(np.concatenate(parts, axis=1)))
-    return pa.table({n: c[columns[-1] >= least] for n, c in zip(names, columns, strict=True)})
-
-
-def _ngrams(texts: DataFrame, model: Model, n: int, least: int, keys_a_bucket: int) -> DataFrame:
-    """key, n (and suffix from level 3 on) of the n-grams that were counted ``least`` times. Tasks count what they read
-    and send packed counts; a bucket has about ``keys_a_bucket`` of them at most, whatever the corpus repeats."""
-    buckets = max(1, -(-model.tokens // keys_a_bucket))
-    names = ["key", "n"] if n == 2 else ["key", "suffix", "n"]
-    count = _pairs if n == 2 else _with_suffix
-    packed = texts.mapInArrow(lambda b: _packed(count(b, model, n), buckets), "bucket long, data binary")
-    return packed.groupBy("bucket").applyInArrow(lambda group: _unpack(group, names, least), ", ".join(f"{c} long" for c in names))
-
-
-def _nodes(trie: Trie, doc: np.ndarray, ids: np.ndarray, upto: int, scores: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level from 2 to ``upto``: places with a context; the found node or -1 and log10 probability or back-off
-    there; and the node of the n-gram that ends at each place, or -1."""
-    begins = np.append(True, doc[1:] != doc[:-1])
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[begins] = trie.m.vocabulary  # the mark before the first word
-    for n in range(2, upto + 1):
-        at, lost = np.flatnonzero((before >= 0) & (ids >= 0)), np.flatnonzero((before >= 0) & (ids < 0))
-        node, p = trie.find(n, before[at], ids[at], scores)
-        last = np.full(len(ids), -1, np.int64)
-        last[at] = node
-        if scores:  # a context before an unknown word backs off too
-            node, p = np.concatenate([node, np.full(len(lost), -1)]), np.concatenate([p, trie.backoff(n, before[lost])])
-            at = np.concatenate([at, lost])
-        yield at, node, p, last
-        before = np.empty(len(ids), np.int64)
-        before[1:] = last[:-1]
-        before[begins] = -1
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], model: Model, n: int = 2) -> Iterator[tuple[np.ndarray, ...]]:
-    """Counts of a context of one word, or a text's begin, and a word."""
-    trie = Trie(model)
-
-    def codes() -> Iterator[tuple[np.ndarray]]:
-        for batch in batches:
-            for _, _, doc, hashed in _stream(batch.column("text")):
-                ids = trie.ids(hashed)[0]
-                context = np.empty(len(ids), np.int64)
-                context[1:] = ids[:-1]
-                context[np.append(True, doc[1:] != doc[:-1])] = model.vocabulary
-                yield (context * (model.vocabulary + 1) + ids,)
+        yield merged()
 
-    return _counted(codes())
 
-
-def _build(group: pa.Table, model: Model, n: int, level: dict, discount: float, folder: str) -> pa.Table:
-    """Writes the file of one range of contexts."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray, int]]]:
+    """Lists of (hashes, which of them begin a text, number of places) with RUN places at most in all; where a text goes
+    on behind a list, its next two hashes stand there too."""
+    held, size = [], 0
+    for batch in batches:
+        for _, _, doc, hashed in _stream(batch.column("text")):
+            begins = np.append(True, doc[1:] != doc[:-1])
+            for at in range(0, len(hashed), RUN // 2):
+                upto = min(len(hashed), at + RUN // 2)
+                held.append((hashed[at : upto + 2], begins[at : upto + 2], upto - at))
+                size += upto - at
+                if size > RUN // 2:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of small whole numbers, byte by byte, so that what is alike stands together."""
+    raw = b"".join(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_ZSTD, asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec=_ZSTD, asbytes=True)
+    return np.frombuffer(raw, np.uint8)
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """shard, data: the counted (first, second, third) word ids of a run that fall into a file, sorted. Each place gives
+    one: what stands there, the next word, and the one after; none after a text's end (id width - 1)."""
+    trie, width = Trie(model), model.width
+    for held in _runs(batches):
+        hashes = np.concatenate([h for h, _, _ in held])
+        some, local = np.unique(hashes, return_inverse=True)
+        ids = trie.ids(some)[0]  # in the order of hashes
+        mark, none, m = len(some), len(some) + 1, len(some) + 2
+        end, keys, at = int(np.searchsorted(some, END)), [], 0
+        for h, begins, n in held:
+            here = local[at : at + len(h)]
+            at += len(h)
+            nxt, after = np.append(here[1:], none)[:n], np.append(here[2:], [none, none])[:n]
+            inner = here[:n] != end
+            third = np.where(nxt == end, none, after)
+            keys.append(((here[:n] * m + nxt) * m + third)[inner])
+            starts = np.flatnonzero(begins[:n])  # the mark, the first word, the second
+            second = np.where(here[starts] == end, none, nxt[starts])
+            keys.append((mark * m + here[starts]) * m + second)
+        key = np.concatenate(keys)
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(key)))
+        pair, third = np.divmod(key[new], m)
+        first, second = np.divmod(pair, m)
+        ids = np.append(ids, [model.vocabulary, width - 1])
+        first, second, third = ids[first], ids[second], ids[third]
+        cuts = np.searchsorted(first * width + second, trie.edges)
+        for s in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[s], cuts[s + 1]
+            step = np.diff(first[a:b], prepend=first[a])
+            data = first[a].tobytes() + _pack([step, second[a:b], third[a:b], count[a:b]])
+            yield pa.record_batch([pa.array([s], pa.int64()), pa.array([data], pa.binary())], names=["shard", "data"])
+
+
+def _merge(parts: list[bytes]) -> list[np.ndarray]:
+    """Distinct (first, second, third) of packed runs, sorted, and the sums of their counts."""
+    columns = []
+    for data in parts:
+        planes = _unpack(data[8:]).reshape(4, 4, -1)
+        step, second, third, count = (np.ascontiguousarray(p.T).view("<u4")[:, 0].astype(np.int64) for p in planes)
+        columns.append((int.from_bytes(data[:8], "little") + np.cumsum(step), second, third, count))
+    first, second, third, count = (np.concatenate(c) for c in zip(*columns, strict=True))
+    del columns
+    low, span = first.min(), int(max(second.max(), third.max())) + 1
+    if (int(first.max() - low) + 1) * span**2 < 2**63:
+        key = ((first - low) * span + second) * span + third
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        pair, third = np.divmod(key[new], span)
+        first, second = np.divmod(pair, span)
+        first += low
+    else:
+        order = np.lexsort((third, second, first))
+        first, second, third = first[order], second[order], third[order]
+        new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (third[1:] != third[:-1])))
+        first, second, third = first[new], second[new], third[new]
+    return [first, second, third, np.add.reduceat(count[order], new)]
+
+
+def _level(begin: np.ndarray, word: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Pointers and successors of the contexts that begin at ``begin`` (and where the last one ends)."""
+    some = np.flatnonzero(np.diff(begin))
+    used = np.cumsum(word[begin[some + 1] - 1] + 1)
+    word = word + np.repeat(np.append(0, used)[:-1], np.diff(begin)[some])
+    return EliasFano.encode(begin, f"pointers{name}") | EliasFano.encode(word, f"words{name}")
+
+
+def _build(group: pa.Table, model: Model, least: int, discount: float, folder: str) -> pa.Table:
+    """Writes the file of one range of bigrams: bigrams by first word, trigrams by bigram."""
     trie, shard = Trie(model), int(group.column("shard")[0].as_py())
-    order = np.argsort(group.column("key").to_numpy())
-    count = group.column("n").to_numpy()[order]
-    suffix = group.column("suffix").to_numpy()[order] if n > 2 else None
-    parent, word = np.divmod(group.column("key").to_numpy()[order], model.vocabulary + 1)
-    del group, order
-    low, high = (-(-x * level["parents"] // level["shards"]) for x in (shard, shard + 1))
-    begin = np.searchsorted(parent, np.arange(low, high + 1))
-    del parent
-    at = np.flatnonzero(np.diff(begin))
-    sizes = np.diff(begin)[at]
-    total = (trie.counts_of(at + low) if n == 2 else trie.node_counts(n - 1, at + low)).astype(float)
-    rest = np.clip(1 - np.add.reduceat(count - discount, begin[at]) / total, 0, 1)
-    p = trie.unigram(trie.counts_of(word)) if n == 2 else trie.node_probs(n - 1, suffix)
-    p *= np.repeat(rest, sizes)
-    p += (count - discount) / np.repeat(total, sizes)
-    backoff = np.zeros(high - low, np.uint16)
-    backoff[at] = _quantise(rest)
-    arrays = {"prob": _quantise(p), "backoff": backoff, "count": count} | EliasFano.encode(begin, "pointers")
-    del p, rest, total
-    used = np.cumsum(word[begin[at + 1] - 1] + 1)
-    word += np.repeat(np.concatenate([[0], used])[:-1], sizes)
-    arrays |= EliasFano.encode(word, "words")
-    uri = f"{folder}/level{n}-{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.ef"
+    first, second, third, count = _merge(group.column("data").to_pylist())
+    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    total = np.add.reduceat(count, new)  # how often each bigram stands there, and is a context if no text ends there
+    kept = total >= least
+    first, second = first[new], second[new]
+    many = (count >= least) & np.repeat(kept, np.diff(np.append(new, len(count)))) & (third < model.width - 1)
+    size = np.add.reduceat(many, new, dtype=np.int64)[kept]
+    first, second, total = first[kept], second[kept], total[kept]
+    third, count = third[many], count[many]
+    del many, new
+    low, high = int(trie.edges[shard] // model.width), int((trie.edges[shard + 1] - 1) // model.width) + 1
+    begin2, begin3 = np.searchsorted(first, np.arange(low, high + 1)), np.append(0, np.cumsum(size))
+    contexts = np.arange(low, high)
+    occurs = np.maximum(trie.counts_of(contexts), 1)
+    # what is taken off each successor, and all of those that were left out, goes to the lower order
+    mass2 = np.bincount(first - low, total - discount, minlength=high - low)
+    mass3 = np.bincount(np.repeat(np.arange(len(total)), size), count - discount, minlength=len(total))
+    arrays = {
+        "low": np.array([low]),
+        "prob2": _quantise((total - discount) / occurs[first - low]),
+        "backoff2": _quantise(np.clip(1 - mass2 / occurs, 0, 1)),
+        "prob3": _quantise((count - discount) / np.repeat(total, size)),
+        "backoff3": _quantise(np.clip(1 - mass3 / total, 0, 1)),
+    }
+    arrays["backoff2"][np.diff(begin2) == 0] = 0
+    arrays["backoff3"][size == 0] = 0
+    arrays |= _level(begin2, second, "2") | _level(begin3, third, "3")
+    uri = f"{folder}/ngrams-{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.ef"
     write_arrays(uri, arrays)
-    return pa.table({"shard": [shard], "uri": [uri], "low": [low], "size": [len(count)]})
-
-
-def _builder(model: Model, n: int, level: dict, discount: float, folder: str):
-    return lambda group: _build(group, model, n, level, discount, folder)
-
-
-def _with_suffix(batches: Iterator[pa.RecordBatch], model: Model, n: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Counts of n-grams whose (n-1)-grams were both kept, with the node of the one at the end."""
-    trie = Trie(model)
+    ends = [low, mass2[0], high - 1, mass2[-1]]
+    return pa.table({"shard": [shard], "uri": [uri], "bigrams": [len(total)], "trigrams": [len(count)], "head": [ends[0]], "head_mass": [float(ends[1])], "tail": [ends[2]], "tail_mass": [float(ends[3])]})
 
-    def codes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for _, _, doc, hashed in _stream(batch.column("text")):
-                ids = trie.ids(hashed)[0]
-                for *_, last in _nodes(trie, doc, ids, n - 1):
-                    pass
-                context = np.empty(len(ids), np.int64)
-                context[1:] = last[:-1]
-                context[np.append(True, doc[1:] != doc[:-1])] = -1
-                on = (context >= 0) & (last >= 0)
-                yield context[on] * (model.vocabulary + 1) + ids[on], last[on]
 
-    return _counted(codes())
+def _edges(model: Model, heavy: dict[int, int], places_a_file: int) -> list[int]:
+    """Where files begin, as first * width + second: ranges of first words, and a heavy first word cut by second words.
+    ``heavy``: ids of words (or the mark) that more than ``places_a_file`` places begin with, and how many."""
+    width, cuts = model.width, {0, model.width**2}
+    ranges = max(1, -(-(model.tokens + model.texts) // places_a_file))
+    cuts.update((i * (model.vocabulary + 1) // ranges) * width for i in range(1, ranges))
+    for word, n in heavy.items():
+        parts = -(-n // places_a_file)
+        cuts.update(word * width + i * width // parts for i in range(parts + 1))
+    return sorted(cuts)
 
 
-def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, discount: float = 0.7, words_a_file: int = 2_000_000, ngrams_a_file: int = 1_000_000, keys_a_bucket: int = 500_000) -> Model:
+def train(docs: DataFrame, text: Column, *, least: int = 1, discount: float = 0.7, words_a_file: int = 2_000_000, places_a_file: int = 1_000_000) -> Model:
     """A model of all texts of ``docs``; null is an empty text. Files go to the shared folder.
 
-    Words are known by a 64-bit hash. At most 2**31 distinct words, so that an n-gram's key fits 64 bits. All kept
-    successors of one context are written by one task.
+    Words are known by a 64-bit hash; at most 2**31 distinct words, so that a bigram fits 64 bits. A file has the n-grams
+    of about ``places_a_file`` places of texts; a first word of more is cut by its second words, so that only the
+    successors of one bigram, as many as there are words at most, meet in one task. Counts are summed before they are
+    sent, whatever the corpus repeats.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(text, F.lit("")).alias("text"))
     folder = scratch(spark, "ngram-lm")
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in _counted((hashed,) for batch in batches for *_, hashed in _stream(batch.column("text"))):
+        for key, n in _counted(hashed for batch in batches for *_, hashed in _stream(batch.column("text"))):
             for a in range(0, len(key), 100_000):
                 yield pa.record_batch([pa.array(key[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["key", "n"])
 
@@ -342,24 +399,26 @@ def train(docs: DataFrame, text: Column, *, order: int = 3, least: int = 2, disc
     files = cut(counted.withColumn("shard", shard).groupBy("shard").applyInArrow(write_words, "shard int, uri string, size long"), "word-files")
     known = {r["shard"]: (r["uri"], r["size"]) for r in files.collect()}  # a row a file
     model = Model(size["tokens"], size["v"], size["texts"], bits, [known.get(s, ("", 0)) for s in range(1 << bits)])
-    parents = model.vocabulary + 1
-    for n in range(2, order + 1):
-        so_far = Model(**vars(model) | {"levels": list(model.levels)})
-        counts = cut(_ngrams(texts, so_far, n, least, keys_a_bucket), f"level{n}")
-        level = {"parents": parents, "shards": max(1, -(-counts.count() // ngrams_a_file)), "files": []}
-        v = model.vocabulary + 1
-        ranged = counts.withColumn("shard", F.expr(f"cast(((key div {v}) * {level['shards']}) div {parents} as int)"))
-        written = ranged.groupBy("shard").applyInArrow(_builder(so_far, n, level, discount, folder), "shard long, uri string, low long, size long")
-        known = {r["shard"]: r for r in cut(written, f"level{n}-files").collect()}
-        first = 0
-        for s in range(level["shards"]):
-            r = known.get(s)
-            level["files"].append((r["uri"], r["low"], first, r["size"]) if r else ("", 0, first, 0))
-            first += r["size"] if r else 0
-        if not first:
-            break
-        model.levels.append(level)
-        parents = first
+    if not model.tokens:
+        return model
+    # words that more places begin with than a file holds: fewer than there are files
+    often = counted.filter((F.col("n") > places_a_file) & (F.col("key") != int(END))).collect()
+    keys = np.sort(np.array([r["key"] for r in often], np.int64))
+    of = {r["key"]: r["n"] for r in often}
+    heavy = dict(zip(Trie(model).ids(keys)[0].tolist(), [of[k] for k in keys.tolist()], strict=True))
+    if model.texts > places_a_file:
+        heavy[model.vocabulary] = model.texts
+    model.edges = _edges(model, heavy, places_a_file)
+    packed = texts.mapInArrow(lambda b: _trigrams(b, model), "shard long, data binary")
+    written = packed.groupBy("shard").applyInArrow(lambda g: _build(g, model, least, discount, folder), FILES)
+    rows = cut(written, "ngram-files").collect()  # a row a file
+    model.files = [""] * (len(model.edges) - 1)
+    mass: dict[int, float] = {}
+    for r in rows:
+        model.files[r["shard"]] = r["uri"]
+        for word, part in {r["head"]: r["head_mass"], r["tail"]: r["tail_mass"]}.items():
+            mass[word] = mass.get(word, 0.0) + part
+    model.split = {w: int(_quantise(np.array([max(0.0, 1 - mass.get(w, 0.0) / n)]))[0]) for w, n in heavy.items()}
     return model
 
 
@@ -367,15 +426,19 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     trie = Trie(model)
     for batch in batches:
         for first, last, doc, hashed in _stream(batch.column("text")):
-            ids, counts = trie.ids(hashed)
-            base = np.log10(trie.unigram(counts))
-            score = base.copy()
-            for at, node, p, _ in _nodes(trie, doc, ids, len(model.levels) + 1, scores=True):
-                score[at] = np.where(node >= 0, p, score[at] + p)
+            some, back = np.unique(hashed, return_inverse=True)
+            ids, counts = trie.ids(some)
+            known, p1, word = (counts > 0)[back], trie.unigram(counts)[back], ids[back]
+            begins = np.append(True, doc[1:] != doc[:-1])
+            before = np.append(-1, word[:-1])
+            before[begins] = model.vocabulary  # the mark before the first word
+            earlier = np.append(-1, before[:-1])
+            earlier[begins] = -1
+            p = trie.score(earlier, before, word, p1) if model.files else p1
             n = last - first
-            totals = (np.bincount(doc, x, minlength=n) for x in (base, score))
+            totals = (np.bincount(doc, np.log10(x), minlength=n) for x in (p1, p))
             yield pa.record_batch(
-                [batch.column("doc_id").slice(first, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, counts > 0, minlength=n).astype(np.int64)), pa.array(np.full(n, model.tokens)), *map(pa.array, totals)],
+                [batch.column("doc_id").slice(first, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, known, minlength=n).astype(np.int64)), pa.array(np.full(n, model.tokens)), *map(pa.array, totals)],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
