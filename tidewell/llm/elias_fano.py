@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import mmap
 
 import numpy as np
 
@@ -34,7 +35,11 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
     from pyarrow.fs import FileSystem, LocalFileSystem
 
     fs, path = FileSystem.from_uri(uri)
-    data = np.memmap(path, np.uint8, "r") if isinstance(fs, LocalFileSystem) else np.frombuffer(fs.open_input_file(path).readall(), np.uint8)
+    if isinstance(fs, LocalFileSystem):
+        with open(path, "rb") as file:  # all pages at once, not one by one as look-ups come to them
+            data = np.frombuffer(mmap.mmap(file.fileno(), 0, mmap.MAP_SHARED | getattr(mmap, "MAP_POPULATE", 0), mmap.PROT_READ), np.uint8)
+    else:
+        data = np.frombuffer(fs.open_input_file(path).readall(), np.uint8)
     n = int.from_bytes(data[-8:].tobytes(), "little")
     where = json.loads(data[-8 - n : -8].tobytes())
     return {name: data[at : at + size * np.dtype(kind).itemsize].view(kind) for name, (at, size, kind) in where.items()}

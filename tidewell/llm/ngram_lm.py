@@ -29,7 +29,8 @@ from .elias_fano import EliasFano, map_arrays, write_arrays
 from .shared import cut, scratch
 from .textcore import SPACED, U, blocks, words
 
-BLOCK = 2 << 20
+#: Bytes of text that are counted or scored at once; each block asks most files.
+BLOCK, SCORED = 2 << 20, 4 << 20
 #: Places of texts that are counted at once: three local ids of so many distinct words fit 63 bits.
 RUN = 1_500_000
 #: Bytes of files that a task keeps mapped.
@@ -190,9 +191,9 @@ def _vocab_shard(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> (64 - bits)) + (1 << bits >> 1) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _stream(batch_text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _stream(batch_text: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, document, hash) of runs of texts; each text's words and then END."""
-    for first, last, data, offsets in blocks(batch_text, BLOCK):
+    for first, last, data, offsets in blocks(batch_text, most):
         doc, word = words(data, offsets, SPACED)
         n = last - first
         size = np.bincount(doc, minlength=n) + 1
@@ -425,7 +426,7 @@ def train(docs: DataFrame, text: Column, *, least: int = 1, discount: float = 0.
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     trie = Trie(model)
     for batch in batches:
-        for first, last, doc, hashed in _stream(batch.column("text")):
+        for first, last, doc, hashed in _stream(batch.column("text"), SCORED):
             some, back = np.unique(hashed, return_inverse=True)
             ids, counts = trie.ids(some)
             known, p1, word = (counts > 0)[back], trie.unigram(counts)[back], ids[back]
