@@ -1,7 +1,7 @@
 """URL filtering as a sort-merge range join.
 
-A host is reversed label by label and followed by a NUL and the path, so every rule ``host + path`` becomes the
-interval of keys that begin with the rule's own key. A rule also holds for subdomains, so a URL is asked once for
+A host is reversed label by label (labels parted by ``/``, which no host has) and followed by ``?`` and the path (which
+neither has), so every rule ``host + path`` becomes the interval of keys that begin with the rule's own key. A rule also holds for subdomains, so a URL is asked once for
 each of its host's suffixes that has no more labels than the longest rule host. Keys are range-partitioned and
 sorted; each partition sweeps once over its keys and the sorted rules and keeps the stack of rules whose interval
 is open. The key carries the page id, so one hot host or URL is spread over many partitions.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower
 
-SEP = "\x00"
+LABEL, SEP = "/", "?"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -29,7 +29,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_key(host: str, path: str) -> str:
-    return ",".join(reversed(host.split("."))) + SEP + path
+    return LABEL.join(reversed(host.split("."))) + SEP + path
 
 
 def _sweep(parts: Iterator[pd.DataFrame], rules: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
@@ -67,7 +67,7 @@ def judge_urls(
     """Per row of ``pages``: id, host, path, rule (``host + path`` or null), verdict.
 
     ``rules``: (verdict, host, path prefix). The longest fitting rule (characters of host and path; then of the
-    host) wins; of equal rules the first. Rules go to the tasks in sorted blocks of ``max_rules``; further blocks
+    host) wins; of equal rules the first; a rule whose host has a character that no host can have fits nothing. Rules go to the tasks in sorted blocks of ``max_rules``; further blocks
     are further sweeps over the same keys, so no broadcast is larger than a block and none is dropped.
     Null or odd URLs get empty host and path and the default verdict; repeated rows stay repeated; other columns
     of ``pages``, whatever their names, are not touched. An empty table gives an empty result.
@@ -75,14 +75,15 @@ def judge_urls(
     spark = pages.sparkSession
     numbered: dict[tuple[str, str], str] = {}
     for verdict, host, path in rules:
-        numbered.setdefault((host, path), verdict)
+        if not set(host) & set("/?#"):
+            numbered.setdefault((host, path), verdict)
     known = sorted(numbered, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r))  # a greater number wins
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     host, path = host_path(F.col("_url"))
     depth = max((h.count(".") + 1 for h, _ in known), default=1)
     labelled = rows.select("_id", "_url", F.reverse(F.split(host, r"\.")).alias("_labels"), path.alias("_path"))
     suffixes = F.sequence(F.lit(1), F.least(F.lit(depth), F.size("_labels")))
-    keys = F.transform(suffixes, lambda n: F.concat(F.array_join(F.slice("_labels", F.lit(1), n), ","), F.lit(SEP), F.col("_path")))
+    keys = F.transform(suffixes, lambda n: F.concat(F.array_join(F.slice("_labels", F.lit(1), n), LABEL), F.lit(SEP), F.col("_path")))
     asked = labelled.select("_id", "_url", F.posexplode(keys).alias("_n", "_key"))
     asked = asked.repartitionByRange("_key", "_id").sortWithinPartitions("_key")
     best = None
