@@ -201,27 +201,48 @@ def _scan(file, begin: int, stop: int) -> Iterator[tuple[int, int]]:
                 first, one = at - len(data), zlib.decompressobj(31)
 
 
+def _listed(path: str, name: str, starts: dict[str, int]) -> str:
+    """The archive that an index means by ``name``: its path in the package, or below ``archive/``, or its last part where
+    only one archive has that."""
+    for full in (name, f"archive/{name}"):
+        if full in starts:
+            return full
+    alike = [n for n in starts if n.split("/")[-1] == name]
+    if len(alike) != 1:
+        raise ValueError(f"{path}: the index names {name}, which {len(alike)} archives of the package are called")
+    return alike[0]
+
+
 def _index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for path in part["path"]:
             fs, own = _fs(path)
             with fs.open_input_file(own) as file:
                 members = [m for m in central_directory(file, file.size()) if m["name"].startswith(("archive/", "indexes/"))]
-                starts = {m["name"].split("/")[-1]: data_start(file, m) for m in members if m["name"].startswith("archive/") and m["method"] == 0}
+                archives = {m["name"]: m for m in members if m["name"].startswith("archive/") and not m["name"].endswith("/")}
+                for name, m in archives.items():
+                    if m["method"] != 0:
+                        raise ValueError(f"{path}: {name} is compressed in the package, so its records can't be read by ranges")
+                starts = {name: data_start(file, m) for name, m in archives.items()}
                 listed: set[str] = set()
                 rows: list[tuple] = []
                 for m in (m for m in members if m["name"].startswith("indexes/") and m["name"].endswith((".cdxj", ".cdx"))):
                     for line in _member_lines(file, m):
                         if b"{" in line:
                             x = json.loads(line[line.index(b"{") :])
-                            listed.add(x["filename"])
-                            rows.append((path, x["filename"], starts[x["filename"]] + int(x["offset"]), int(x["length"])))
+                            name = _listed(path, x["filename"], starts)
+                            listed.add(name)
+                            rows.append((path, name, starts[name] + int(x["offset"]), int(x["length"])))
+                            if len(rows) >= 50_000:
+                                yield pd.DataFrame(rows, columns=["path", "member", "offset", "length"])
+                                rows = []
+                for name, m in archives.items():
+                    if name not in listed:
+                        for at, n in _scan(file, starts[name], starts[name] + m["packed"]):
+                            rows.append((path, name, starts[name] + at, n))
                             if len(rows) >= 50_000:
                                 yield pd.DataFrame(rows, columns=["path", "member", "offset", "length"])
                                 rows = []
-                for m in members:
-                    if (name := m["name"].split("/")[-1]) in starts and name not in listed:
-                        rows += [(path, name, starts[name] + at, n) for at, n in _scan(file, starts[name], starts[name] + m["packed"])]
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "member", "offset", "length"])
 
@@ -269,7 +290,8 @@ def _fetch(parts: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.Dat
 def read_archives(packages: DataFrame, *, with_payload: bool = True, range_bytes: int = 4 << 20) -> DataFrame:
     """One row a record of the packages named in column ``path``. A response's payload is checked against its
     digest; a revisit's size and digest are those of the full payload, from its headers, and its payload is null.
-    Archives that the index doesn't list are read through; packages without archives give no rows."""
+    Archives that the index doesn't list are read through; packages without archives give no rows. An archive that is
+    compressed in the package, and an index that names an archive which isn't there, are errors: no record is left out."""
     lines = packages.select("path").mapInPandas(_index, LINES)
     dealt = lines.repartition("path", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("path", "offset")
     return dealt.mapInPandas(lambda parts: _fetch(parts, with_payload), RECORDS)
