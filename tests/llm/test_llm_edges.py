@@ -29,6 +29,9 @@ def test_quality_odd(spark, odd_documents, no_documents):
     model = knn_quality.fit_quality(odd_documents, labels, F.lit(True))
     rows = odd_documents.select("doc_id", knn_quality.quality_score(odd_documents, model).alias("s")).collect()
     assert len(rows) == odd_documents.count() and all(0 <= r.s <= 1 for r in rows)
+    often = odd_documents.select("doc_id", "text").unionByName(spark.range(500).selectExpr("7L AS doc_id", "'copy of another text' AS text"))
+    known = knn_quality.fit_quality(often, labels, F.lit(True), max_rows={0: 1, 1: 2})
+    assert len(known["labels"]) == 3 and sorted(known["labels"].tolist()) == [0, 1, 1]
     nothing = knn_quality.fit_quality(no_documents, labels, F.lit(True))
     assert {r.s for r in odd_documents.select(knn_quality.quality_score(odd_documents, nothing).alias("s")).collect()} == {0.5}
     assert no_documents.select(knn_quality.quality_score(no_documents, model).alias("s")).count() == 0
@@ -199,6 +202,35 @@ def test_archives_without_index(spark):
     assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(i, b"p%d" % i) for i in range(5)]
 
 
+def test_archives_that_cannot_be_read_by_ranges(spark):
+    """Compressed members, and indexes that name none or several archives, are errors; base names may repeat."""
+    import hashlib
+    import os
+
+    folder = scratch(spark, "odd").removeprefix("file://")
+    os.makedirs(folder)
+    records = [warc_zip.record_bytes(i, f"u{i}", b"p%d" % i, 2, hashlib.sha256(b"p%d" % i).hexdigest()) for i in range(4)]
+    line = lambda name, i: f"u{i} 2024 " + __import__("json").dumps({"offset": 0, "length": len(records[i]), "filename": name})
+
+    def read(method, members, index):
+        path = f"{folder}/{len(os.listdir(folder))}.wacz"
+        with zipfile.ZipFile(path, "w", method) as z:
+            for name, i in members:
+                z.writestr(name, records[i])
+            if index:
+                z.writestr("indexes/index.cdxj", "\n".join(index))
+        rows = warc_zip.read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+        return sorted((r.page_id, bytes(r.payload)) for r in rows)
+
+    two = [("archive/x/a.warc.gz", 0), ("archive/y/a.warc.gz", 1)]
+    both = [(0, b"p0"), (1, b"p1")]
+    assert read(zipfile.ZIP_STORED, two, []) == both
+    assert read(zipfile.ZIP_STORED, two, [line("x/a.warc.gz", 0), line("archive/y/a.warc.gz", 1)]) == both
+    for method, members, index in ((zipfile.ZIP_DEFLATED, two, []), (zipfile.ZIP_STORED, two, [line("a.warc.gz", 0)]), (zipfile.ZIP_STORED, two[:1], [line("b.warc.gz", 0)])):
+        with pytest.raises(Exception, match="package"):
+            read(method, members, index)
+
+
 # top-k
 
 
@@ -208,6 +240,9 @@ def test_top_k_odd(spark):
     got = topk_search.exact_top_k(df, F.col("vec_id") % 20 == 0, k=3, shard_rows=2, block_queries=1).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 5242880), (0, 2, 20, 5242880), (0, 3, 8, 0), (20, 1, 0, 5242880), (20, 2, 1, 5242880), (20, 3, 8, 0)]
     assert topk_search.exact_top_k(df.limit(0), F.lit(True)).count() == 0
+    big = spark.createDataFrame([(0, [2.0**30, 2.0**30]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.exact_top_k(big, F.lit(True))
 
 
 def test_trees_find_what_brute_force_finds():
@@ -337,8 +372,9 @@ def test_elias_fano():
 
 
 def test_sharding_odd(spark, odd_documents, no_documents):
-    rows = sharding.shuffle_into_shards(odd_documents.select("doc_id", F.length("text").alias("l")), key_cols=["doc_id", "l"], n_shards=4, least_partitions=3).collect()
-    assert len(rows) == odd_documents.count()
+    odd = odd_documents.select("doc_id", F.length("text").alias("l"), *[F.col("doc_id").alias(c) for c in ("_part", "_rank", "piece", "row", "slot", "n", "a.b")])
+    rows = sharding.shuffle_into_shards(odd, key_cols=["doc_id", "l"], n_shards=4, least_partitions=3).collect()
+    assert len(rows) == odd_documents.count() and all(r["_part"] == r["row"] == r["piece"] == r["n"] == r["a.b"] == r.doc_id for r in rows)
     slots = Counter((r.shard, r.slot) for r in rows)
     sizes = Counter(r.shard for r in rows)
     assert max(slots.values()) == 1 and max(sizes.values()) - min(sizes.values()) <= 1
@@ -504,7 +540,7 @@ def test_signatures_estimate_weighted_similarity():
 
 
 def test_urls_odd(spark):
-    urls = [None, "", "no scheme", "http://", "http://COM/en/x", "http://a.b.Example.com/en/7?x", "http://example.com/en/8#y", "https://notexample.com/en/7", "ftp://com?/en/", "http://net/de/8/9", "x://example.net/de/81", "x://.net/de/8", "http://example.net:80/de/8", "http://user@example.com/en/7", "a://b://com/en/", "http://com/EN/"]
+    urls = [None, "", "no scheme", "http://", "http://COM/en/x", "http://a.b.Example.com/en/7?x", "http://example.com/en/8#y", "https://notexample.com/en/7", "ftp://com?/en/", "http://net/de/8/9", "x://example.net/de/81", "x://.net/de/8", "http://example.net:80/de/8", "http://user@example.com/en/7", "a://b://com/en/", "http://com/EN/", "http://com,example/en/7x", "http://com\x00/en/", "http://.com/en/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(0, None), (4, urls[4]), (None, urls[4])]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("_key", F.lit(2))
     from tidewell.llm.queries import URL_RULES
@@ -520,6 +556,7 @@ def test_urls_odd(spark):
         got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, URL_RULES, max_rules=most).collect())
         assert got == Counter((i, *plain(u)) for i, u in rows)
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
+    assert {r.rule for r in url_filter.judge_urls(df, [("block", "example/com", "/en/"), ("block", "com?", "")]).collect()} == {None}
     assert {r.verdict for r in url_filter.judge_urls(df, [], default="block").collect()} == {"block"}
 
 

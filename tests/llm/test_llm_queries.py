@@ -159,6 +159,8 @@ def test_pipeline(spark, sf):
         out.append({r.doc_id for r in kept.select("doc_id").collect()})
     quality, dedup, clean = out
     assert clean <= dedup <= quality
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in quality}
+    assert dedup == set(brute_force_classes(texts).values())
     bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
     assert len(good - quality) <= 0.03 * len(good) and len(bad & quality) <= 0.25 * len(bad)
@@ -169,3 +171,25 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in P.run(spark, sf).select("doc_id").collect()} == clean
 
 
+
+
+def test_pipeline_odd(spark, odd_documents, no_documents, tmp_path):
+    """Nulls, empty tables, repeated rows, and extra columns of names that stages use."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    odd = odd_documents.select("*", *[F.col("doc_id").alias(c) for c in ("_score", "_mark", "_number", "_hash", "told", "text_hash")])
+    for given in (odd, odd.limit(0)):
+        docs = given
+        for _, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == given.columns
+        kept = docs.collect()
+        assert all(r["_mark"] == r["_score"] == r["_number"] == r.doc_id for r in kept)
+        packed = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in kept}
+        # one of the empty texts, one of the copies (7, 7, 8, 12), nothing with the benchmark's window (9)
+        assert {r.doc_id for r in kept} - {None} == ({1, 2, 4, 5, 6, 7, 10, 11} if given is odd else set())

@@ -120,7 +120,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, max_rows:
 
     The sample is bounded: for each label at most ``max_rows`` of the rows for which ``train`` (on doc_id) holds,
     those first by a hash of their id. Ids that are null, or labels that are null or without document, teach
-    nothing; a document that is given twice is learnt from twice. Without any label the model says 0.5.
+    nothing; of a document that is given several times one text is learnt from. Without any label the model says 0.5.
     """
     bound = max_rows or {0: 1500, 1: 4500}
     known = labels.filter(train & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
@@ -128,8 +128,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, max_rows:
     for label, most in bound.items():
         some = known.filter(F.col("label") == label).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
         ids = some if ids is None else ids.unionByName(some)
-    taught = docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("label", "text")
-    rows = taught.mapInArrow(_terms, "label int, terms binary").limit(4 * sum(bound.values())).collect()
+    # of rows of one id the text that comes first by its hash teaches, so the sample has a row an id at most
+    taught = docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id")
+    taught = taught.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
+    rows = taught.mapInArrow(_terms, "label int, terms binary").collect()
     rows = sorted(((r["label"], bytes(r["terms"])) for r in rows), key=lambda r: r)
     x = np.zeros((len(rows), TERMS), np.float32)
     for i, (_, packed) in enumerate(rows):

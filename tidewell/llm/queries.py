@@ -21,7 +21,8 @@ KEEP_SCORE = 0.3
 
 
 def held_out(modulus: int, remainder: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+    """Whether crc32 of the id as text leaves ``remainder``; rows without id are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op5_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = ngram_lm.train(docs.filter(~F.coalesce(held_out(7, 2), F.lit(False))), F.col("text"))
+    model = ngram_lm.train(docs.filter(~held_out(7, 2)), F.col("text"))
     out = ngram_lm.score_texts(docs, model)
     return out.select("doc_id", held_out(7, 2).alias("held_out"), *out.columns[1:])
 

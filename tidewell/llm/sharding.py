@@ -73,30 +73,31 @@ def shuffle_into_shards(
 
     ``key_cols`` name columns that tell rows apart; rows alike in all of them are interchangeable here, and the
     order is a function of them, the seed and the number of rows, so a task that runs again deals the same way.
-    Nulls are a value like others; an empty table gives an empty result; columns of ``df`` must not be named
-    shard or slot. ``df`` is read three times; select narrow columns.
+    Nulls are a value like others; an empty table gives an empty result; columns of ``df`` named shard or slot are
+    replaced, all others stay as they are. ``df`` is read three times; select narrow columns.
     """
     spark = df.sparkSession
     n = df.count()
     parts = max(least_partitions, -(-n // rows_per_partition))
-    whole = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(c) for c in key_cols])
-    keyed = df.withColumn("_part", F.pmod(whole(1), F.lit(parts)))
-    sizes = {r["_part"]: r["n"] for r in keyed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one number a partition
+    keys = [F.col(f"row.`{c}`") for c in key_cols]
+    whole = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *keys)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumn("part", F.pmod(whole(1), F.lit(parts)))
+    sizes = {r["part"]: r["n"] for r in keyed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a partition
     extra = random.Random(seed).sample(range(n_shards), n % n_shards)
     matrix = communication_matrix([sizes.get(p, 0) for p in range(parts)], [n // n_shards + (s in extra) for s in range(n_shards)], seed)
     ends = [(p, [sum(row[: s + 1]) for s in range(n_shards)]) for p, row in enumerate(matrix)]
-    sent = spark.createDataFrame(ends, "_part bigint, _ends array<bigint>")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(whole(2), *key_cols))
-    dealt = keyed.withColumn("_rank", rank).join(sent, "_part")
-    shard = F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int")
+    sent = spark.createDataFrame(ends, "part bigint, ends array<bigint>")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(whole(2), *keys))
+    dealt = keyed.withColumn("rank", rank).join(sent, "part")
+    shard = F.size(F.filter("ends", lambda e: e < F.col("rank"))).cast("int")
     # The second permutation orders each shard by a fresh random number. Its leading part cuts the shard into
     # pieces, so a shard is never sorted by one task; a piece's first slot is the sum of the pieces before it.
     pieces = max(8, parts // n_shards + 1)
-    dealt = dealt.withColumn("shard", shard).withColumn("_piece", F.pmod(whole(3), F.lit(pieces))).drop("_part", "_ends", "_rank")
-    dealt = cut(dealt, "sharding")
-    counts = dealt.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("shard", "_piece", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(whole(4), *key_cols)) - 1
-    placed = dealt.withColumn("_own", own).join(counts, ["shard", "_piece"])
-    return placed.withColumn("slot", (F.col("_before") + F.col("_own")).cast("long")).drop("_piece", "_own", "_before")
+    dealt = cut(dealt.select("row", shard.alias("shard"), F.pmod(whole(3), F.lit(pieces)).alias("piece")), "sharding")
+    counts = dealt.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("shard", "piece").orderBy(whole(4), *keys)) - 1
+    placed = dealt.withColumn("own", own).join(counts, ["shard", "piece"])
+    given = [F.col(f"row.`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*given, "shard", (F.col("before") + F.col("own")).cast("long").alias("slot"))

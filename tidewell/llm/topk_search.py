@@ -121,12 +121,17 @@ def exact_top_k(
 
     Vectors that are null or hold a null or non-finite component, and rows without id, take no part. Vectors of
     another length than the query's are not compared with it. Of rows of one id each takes part, except against a
-    query of that id. Fewer than k candidates: all. An empty table gives an empty result. Other columns are ignored.
+    query of that id. Fewer than k candidates: all. Vectors so large that an inner product might not fit 64 bits are an
+    error before any search. An empty table gives an empty result. Other columns are ignored.
     """
     x = F.col(vector_col)
     good = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    rows = vectors.filter(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"), is_query.alias("q"), F.size(x).alias("dim"))
-    n = max(1, rows.count())
+    rows = vectors.filter(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"), is_query.alias("q"), F.size(x).alias("dim"), x.alias("x"))
+    # one number for all: sums of products have to fit 64 bits
+    told = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v.cast("double") * scale)))).alias("top")).first()
+    if (told["dim"] or 0) * (float(told["top"] or 0) + 1) ** 2 >= 2**63:
+        raise ValueError(f"inner products of {told['dim']} components up to {told['top']:.4g} don't fit 64 bits; take a smaller scale")
+    n, rows = max(1, told["n"]), rows.drop("x")
     shards = -(-n // shard_rows)
     spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("int")
     query_blocks = -(-max(1, rows.filter("q").count()) // block_queries)
