@@ -27,15 +27,18 @@ def document_keys(chunks: DataFrame) -> DataFrame:
 
 
 def identical_groups(chunks: DataFrame) -> DataFrame:
-    """title, content_key, docs, doc_ids of documents with the same title and the same set of chunk hashes."""
-    groups = document_keys(chunks).groupBy("title", "content_key").agg(F.count("*").alias("docs"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
-    return groups.filter("docs > 1")
+    """title, content_key, docs (of the group), doc_id of documents with the same title and the same set of chunk hashes; a
+    row a document, so that a group may be of any size."""
+    keys = document_keys(chunks)
+    groups = keys.groupBy(F.col("title").alias("_title"), F.col("content_key").alias("_key")).agg(F.count("*").alias("docs")).filter("docs > 1")
+    return keys.join(groups, F.col("title").eqNullSafe(F.col("_title")) & (F.col("content_key") == F.col("_key"))).select("title", "content_key", "docs", "doc_id")
 
 
 def keep_largest(chunks: DataFrame) -> DataFrame:
     """doc_id, keep: of identical documents the one with the most chunks stays (smallest id of equals)."""
-    w = Window.partitionBy("title", "content_key").orderBy(F.desc("chunks"), "doc_id")
-    return document_keys(chunks).select("doc_id", (F.row_number().over(w) == 1).alias("keep"))
+    keys = document_keys(chunks)
+    best = keys.groupBy(F.col("title").alias("_title"), F.col("content_key").alias("_key")).agg(F.min_by("doc_id", F.struct(-F.col("chunks"), "doc_id")).alias("_best"))
+    return keys.join(best, F.col("title").eqNullSafe(F.col("_title")) & (F.col("content_key") == F.col("_key"))).select("doc_id", (F.col("doc_id") == F.col("_best")).alias("keep"))
 
 
 def drop_identical(chunks: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -49,8 +49,9 @@ def issue_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
     """One row an id: the last by position for issues, the first for others."""
-    w = Window.partitionBy("id").orderBy(F.when(F.col("type") == "issue", -F.col("position")).otherwise(F.col("position")), "type", "label")
-    return nodes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "position")
+    order = F.struct(F.when(F.col("type") == "issue", -F.col("position")).otherwise(F.col("position")).alias("at"), "type", "label")
+    rest = [c for c in nodes.columns if c not in ("id", "position")]
+    return nodes.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("n")).select("id", "n.*").select([c for c in nodes.columns if c != "position"])
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

@@ -329,7 +329,7 @@ def _(v: Views):
     return G.issues_with_edge(nodes.filter("type = 'issue'"), edges, ["HAS_LABEL"], "label:1-URGENT").select("id")
 
 
-_NEAR = f"""WITH {_EDGES}, {_NODES}, l AS (SELECT DISTINCT src, dst FROM e WHERE rel = 'LINKS_TO'), k AS (SELECT DISTINCT dst AS key FROM l WHERE CAST(substr(dst, 9) AS BIGINT) % 100 = 0),
+_NEAR = f"""WITH {_EDGES}, {_NODES}, l AS (SELECT DISTINCT src, dst FROM e WHERE rel = 'LINKS_TO'), k AS (SELECT DISTINCT dst AS key FROM l),
 x AS (SELECT key, src AS id FROM l JOIN k ON dst = key UNION SELECT key, dst FROM l JOIN k ON src = key) SELECT x.key, x.id, n.label FROM x JOIN n ON n.id = x.id"""
 
 
@@ -337,7 +337,6 @@ x AS (SELECT key, src AS id FROM l JOIN k ON dst = key UNION SELECT key, dst FRO
 def _(v: Views):
     nodes, edges = graph(v)
     keys = edges.filter("rel = 'LINKS_TO'").select(F.col("dst").alias("key")).distinct()
-    keys = keys if v.whole else keys.filter(F.substring("key", 9, 20).try_cast("long") % 100 == 0)
     return G.neighbours(edges, nodes, keys).select("key", "id", "label").distinct()
 
 

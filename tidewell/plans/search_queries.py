@@ -8,6 +8,7 @@ from ..functions import query_text as Q
 from ..operators import chunks as C
 from ..operators import corpus as K
 from ..operators import retrieval as R
+from ..operators.sizes import held
 from .registry import Views, query
 from .text_queries import _CHUNKS, _POST, _TOK, chunk_table
 
@@ -75,34 +76,23 @@ def _(v: Views):
     return R.attach_chunks(R.bm25_search(asked(v), C.postings_of(c), 10), c.select("chunk_id", "source"), ["src0", "src1", "src2"]).select("query_id", "chunk_id", "source")
 
 
-# Two lists of hits that overlap, by rule, over documents as candidates.
+# Candidates of both searches over all documents and all vectors; document i has vector i.
 
-_HITS = """hv AS (SELECT query_id, id AS chunk_id, CAST((CAST(substr(id, 2) AS BIGINT) + query_id * 7) % 40 AS INTEGER) AS rank, ((CAST(substr(id, 2) AS BIGINT) + query_id * 7) % 40) / 64.0 AS distance FROM queries_v, corpus_docs WHERE (CAST(substr(id, 2) AS BIGINT) + query_id * 7) % 40 < 12 AND CAST(substr(id, 2) AS BIGINT) < 40),
-hk AS (SELECT query_id, id AS chunk_id, CAST((CAST(substr(id, 2) AS BIGINT) + query_id * 11) % 40 AS INTEGER) AS rank FROM queries_v, corpus_docs WHERE (CAST(substr(id, 2) AS BIGINT) + query_id * 11) % 40 < 12 AND CAST(substr(id, 2) AS BIGINT) < 40),
+_HITS = f"""hv AS (SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) - 1 AS rank
+FROM (SELECT q.vec_id AS query_id, 'd' || e.vec_id AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS distance FROM embeddings q JOIN queries_v ON query_id = q.vec_id, embeddings e)) WHERE rank < 12),
+hk AS (WITH ch AS (SELECT id AS chunk_id, content AS text FROM corpus_docs), {_POST}, {_KW}, {_BM} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 12),
 cand AS (SELECT coalesce(hv.query_id, hk.query_id) AS query_id, coalesce(hv.chunk_id, hk.chunk_id) AS chunk_id, hv.rank AS v_rank, hk.rank AS k_rank, hv.distance FROM hv FULL JOIN hk ON hv.query_id = hk.query_id AND hv.chunk_id = hk.chunk_id),
 fused AS (SELECT *, CASE WHEN v_rank IS NULL THEN 0.5::DOUBLE / (k_rank + 61) ELSE 1.0::DOUBLE / (v_rank + 61) + coalesce(1.0::DOUBLE / (k_rank + 61), 0) END AS rrf FROM cand),
 hits AS (SELECT f.*, d.source AS lang_source, CASE CAST(substr(chunk_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'jira' WHEN 1 THEN 'page' ELSE 'docs' END AS source, CAST(substr(chunk_id, 2) AS BIGINT) AS no, d.title, d.created_at, d.content AS text FROM fused f JOIN corpus_docs d ON d.id = f.chunk_id)"""
 
 
-def found(v: Views):
-    """Candidates from both searches over all documents and all vectors; document i has vector i."""
+def candidates(v: Views):
     asks = v.queries_v.join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
     vecs = v.embeddings.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
     words = C.postings_of(v.corpus_docs.select(F.col("id").alias("chunk_id"), F.col("content").alias("text")))
     return R.merge_candidates(R.vector_top_n(asks, vecs, 12), R.bm25_search(asked(v), words, 12))
 
 
-def candidates(v: Views):
-    if v.whole:
-        return found(v)
-    no = F.substring("id", 2, 20).cast("long")
-    pairs = v.corpus_docs.filter(no < 40).select("id").crossJoin(F.broadcast(v.queries_v.select("query_id"))).withColumnRenamed("id", "chunk_id")
-    at = lambda m: ((F.substring("chunk_id", 2, 20).cast("long") + F.col("query_id") * m) % 40).cast("int")
-    vec = pairs.select("query_id", "chunk_id", at(7).alias("rank"), (at(7) / 64.0).alias("distance")).filter("rank < 12")
-    kw = pairs.select("query_id", "chunk_id", at(11).alias("rank")).filter("rank < 12")
-    return R.merge_candidates(vec, kw)
-
-
 def hits(v: Views):
     no = F.substring("chunk_id", 2, 20).cast("long")
     d = v.corpus_docs.select(F.col("id").alias("chunk_id"), "title", "created_at", F.col("content").alias("text"))
@@ -148,7 +138,7 @@ rr AS (SELECT *, round({_OVER}, 6) AS rerank_score FROM top)"""
 
 
 def reranked(v: Views):
-    return R.rerank(hits(v).join(F.broadcast(v.queries_v), "query_id"))
+    return R.rerank(hits(v).join(held(v.queries_v), "query_id"))
 
 
 @query("i09_rerank", f"WITH {_RR} SELECT query_id, chunk_id, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf DESC, chunk_id) - 1 AS INTEGER) AS rank FROM rr")
@@ -324,7 +314,7 @@ def hybrid_query(v: Views):
     return hybrid_search(q, c.select("chunk_id", "doc_id", "source", "text", "created_at"), C.postings_of(c), vecs, 5, NOW)
 
 
-@query("k07_feedback_triage")
+@query("k07_feedback_triage", f"SELECT query_id, CASE WHEN CAST(substr(doc_id, 2) AS BIGINT) % 2 = 0 THEN 'cited' ELSE 'missed' END AS verdict, count(*) AS n FROM ({_HYB}) GROUP BY 1, 2")
 def _(v: Views):
     found = hybrid_query(v).withColumn("rrf", F.lit(0.02)).withColumn("distance", F.lit(0.1))
     refs = found.filter(F.substring("doc_id", 2, 20).cast("long") % 2 == 0).select("query_id", "doc_id")
@@ -354,9 +344,9 @@ def _(v: Views):
 _KEYS = "k AS (SELECT doc_id, trim(any_value(title)) AS title, list_sort(list_distinct(list(content_hash))) AS key, count(*) AS chunks FROM ch GROUP BY 1)"
 
 
-@query("e23_identical_groups", f"WITH {_CHUNKS}, {_KEYS} SELECT title, count(*) AS docs, list_sort(list(doc_id)) AS doc_ids FROM k GROUP BY title, key HAVING count(*) > 1")
+@query("e23_identical_groups", f"WITH {_CHUNKS}, {_KEYS} SELECT title, docs, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY title, key) AS docs FROM k) WHERE docs > 1")
 def _(v: Views):
-    return K.identical_groups(chunk_table(v)).select("title", "docs", "doc_ids")
+    return K.identical_groups(chunk_table(v)).select("title", "docs", "doc_id")
 
 
 _KEEP = f"{_KEYS}, r AS (SELECT *, row_number() OVER (PARTITION BY title, key ORDER BY chunks DESC, doc_id) AS n FROM k)"
@@ -438,11 +428,11 @@ def _(v: Views):
     return K.topic_candidates(q)
 
 
-@query("e24_ab_summary", """WITH j AS (SELECT l_orderkey AS case_id, 'm' || l_linenumber AS model, CAST(l_quantity AS BIGINT) % 4 AS score, l_discount > 0.09 AS error, l_quantity AS ms FROM lineitem WHERE l_linenumber <= 2),
+@query("e24_ab_summary", """WITH j AS (SELECT l_orderkey AS case_id, 'm' || l_linenumber AS model, CAST(l_quantity AS BIGINT) % 4 AS score, l_discount > 0.09 AS error, l_quantity AS ms FROM lineitem),
 b AS (SELECT *, max(score) OVER (PARTITION BY case_id) AS best FROM j), t AS (SELECT *, count(*) FILTER (score = best) OVER (PARTITION BY case_id) AS tied FROM b)
 SELECT model, avg(score) AS mean_score, count(*) FILTER (error) AS errors, avg(ms) AS mean_ms, max(ms) AS max_ms, count(*) FILTER (score = best AND tied = 1) AS wins, count(*) FILTER (score = best AND tied > 1) AS ties FROM t GROUP BY 1""")
 def _(v: Views):
-    j = v.lineitem.filter("l_linenumber <= 2" if not v.whole else "true").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("model"), (F.col("l_quantity").cast("long") % 4).alias("score"), (F.col("l_discount") > 0.09).alias("error"), F.col("l_quantity").alias("ms"))
+    j = v.lineitem.select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("model"), (F.col("l_quantity").cast("long") % 4).alias("score"), (F.col("l_discount") > 0.09).alias("error"), F.col("l_quantity").alias("ms"))
     return K.ab_summary(j)
 
 

@@ -18,6 +18,8 @@ from .registry import GIVEN, Views, query
 def shared(v: Views) -> str:
     base = v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or v.spark.conf.get("tidewell.streams.dir", None)
     if not base:
+        if not v.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         v.spark.conf.set("tidewell.streams.dir", base)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -129,15 +131,60 @@ def _(v: Views):
     return files.read_issue_docs(v.spark, _exported(v)).filter("id IS NOT NULL").select("id")
 
 
-@query("a10_upsert_table", "SELECT id AS chunk_id, source, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 'new' ELSE 'old' END AS content_hash FROM corpus_docs WHERE CAST(substr(id, 2) AS BIGINT) % 7 <> 0 OR CAST(substr(id, 2) AS BIGINT) % 3 = 0")
+@query("a10_upsert_table", "SELECT id AS chunk_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 6 = 0 THEN 'moved to' WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN source ELSE source || ' old' END AS source, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 'new' ELSE 'old' END AS content_hash FROM corpus_docs WHERE CAST(substr(id, 2) AS BIGINT) % 7 <> 0 OR CAST(substr(id, 2) AS BIGINT) % 3 = 0")
 def _(v: Views):
     base, no = shared(v), F.substring("id", 2, 20).cast("long")
-    row = lambda h: [F.col("id").alias("chunk_id"), "source", F.lit(h).alias("content_hash"), F.create_map(F.lit("lang"), F.col("lang")).alias("meta")]
-    v.corpus_docs.filter(no % 7 != 0).select(*row("old")).write.partitionBy("source").parquet(f"{base}/table")
-    files.upsert_chunks(v.spark, f"{base}/table", v.corpus_docs.filter(no % 3 == 0).select(*row("new")))
+    row = lambda h, source: [F.col("id").alias("chunk_id"), source.alias("source"), F.lit(h).alias("content_hash"), F.create_map(F.lit("lang"), F.col("lang")).alias("meta")]
+    v.corpus_docs.filter(no % 7 != 0).select(*row("old", F.concat("source", F.lit(" old")))).write.partitionBy("source").parquet(f"{base}/table")
+    files.upsert_chunks(v.spark, f"{base}/table", v.corpus_docs.filter(no % 3 == 0).select(*row("new", F.when(no % 6 == 0, "moved to").otherwise(F.col("source")))))
     return v.spark.read.parquet(files.compact(v.spark, f"{base}/table", 4)).select("chunk_id", "source", "content_hash")
 
 
+@query("a13_rebuild_collection", "SELECT id AS chunk_id, source FROM corpus_docs")
+def _(v: Views):
+    base = shared(v)
+    v.corpus_docs.select(F.col("id").alias("chunk_id"), "source").repartition(32).write.parquet(f"{base}/table")
+    files.rebuild_collection(v.spark, f"{base}/table", 4)
+    return v.spark.read.parquet(f"{base}/table")
+
+
+@query("a08_markdown_tree", """SELECT 'page/' || id || '.md' AS rel_path, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'Title ' || id ELSE id END AS title, 'page' AS category
+FROM corpus_docs WHERE length(trim(content)) >= 60""")
+def _(v: Views):
+    # a file a document, as exports of a wiki are
+    base, no = shared(v), F.substring("id", 2, 20).cast("long")
+    docs = v.corpus_docs.filter(F.length(F.trim("content")) >= 60)
+    text = F.when(no % 2 == 0, F.concat(F.lit("# Title "), "id", F.lit("\n"), "content")).otherwise(F.col("content"))
+    docs.select("id", text.alias("text")).mapInPandas(lambda parts: _write_files(parts, f"{base}/tree/page"), "n long").agg(F.sum("n")).collect()
+    return files.read_markdown_tree(v.spark, f"{base}/tree").select("rel_path", "title", "category")
+
+
+def _write_files(parts, folder: str):
+    import pandas as pd
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    for part in parts:
+        for name, text in zip(part["id"], part["text"]):
+            with fs.open_output_stream(f"{path}/{name}.md") as out:
+                out.write(text.encode())
+        yield pd.DataFrame({"n": [len(part)]})
+
+
+@query("l10_late_rows", """SELECT 'dedupeWithinWatermark' AS operator, count(*) AS late FROM events
+WHERE event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 10 > 1) - INTERVAL 1 HOUR""")
+def _(v: Views):
+    # most rows come first; a batch is filtered by the watermark that the one before it began with, so the third is
+    base = shared(v)
+    for part, rows in (("a", "event_id % 10 > 1"), ("b", "event_id % 10 = 1"), ("c", "event_id % 10 = 0")):
+        v.events.filter(rows).select("event_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{base}/in/{part}")
+    source = v.spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    q = S.dedup_stream(source, "event_id").writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return v.spark.createDataFrame(list(S.late_rows(q).items()), "operator string, late long")
+
+
 def _ingested(v: Views) -> DataFrame:
     """The table of chunks (chunk_id, source, content_hash, meta, doc_id, chunk_ix, text) after all documents came in."""
     base = shared(v)

@@ -148,16 +148,24 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 
 def upsert_chunks(spark: SparkSession, target: str, incoming: DataFrame, schema: str | None = None) -> DataFrame:
     """Puts new and changed chunks into the table at path ``target`` (partitioned by source): only the partitions that
-    change are written, into a new folder each, and then exchanged. Returns ``incoming`` with its action. An empty table
-    needs its ``schema``."""
+    change (also those that a chunk leaves for another source) are written, into a new folder, and then exchanged. Returns
+    ``incoming`` with its action. An empty table needs its ``schema``."""
     stored = spark.read.schema(schema).parquet(target) if schema else spark.read.parquet(target)
     side = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
     diff_chunks(incoming, stored).write.parquet(f"{side}/diff")  # before the table changes
     diff = spark.read.parquet(f"{side}/diff")
     changed = diff.filter("action <> 'skipped'").select(stored.columns)
-    touched = stored.join(changed.select("source").distinct(), "source", "left_semi")
+    places = stored.select("chunk_id", "source", F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1).alias("folder"))
+    left = places.join(changed.select("chunk_id"), "chunk_id", "left_semi").select("source", "folder").distinct()
+    left.write.parquet(f"{side}/left")
+    left = spark.read.parquet(f"{side}/left")
+    touched = stored.join(changed.select("source").union(left.select("source")).distinct(), "source", "left_semi")
     upserted(touched, changed).repartition("source", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.partitionBy("source").parquet(f"{side}/rows")
     spark.read.schema(stored.schema).parquet(f"{side}/rows").select(stored.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(target)
+    # partitions that no row is left in; a row a source at most
+    for r in left.join(spark.read.schema(stored.schema).parquet(f"{side}/rows").select("source").distinct(), "source", "left_anti").collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(r["folder"]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return diff.select("chunk_id", "action")
 
 
@@ -170,6 +178,17 @@ def compact(spark: SparkSession, table: str, files: int) -> str:
     return side
 
 
+def rebuild_collection(spark: SparkSession, table: str, files: int) -> str:
+    """`compact`, and then the new table in the place of the old one; returns where the old one is kept. Whoever reads
+    while the folders are exchanged has to read again."""
+    side, old = compact(spark, table, files), f"{table.rstrip('/')}.old-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not (fs.rename(path(table), path(old)) and fs.rename(path(side), path(table))):
+        raise ValueError(f"{table} could not be exchanged; see {old} and {side}")
+    return old
+
+
 def evolve(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Adds missing columns and fills nulls of those that are there, from ``defaults``."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
