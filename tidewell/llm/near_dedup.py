@@ -7,7 +7,7 @@ the same in every document that has it, and a document owns those under its weig
 the probability of their weighted Jaccard similarity. About ``k ln k + 2k`` darts are thrown a document, however long.
 
 Signatures are cut into bands. In each of a few rounds a row of a band bucket is held, by exact similarity, against one
-row of its buckets that is central there, so links are at most one a row and round; what they connect gets one label.
+row of its buckets, so links are at most one a row and round; what they connect gets one label.
 Rows of different labels that still share a bucket are then compared: as pairs in small buckets, and in blocks of
 bounded size in large ones, where distances to two pivots rule most pairs out (the triangle inequality of the Jaccard
 distance) and a block hands on a spanning forest of labels. No link that shares a bucket is dropped.
@@ -308,29 +308,29 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, si
     keys = ["key1", "key2"]
     firsts = cut(sketches.groupBy(keys).agg(F.min("rid").alias("node"), F.count("*").alias("n")), "firsts")
 
-    # Buckets of several rows; a row's place in all of them is by how many rows it meets, then by its hash.
+    # Buckets of several rows, the row of the smallest hash in each, and of these the smallest that a row meets. A row's
+    # place in later rounds is by how many rows it meets, then by its hash.
     nodes = sketches.select("rid", "bands").join(firsts.select(F.col("node").alias("rid")), "rid")
     banded = cut(nodes.select("rid", F.explode("bands").alias("bucket")), "banded")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = banded.join(sizes, "bucket").groupBy("rid").agg((-F.sum("n")).alias("meets"), F.collect_list(F.struct("bucket", "n")).alias("buckets"))
-    met = cut(met.select("rid", F.struct("meets", F.xxhash64("rid").alias("hash"), "rid").alias("row"), "buckets"), "met")
+    pivots = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rid").alias("hash"), F.col("rid").alias("pivot"))).alias("p")).filter("n > 1")
+    first = F.min(F.when(F.col("p.pivot") != F.col("rid"), F.col("p")))
+    met = banded.join(pivots, "bucket").groupBy("rid").agg((-F.sum("n")).alias("meets"), F.collect_list(F.struct("bucket", "n")).alias("buckets"), first.alias("first"))
+    met = cut(met.select("rid", F.struct("meets", F.xxhash64("rid").alias("hash"), "rid").alias("row"), "buckets", F.col("first.pivot").alias("pivot")), "met")
     labels = met.select("rid", F.col("rid").alias("label"))
     # Sets of all that share a bucket, taken once; these grow with the corpus, so nothing here is broadcast by hand.
     sets = cut(sketches.select("rid", "shingles").join(labels.select("rid").hint("merge"), "rid", "left_semi"), "sets")
     alike = F.col("common") >= F.col("total") * similarity - 1e-9
 
-    # The first round holds each row against the most central row of all its buckets, later ones against a pivot of a
-    # large bucket with several labels that it was not yet held against.
-    shared = _in_buckets(met)
-    pivots = shared.groupBy("bucket").agg(F.min("row").alias("pivot"))
-    tries = shared.join(pivots, "bucket").filter("row.rid <> pivot.rid").select("row.rid", "pivot")
+    # The first round holds each row against that row, later ones against a central row of a large bucket with several
+    # labels that it was not yet held against.
+    chosen = met.filter("pivot IS NOT NULL").select(F.col("rid").alias("a"), F.col("pivot").alias("b"))
     known, open_ = None, None
     for turn in range(ROUNDS):
         if turn:
             sides = [open_.filter(f"label <> {c}.label").select("row.rid", F.col(f"{c}.row").alias("pivot")) for c in "pq"]
             tried = known.select(F.col("a").alias("rid"), F.col("b").alias("other"))
             tries = sides[0].unionByName(sides[1]).withColumn("other", F.col("pivot.rid")).join(tried, ["rid", "other"], "left_anti")
-        chosen = tries.groupBy("rid").agg(F.min("pivot").alias("pivot")).select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"))
+            chosen = tries.groupBy("rid").agg(F.min("pivot").alias("pivot")).select(F.col("rid").alias("a"), F.col("pivot.rid").alias("b"))
         found = cut(_compare(cut(chosen, "pairs"), sets), "links")
         known = found if known is None else known.unionByName(found)
         joined = found.filter(alike).select("a", "b")
