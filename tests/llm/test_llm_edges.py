@@ -57,33 +57,55 @@ def test_chat_odd(spark):
     long_ = "z " * 40_000
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "user", "a"), (2, 1, "assistant", "b\\</s>[INST"), (2, 1, "assistant", "b\\</s>[INST"), (3, None, None, None), (None, 0, "tool[/ROLE]", "x\ny"), (4, 0, "system", long_), (4, 1, "user", "<<SYS>>"), (4, 2, "assistant", "[/TURN]<s>"), (5, 0, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("_k1", F.lit(2))
-    for limits in ({}, {"max_tree_tokens": 4, "max_tree_conversations": 1}):
-        trees = cut(chat_tree.format_chat_trees(df, tokenizer=BYTES, **limits), "t")
-        got = {r.conv_id: r for r in chat_tree.read_chat_trees(trees, tokenizer=BYTES).collect()}
-        want: dict = {}
-        for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1], r[2] or "", r[3] or "")):
-            want.setdefault(c, []).append((role or "", text or ""))
-        assert set(got) == set(want)
-        import hashlib
+    trees = chat_tree.format_chat_trees(df, tokenizer=BYTES)
+    got = {r.conv_id: r for r in chat_tree.read_chat_trees(trees, tokenizer=BYTES).collect()}
+    want: dict = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] is not None, r[1], r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert set(got) == set(want)
+    import hashlib
 
-        for c, turns in want.items():
-            assert got[c].n_turns == len(turns)
-            assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-            learnt = "".join(t for r, t in turns if r == "assistant")
-            assert (got[c].loss_chars, got[c].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
-    assert chat_tree.format_chat_trees(df.limit(0), tokenizer=BYTES).count() == 0
+    for c, turns in want.items():
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        learnt = "".join(t for r, t in turns if r == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert got[c].formatted_chars == sum(len("".join(chat_tree.wrap(r, t))) for r, t in turns)
+    none = chat_tree.format_chat_trees(df.limit(0), tokenizer=BYTES)
+    assert none.nodes.count() == none.conversations.count() == 0
+    assert chat_tree.read_chat_trees(none, tokenizer=BYTES).count() == 0
 
 
 def test_shared_turns_stand_once(spark):
-    rows = [(c, t, r, x) for c in range(20) for t, r, x in ((0, "system", "same " * 50), (1, "user", f"q{c % 3}"), (2, "assistant", f"a{c}"))]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
-    trees = chat_tree.format_chat_trees(df, tokenizer=BYTES, max_tree_conversations=1000).collect()
-    nodes = sum(len(t.nodes) for t in trees)
-    assert sum(len(t.conversations) for t in trees) == 20 and nodes <= len(trees) * 4 + 20
-    for t in trees:
-        for n in t.nodes:
-            assert n.begin == 0 or t.nodes.index(n) > 0
-            assert t.position_ids[n.begin] == sum(x.end - x.begin for x in n.attend)
+    """Each prefix of turns is one node over all partitions; nodes fill their trees without gaps, depth first."""
+    rows = [(c, t, r, x) for c in range(200) for t, r, x in ((0, "system", "same " * 50), (1, "user", f"q{c % 3}"), (2, "assistant", f"a{c % 60}"), (3, "user", "more"), (4, "assistant", f"b{c % 120}"), (5, "user", "end"))]
+    rows += [(1000 + c, 0, "user", f"q{c % 2}") for c in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    trees = chat_tree.format_chat_trees(df, tokenizer=BYTES)
+    nodes, convs = trees.nodes.collect(), {r.conv_id: r.path for r in trees.conversations.collect()}
+    said: dict = {}
+    for c, _, r, x in sorted(rows):
+        said[c] = (*said.get(c, ()), (r, x))
+    prefixes = {t[: n + 1] for t in said.values() for n in range(len(t))}
+    known = {n.node_id: n for n in nodes}
+    assert len(nodes) == len(known) == len(prefixes)
+    assert {c: len(p) for c, p in convs.items()} == {c: len(t) for c, t in said.items()}
+    by_tree: dict = {}
+    for n in nodes:
+        by_tree.setdefault(n.tree_id, []).append(n)
+        assert n.end - n.begin == len(n.input_ids) == len(n.loss_mask)
+    assert len(by_tree) == 3
+    for tree in by_tree.values():
+        tree.sort(key=lambda n: n.begin)
+        assert [n.begin for n in tree] == [0, *[n.end for n in tree[:-1]]]
+        stack: list = []
+        for n in tree:  # depth first: a node's parent is on the open path
+            del stack[n.depth :]
+            assert (stack[-1].node_id if stack else None) == n.parent_id
+            before = [i for x in n.attend for i in range(x.begin, x.end)]
+            assert before == [i for x in stack for i in range(x.begin, x.end)]
+            assert n.position_ids == list(range(len(before), len(before) + len(n.input_ids)))
+            stack.append(n)
 
 
 def test_escape_round_trip():

@@ -37,7 +37,7 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", asked), (-1, 1, "assistant", asked)], "conv_id long, turn long, role string, text string")
     tokenizer = f"{TOKENIZERS}/byte_bpe_50k.json"
     trees = chat_tree.format_chat_trees(table(spark, sf_dir, "conversations").select(extra.columns).unionByName(extra), tokenizer=tokenizer)
-    return chat_tree.read_chat_trees(cut(trees, "chat-trees"), tokenizer=tokenizer)
+    return chat_tree.read_chat_trees(trees._replace(nodes=cut(trees.nodes, "chat-nodes")), tokenizer=tokenizer)
 
 
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
