@@ -430,11 +430,11 @@ def test_every_order_is_as_likely(spark):
 # decontamination
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-def test_contamination_odd(spark, odd_documents, no_documents, limit):
+@pytest.mark.parametrize("limits", [{}, {"filter_bits": 64, "max_broadcast": 0}])
+def test_contamination_odd(spark, odd_documents, no_documents, limits):
     items = [(1, "quick brown fox jumps over the lazy dog and runs"), (2, "Word"), (3, None), (4, "?!"), (None, "null id has"), (10, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (11, "W6 w7 w8 w9 w10 w11 w12 w13 w14 w15"), (12, "text that")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("k", F.lit(1))
-    got = decontam.find_contamination(odd_documents, bench, max_inline=limit).collect()
+    got = decontam.find_contamination(odd_documents, bench, **limits).collect()
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     want = Counter()
     for r in odd_documents.select("doc_id", "text").collect():
@@ -454,8 +454,8 @@ def test_contamination_odd(spark, odd_documents, no_documents, limit):
 
         want[(r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
-    assert decontam.find_contamination(no_documents, bench, max_inline=limit).count() == 0
-    assert {r.n_hit for r in decontam.find_contamination(odd_documents, bench.limit(0), max_inline=limit).collect()} == {0}
+    assert decontam.find_contamination(no_documents, bench, **limits).count() == 0
+    assert {r.n_hit for r in decontam.find_contamination(odd_documents, bench.limit(0), **limits).collect()} == {0}
 
 
 # near duplicates

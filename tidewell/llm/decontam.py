@@ -2,7 +2,8 @@
 
 An item's window (``window`` consecutive words; all of a shorter item) is a set of word shingles with positions.
 A window can only occur in a document that has each of its shingles, so a prefix of one is enough: its rarest, by
-counts over all documents. Document shingles that any item has are picked by one scan; the prefix join keeps
+counts over all documents. One scan picks document shingles that a Bloom filter of the items' shingles lets through
+(of fixed size, whatever the benchmark's; the joins sort out what it lets through wrongly); the prefix join keeps
 positions where a window's rarest shingle stands; bounds on position and length drop windows that would not fit;
 what is left is compared word by word.
 """
@@ -36,6 +37,22 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     return wins.withColumn("shingles", by_k).withColumnRenamed("_w", "win")
 
 
+def _places(h: str, bits: int) -> list[str]:
+    """The two bits of a shingle's hash, as SQL."""
+    return [f"({h} & {bits - 1})", f"(shiftrightunsigned({h}, 32) & {bits - 1})"]
+
+
+def bloom_words(shingles: DataFrame, bits: int) -> str:
+    """A Bloom filter of column h as SQL: a constant array of ``bits`` / 64 longs. As many rows come to the driver at
+    most; ``bits`` is a power of two, up to 2^31."""
+    places = shingles.select(F.explode(F.expr(f"array({', '.join(_places('h', bits))})")).alias("_b"))
+    words = places.groupBy(F.shiftright("_b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(_b & 63 AS INT)))").alias("v")).collect()
+    out = ["0"] * (bits // 64)
+    for word in words:
+        out[word["at"]] = str(word["v"])
+    return f"CAST(split('{','.join(out)}', ',') AS ARRAY<BIGINT>)"
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -44,42 +61,32 @@ def find_contamination(
     text_col: str = "text",
     window: int = 10,
     shingle: int = 3,
-    max_inline: int = 50_000,
+    filter_bits: int = 1 << 22,
+    max_broadcast: int = 50_000,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_words, n_hit (words inside any occurrence of a window), n_items,
     items_sha256 (of the found items' ids, sorted as strings, joined by commas), contaminated.
 
     Null and wordless texts have no words; wordless items match nothing; items without id count as "null".
-    Repeated rows stay repeated, equal windows of several items count for each. Up to ``max_inline`` windows and
-    distinct shingles of the benchmark are sent to all tasks (shingles as a literal set in the scan); beyond that both
-    are joined by shuffle. An empty table of documents gives an empty result; other columns are ignored.
+    Repeated rows stay repeated, equal windows of several items count for each. The Bloom filter's size is
+    ``filter_bits``: a benchmark of many more shingles than a tenth of that only lets more positions through, which
+    the join by shingle drops. Up to ``max_broadcast`` windows are sent to all tasks for that join, more go by shuffle.
+    An empty table of documents gives an empty result; other columns are ignored.
     """
     wins = cut(item_windows(benchmark, window, shingle), "windows")
-    sizes = wins.select("k", F.explode("shingles").alias("s")).select("k", "s.h").distinct()
-    small = all(df.limit(max_inline + 1).count() <= max_inline for df in (sizes, wins))
+    held = (lambda df: F.broadcast(df)) if wins.limit(max_broadcast + 1).count() <= max_broadcast else (lambda df: df)
     ks = sorted(r["k"] for r in wins.select("k").distinct().collect())
     empty = F.expr("CAST(array() AS array<struct<k: int, pos: int, h: bigint>>)")
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("_w"))
     base = base.withColumn("n_words", F.size("_w").cast("long"))
-    if small:
-        known = {k: [r["h"] for r in sizes.filter(F.col("k") == k).collect()] for k in ks}
-        picked = [F.expr(f"transform(filter(sequence(0, n_words - {k}), i -> n_words >= {k} AND {_hash_sql(k)} IN ({', '.join(map(str, known[k]))})), i -> struct({k} AS k, CAST(i AS INT) AS pos, {_hash_sql(k)} AS h))") for k in ks]
-        picked = [F.when(F.col("n_words") >= k, p) for k, p in zip(ks, picked, strict=True)]
-        base = base.withColumn("_c", F.concat(*[F.coalesce(p, empty) for p in picked]) if picked else empty)
-    else:
-        base = base.withColumn("_id", F.monotonically_increasing_id())
-        base = cut(base, "document-words")  # row numbers have to stay
-        rows = [base.filter(F.col("n_words") >= k).select("_id", F.lit(k).alias("k"), F.posexplode(F.expr(f"transform(sequence(0, n_words - {k}), i -> {_hash_sql(k)})")).alias("pos", "h")) for k in ks]
-        every = rows[0]
-        for r in rows[1:]:
-            every = every.unionByName(r)
-        found = every.join(sizes, ["k", "h"], "left_semi").groupBy("_id").agg(F.collect_list(F.struct("k", "pos", "h")).alias("_c"))
-        base = base.join(found, "_id", "left").withColumn("_c", F.coalesce("_c", empty))
+    bloom = bloom_words(wins.select(F.explode("shingles.h").alias("h")), filter_bits)
+    known = " AND ".join(f"getbit(get({bloom}, CAST(shiftright({b}, 6) AS INT)), CAST({b} & 63 AS INT)) = 1" for b in _places("c.h", filter_bits))
+    every = [F.when(F.col("n_words") >= k, F.expr(f"transform(sequence(0, n_words - {k}), i -> struct({k} AS k, CAST(i AS INT) AS pos, {_hash_sql(k)} AS h))")) for k in ks]
+    base = base.withColumn("_c", F.concat(*[F.coalesce(e, empty) for e in every]) if every else empty).withColumn("_c", F.expr(f"filter(_c, c -> {known})"))
     near = F.expr(f"transform(_c, c -> struct(c.k AS k, c.pos AS pos, c.h AS h, greatest(c.pos - {window}, 0) AS first, slice(_w, greatest(c.pos - {window}, 0) + 1, {2 * window + 1}) AS near))")
     base = cut(base.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text_hash", "n_words", near.alias("_c")), "shingles")
     spots = base.select("_row", "n_words", F.explode("_c").alias("c")).select("_row", "n_words", "c.*")
-    held = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     counts = spots.groupBy("k", "h").agg(F.count("*").alias("n"))
     each = wins.select("item", "win", "len", "k", F.explode("shingles").alias("s")).select("item", "win", "len", "k", "s.at", "s.h")
     prefix = each.join(counts, ["k", "h"], "left").groupBy("item", "win", "len", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "at")).alias("p"))
