@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,15 +22,16 @@ def _words(text: Column, pattern: str = BLANKS) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), pattern), "")
 
 
-def chunk_words(df: DataFrame, size: int = 100, overlap: int = 20, text: str = "content", doc_id: str = "id", blanks: str = BLANKS) -> DataFrame:
-    """doc_id, chunk_ix, text: windows of ``size`` words, each beginning ``size - overlap`` after the one before, as
+def chunk_words(df: DataFrame, size: int = 100, overlap: int = 20, text: str = "content", doc_id: str = "id", blanks: str = BLANKS, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, chunk_ix, text and the columns ``keep`` of the document: windows of ``size`` words, each beginning ``size - overlap`` after the one before, as
     long as a word is left to begin with (so the last may hold nothing new); all words if they are ``size`` at most;
     no chunk without words."""
     step = max(1, size - overlap)
     n = F.size("_w")
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    cut = df.select(F.col(doc_id).alias("doc_id"), _words(F.col(text), blanks).alias("_w")).filter(F.size("_w") > 0)
-    return cut.select("doc_id", "_w", F.posexplode(starts).alias("chunk_ix", "_s")).select("doc_id", "chunk_ix", F.array_join(F.slice("_w", F.col("_s") + 1, size), " ").alias("text"))
+    cut = df.select(F.col(doc_id).alias("doc_id"), *keep, _words(F.col(text), blanks).alias("_w")).filter(F.size("_w") > 0)
+    places = cut.select("doc_id", *keep, "_w", F.posexplode(starts).alias("chunk_ix", "_s"))
+    return places.select("doc_id", "chunk_ix", F.array_join(F.slice("_w", F.col("_s") + 1, size), " ").alias("text"), *keep)
 
 
 def chunk_tokens(df: DataFrame, size: int = 512, overlap: int = 64, text: str = "content", doc_id: str = "id", tokenizer: Callable[[Column], Column] = tokens_of) -> DataFrame:
@@ -89,10 +90,21 @@ def upserted(target: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> D
     return target.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
+def occurrences_of(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """term, chunk_id, tf (1), doc_len: a row for each place of a term, so that nothing is shuffled. For searches that
+    ask once; an index to be kept is `postings_of`."""
+    tokens = chunks.select("chunk_id", tokens_of(F.col(text)).alias("_t"))
+    return tokens.select("chunk_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).select("term", "chunk_id", F.lit(1).cast("long").alias("tf"), "doc_len")
+
+
+def lengths_of(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """chunk_id, doc_len of chunks with terms."""
+    return chunks.select("chunk_id", F.size(tokens_of(F.col(text))).alias("doc_len")).filter("doc_len > 0")
+
+
 def postings_of(chunks: DataFrame, text: str = "text") -> DataFrame:
     """term, chunk_id, tf, doc_len."""
-    tokens = chunks.select("chunk_id", tokens_of(F.col(text)).alias("_t"))
-    terms = tokens.select("chunk_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+    terms = occurrences_of(chunks, text)
     return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 

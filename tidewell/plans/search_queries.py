@@ -8,7 +8,7 @@ from ..functions import query_text as Q
 from ..operators import chunks as C
 from ..operators import corpus as K
 from ..operators import retrieval as R
-from ..operators.sizes import held
+from ..operators.sizes import MOST, held, is_small
 from .registry import Views, query
 from .text_queries import _CHUNKS, _POST, _TOK, chunk_table
 
@@ -59,9 +59,14 @@ sc AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc)"""
 
 
+def keyword_hits(asks, chunks, n: int):
+    """`bm25_search` over chunks (chunk_id, text) of which no index is kept."""
+    return R.bm25_search(asks, C.occurrences_of(chunks), n, lengths=C.lengths_of(chunks))
+
+
 @query("i03_bm25_search", f"WITH {_CHUNKS}, {_POST}, {_KW}, {_BM} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 10")
 def _(v: Views):
-    return R.bm25_search(asked(v), C.postings_of(chunk_table(v)), 10).withColumn("score", F.round("score", 6))
+    return keyword_hits(asked(v), chunk_table(v), 10).withColumn("score", F.round("score", 6))
 
 
 @query("i04_substring_search", "WITH h AS (SELECT query_id, id AS chunk_id, min(k) AS k FROM (SELECT query_id, unnest([substr(q, 1, 6), substr(q, 8, 5)]) AS kw, unnest([0, 1]) AS k FROM queries_v) JOIN corpus_docs ON contains(content, kw) GROUP BY 1, 2) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id) - 1 AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id) <= 10")
@@ -73,7 +78,7 @@ def _(v: Views):
 @query("d03_attach_chunks", f"WITH {_CHUNKS}, {_POST}, {_KW}, {_BM} SELECT query_id, br.chunk_id, ch.source FROM br JOIN ch USING (chunk_id) WHERE rank < 10 AND ch.source IN ('src0', 'src1', 'src2')")
 def _(v: Views):
     c = chunk_table(v)
-    return R.attach_chunks(R.bm25_search(asked(v), C.postings_of(c), 10), c.select("chunk_id", "source"), ["src0", "src1", "src2"]).select("query_id", "chunk_id", "source")
+    return R.attach_chunks(keyword_hits(asked(v), c, 10), c.select("chunk_id", "source"), ["src0", "src1", "src2"]).select("query_id", "chunk_id", "source")
 
 
 # Candidates of both searches over all documents and all vectors; document i has vector i.
@@ -89,8 +94,8 @@ hits AS (SELECT f.*, d.source AS lang_source, CASE CAST(substr(chunk_id, 2) AS B
 def candidates(v: Views):
     asks = v.queries_v.join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
     vecs = v.embeddings.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
-    words = C.postings_of(v.corpus_docs.select(F.col("id").alias("chunk_id"), F.col("content").alias("text")))
-    return R.merge_candidates(R.vector_top_n(asks, vecs, 12), R.bm25_search(asked(v), words, 12))
+    whole = v.corpus_docs.select(F.col("id").alias("chunk_id"), F.col("content").alias("text"))
+    return R.merge_candidates(R.vector_top_n(asks, vecs, 12), keyword_hits(asked(v), whole, 12))
 
 
 def hits(v: Views):
@@ -293,12 +298,14 @@ rr AS (SELECT *, round({_OVER}, 6) AS rs FROM top), dd AS (SELECT *, row_number(
 SELECT query_id, doc_id, chunk_id, rs AS rerank_score FROM dd WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rrf DESC, chunk_id) <= 5"""
 
 
-def hybrid_search(queries, chunks, postings, vecs, k: int, now: str):
+def hybrid_search(queries, chunks, vecs, k: int, now: str):
     """query_id, doc_id, chunk_id, rerank_score: questions (query_id, q, keywords, qvec) against chunks (chunk_id,
-    doc_id, source, text, created_at), their postings and vectors: both searches, fusion, recency, second stage,
+    doc_id, source, text, created_at) and vectors: both searches, fusion, recency, second stage,
     a document once, best ``k``."""
     vec = R.vector_top_n(queries.filter("qvec IS NOT NULL"), vecs, 3 * k)
-    fused = R.rrf(R.merge_candidates(vec, R.bm25_search(queries, postings, 3 * k)))
+    fused = R.rrf(R.merge_candidates(vec, keyword_hits(queries, chunks, 3 * k)))
+    if is_small(queries, MOST // (6 * k)):  # then so are the hits: 6 * k a question at most
+        fused = F.broadcast(fused)
     scored = R.recency_boost(fused.join(chunks, "chunk_id"), now).withColumn("rrf", F.round("rrf", 12))
     ranked = R.rerank(scored.join(queries.select("query_id", "q"), "query_id"))
     best = F.struct(F.col("rerank_score"), F.col("rrf"))
@@ -308,10 +315,10 @@ def hybrid_search(queries, chunks, postings, vecs, k: int, now: str):
 
 @query("i13_hybrid_search", _HYB)
 def hybrid_query(v: Views):
-    c = chunk_table(v).drop("created_at").join(v.corpus_docs.select(F.col("id").alias("doc_id"), "created_at"), "doc_id")
+    c = chunk_table(v, "created_at")
     q = asked(v).join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id", "left")
     vecs = v.embeddings.select(F.concat(F.lit("d"), F.col("vec_id").cast("string"), F.lit("-chunk-0")).alias("chunk_id"), "embedding")
-    return hybrid_search(q, c.select("chunk_id", "doc_id", "source", "text", "created_at"), C.postings_of(c), vecs, 5, NOW)
+    return hybrid_search(q, c.select("chunk_id", "doc_id", "source", "text", "created_at"), vecs, 5, NOW)
 
 
 @query("k07_feedback_triage", f"SELECT query_id, CASE WHEN CAST(substr(doc_id, 2) AS BIGINT) % 2 = 0 THEN 'cited' ELSE 'missed' END AS verdict, count(*) AS n FROM ({_HYB}) GROUP BY 1, 2")

@@ -335,11 +335,10 @@ s AS (SELECT *, unnest(CASE WHEN len(w) <= 100 THEN [0] ELSE range(0, len(w), 80
 ch AS (SELECT id AS doc_id, id || '-chunk-' || CAST(CAST(s / 80 AS BIGINT) AS VARCHAR) AS chunk_id, source, title, mime_type, lang, array_to_string(w[s + 1 : s + 100], ' ') AS text, md5(array_to_string(w[s + 1 : s + 100], ' ')) AS content_hash FROM s)"""
 
 
-def chunk_table(v: Views):
+def chunk_table(v: Views, *more: str):
     """Chunks of all documents with their documents' columns."""
-    parts = C.chunk_words(v.corpus_docs, 100, 20, blanks=BLANK)
-    with_id = parts.withColumn("chunk_id", T.chunk_id("doc_id", "chunk_ix")).withColumn("content_hash", T.content_hash("text"))
-    return with_id.join(v.corpus_docs.select(F.col("id").alias("doc_id"), "source", "title", "mime_type", "lang"), "doc_id")
+    parts = C.chunk_words(v.corpus_docs, 100, 20, blanks=BLANK, keep=["source", "title", "mime_type", "lang", *more])
+    return parts.withColumn("chunk_id", T.chunk_id("doc_id", "chunk_ix")).withColumn("content_hash", T.content_hash("text"))
 
 
 def _no(df, n: int, rest: int):
