@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, knn_quality, near_dedup, ngram_lm, packing, sharding, topk_search, url_filter, warc_zip
+from . import chat_tree, decontam, knn_quality, near_dedup, ngram_lm, packing, sharding, topk_search, url_filter, warc_zip, winnowing
 from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
@@ -79,7 +79,13 @@ def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op6_elias_fano_lm, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join)}
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+    out = out.withColumns({c: winnowing.digest(F.col(c)) for c in ("fingerprint", "edited")}).withColumnRenamed("edited", "edited_fingerprint")
+    return winnowing.dealt(out)
+
+
+QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op6_elias_fano_lm, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join, op13_winnowing)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat_tree.CONTROL:
