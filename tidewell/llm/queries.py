@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontam, knn_quality, near_dedup, ngram_lm, packing, sharding, topk_search, url_filter, warc_zip, winnowing
+from . import centroids, chat_tree, decontam, knn_quality, near_dedup, ngram_lm, packing, sharding, spelling, topk_search, url_filter, warc_zip, winnowing
 from .shared import cut, scratch, table
 
 #: The rules that the URL query judges by: verdict, host, path prefix.
@@ -79,19 +79,51 @@ def op10_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_kd_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, sf_dir, "documents"))
+    return spelling.spelling_variants(cut(words, "words"))
+
+
+def op12_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
     out = out.withColumns({c: winnowing.digest(F.col(c)) for c in ("fingerprint", "edited")}).withColumnRenamed("edited", "edited_fingerprint")
     return winnowing.dealt(out)
 
 
-QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op6_elias_fano_lm, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join, op13_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_knn_quality, op2_chat_prefix_tree, op3_pattern_packing, op4_warc_zip, op5_kd_top_k, op6_elias_fano_lm, op7_hypergeometric_shards, op8_prefix_set_join, op9_dart_minhash, op10_url_range_join, op11_kd_spelling, op12_ns_centroids, op13_winnowing)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in chat_tree.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """k-means as a chain of tables: c0, then a{i} (nearest centroid) and c{i + 1} (their floors of means) for each round."""
+    parts = [f"""
+kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS at, unnest(v) AS x FROM kept),
+s AS (SELECT r, CAST(row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INTEGER) AS cluster FROM kept),
+c0 AS MATERIALIZED (SELECT cluster, at, x AS c FROM s JOIN p USING (r) WHERE cluster < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS (SELECT r, cluster, sum((x - c) * (x - c)) AS d FROM p JOIN c{i} USING (at) GROUP BY r, cluster),
+a{i} AS MATERIALIZED (SELECT r, min_by(cluster, (d, cluster)) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM d{i} GROUP BY r)""")
+        parts.append(f"""m{i} AS (SELECT cluster, at, sum(x) AS t, count(*) AS n FROM a{i} JOIN p USING (r) GROUP BY cluster, at),
+c{i + 1} AS MATERIALIZED (SELECT cluster, at, CAST(CASE WHEN n IS NULL THEN c ELSE (t - ((t % n) + n) % n) // n END AS BIGINT) AS c FROM c{i} LEFT JOIN m{i} USING (cluster, at))""")
+    return f"""
+WITH {", ".join(parts[:-1])},
+h AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY at)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN h USING (cluster)"""
+
+
 ORACLES = {
+    "op12_ns_centroids": _clustering_sql(),
     "op2_chat_prefix_tree": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
