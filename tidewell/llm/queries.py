@@ -107,17 +107,17 @@ def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
     parts = [f"""
 kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS at, unnest(v) AS x FROM kept),
+p AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS j, unnest(v) AS x FROM kept),
 s AS (SELECT r, CAST(row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS INTEGER) AS cluster FROM kept),
-c0 AS MATERIALIZED (SELECT cluster, at, x AS c FROM s JOIN p USING (r) WHERE cluster < {k})"""]
+c0 AS MATERIALIZED (SELECT cluster, j, x AS c FROM s JOIN p USING (r) WHERE cluster < {k})"""]
     for i in range(rounds + 1):
-        parts.append(f"""d{i} AS (SELECT r, cluster, sum((x - c) * (x - c)) AS d FROM p JOIN c{i} USING (at) GROUP BY r, cluster),
+        parts.append(f"""d{i} AS (SELECT r, cluster, sum((x - c) * (x - c)) AS d FROM p JOIN c{i} USING (j) GROUP BY r, cluster),
 a{i} AS MATERIALIZED (SELECT r, min_by(cluster, (d, cluster)) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM d{i} GROUP BY r)""")
-        parts.append(f"""m{i} AS (SELECT cluster, at, sum(x) AS t, count(*) AS n FROM a{i} JOIN p USING (r) GROUP BY cluster, at),
-c{i + 1} AS MATERIALIZED (SELECT cluster, at, CAST(CASE WHEN n IS NULL THEN c ELSE (t - ((t % n) + n) % n) // n END AS BIGINT) AS c FROM c{i} LEFT JOIN m{i} USING (cluster, at))""")
+        parts.append(f"""m{i} AS (SELECT cluster, j, sum(x) AS t, count(*) AS n FROM a{i} JOIN p USING (r) GROUP BY cluster, j),
+c{i + 1} AS MATERIALIZED (SELECT cluster, j, CAST(CASE WHEN n IS NULL THEN c ELSE (t - ((t % n) + n) % n) // n END AS BIGINT) AS c FROM c{i} LEFT JOIN m{i} USING (cluster, j))""")
     return f"""
 WITH {", ".join(parts[:-1])},
-h AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY at)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+h AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
 SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
 FROM a{rounds} JOIN kept USING (r) JOIN h USING (cluster)"""
 
