@@ -53,8 +53,8 @@ def fingerprints(texts: DataFrame, text: str, out: str, k: int = K, w: int = W)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the distinct hashes of both fingerprints that stand in both."""
-    x, y = F.array_distinct(a["hash"]), F.array_distinct(b["hash"])
+    """Share of the distinct hashes of two fingerprints (their lists of hashes) that stand in both."""
+    x, y = F.array_distinct(a), F.array_distinct(b)
     both = F.size(F.array_intersect(x, y))
     return both / (F.size(x) + F.size(y) - both)
 
@@ -100,16 +100,16 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     texts = rows.groupBy("key").agg(F.first("text").alias("text"))
     known = texts.join(neighbours(keys).hint("merge"), "key")
     told = fingerprints(known, "text", "_fp")
-    given = told.select(F.col("prev.key").alias("key"), F.substring("text", F.lit(1), (F.col("prev.chars") / 2).cast("int")).alias("_start"), F.transform("_fp", lambda x: F.struct(x["hash"].alias("hash"))).alias("_next"))
+    given = told.select(F.col("prev.key").alias("key"), F.substring("text", F.lit(1), (F.col("prev.chars") / 2).cast("int")).alias("_start"), F.col("_fp.hash").alias("_next"))
     own = told.drop("prev").join(given.hint("merge"), "key")
     half = F.floor(F.col("chars") / 2).cast("int")
-    plain = F.struct(F.col("_start").alias("start"), F.lit(1).cast("long").alias("times"), likeness(F.col("_fp"), F.col("_next")).alias("near_next"))
+    plain = F.struct(F.col("_start").alias("start"), F.lit(1).cast("long").alias("times"), likeness(F.col("_fp.hash"), F.col("_next")).alias("near_next"))
     alike = F.struct(F.substring("text", F.lit(1), half).alias("start"), (F.col("copies") - 1).alias("times"), F.lit(1.0).alias("near_next"))
     forms = own.select("key", "chars", "text", "_fp", F.explode(F.when(F.col("copies") > 1, F.array(plain, alike)).otherwise(F.array(plain))).alias("_form"))
     forms = forms.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.col("chars") - half), F.col("_form.start")))
     return fingerprints(forms, "_edited", "_efp").select(
         F.col("key.doc_id").alias("doc_id"), F.col("chars").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.col("_fp").alias("fingerprint"),
-        F.col("_efp").alias("edited"), likeness(F.col("_fp"), F.col("_efp")).alias("near_edited"), F.col("_form.near_next").alias("near_next"), F.col("_form.times").alias("_times"),
+        F.col("_efp").alias("edited"), likeness(F.col("_fp.hash"), F.col("_efp.hash")).alias("near_edited"), F.col("_form.near_next").alias("near_next"), F.col("_form.times").alias("_times"),
     )
 
 
