@@ -204,19 +204,6 @@ def test_upsert_moves_chunks_between_sources(spark, tmp_path):
     assert got == [("1", "b", "y"), ("2", "b", "x"), ("3", "c", "x2"), ("4", "d", "z")]
 
 
-def test_keyword_search_is_the_same_by_broadcast_shuffle_and_index(spark, monkeypatch):
-    texts = ["alpha beta beta", "alphabet a", "be", "", None, "gamma", "al be", "beta"]
-    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
-    asks = spark.createDataFrame([(1, ["Alpha", "be", "a"]), (2, ["zzz"]), (3, ["BETA", "beta", ""]), (4, []), (5, None)], "query_id long, keywords array<string>")
-    once, kept = C.occurrences_of(chunks), C.postings_of(chunks)
-    few = sorted(map(tuple, R.bm25_search(asks, once, lengths=C.lengths_of(chunks)).collect()))
-    assert {(q, c) for q, c, _, _ in few} == {(1, f"c{i}") for i in (0, 1, 2, 6, 7)} | {(3, "c0"), (3, "c7")}
-    assert sorted(map(tuple, R.bm25_search(asks, kept).collect())) == few
-    monkeypatch.setattr(R, "is_small", lambda *_: False)
-    assert sorted(map(tuple, R.bm25_search(asks, once, lengths=C.lengths_of(chunks)).collect())) == few
-    assert R.bm25_search(asks, once.limit(0), lengths=C.lengths_of(chunks.limit(0))).count() == 0
-
-
 def test_chunks_keep_columns(spark):
     df = spark.createDataFrame([("a", "x y z", "s"), ("a", "x", "t")], "id string, content string, source string")
     got = sorted((r.doc_id, r.chunk_ix, r.text, r.source) for r in C.chunk_words(df, 2, 1, keep=["source"]).collect())

@@ -90,29 +90,6 @@ def upserted(target: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> D
     return target.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-def occurrences_of(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """term, chunk_id, tf (1), doc_len: a row for each place of a term, so that nothing is shuffled. For searches that
-    ask once; an index to be kept is `postings_of`."""
-    tokens = chunks.select("chunk_id", tokens_of(F.col(text)).alias("_t"))
-    return tokens.select("chunk_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).select("term", "chunk_id", F.lit(1).cast("long").alias("tf"), "doc_len")
-
-
-def lengths_of(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """chunk_id, doc_len of chunks with terms."""
-    return chunks.select("chunk_id", F.size(tokens_of(F.col(text))).alias("doc_len")).filter("doc_len > 0")
-
-
-def postings_of(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """term, chunk_id, tf, doc_len."""
-    terms = occurrences_of(chunks, text)
-    return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-
-
-def upsert_postings(index: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The index after the chunks' old entries were deleted and new ones put in."""
-    return index.join(chunks.select("chunk_id"), "chunk_id", "left_anti").unionByName(postings_of(chunks))
-
-
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """First row of each key by ``order``."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

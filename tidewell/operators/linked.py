@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``; lineage ends there."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidewell.linked.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tidewell.linked.dir", base)
-    path = f"{base.rstrip('/')}/linked-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node that it is connected with) of all nodes of ``edges`` (a, b)."""
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "linked")
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "linked")
     while True:
         near = both.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("label").alias("near"))
         moved = labels.join(near, F.col("node") == F.col("b"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = _cut(moved.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")))
+        new = cut(moved.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")), "linked")
         labels = new.select("node", "label")
         if new.filter("was <> label").isEmpty():
             return labels
@@ -47,8 +32,8 @@ def alike_groups(sets: DataFrame, similarity: float) -> DataFrame:
     ranked = sets.select("node", F.size("words").alias("size"), F.explode("words").alias("w")).join(n, "w")
     ordered = ranked.groupBy("node", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("words"))
     keep = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
-    ordered = _cut(ordered)
-    heads = _cut(ordered.select("node", "size", F.explode(F.slice("words", F.lit(1), keep)).alias("w")))
+    ordered = cut(ordered, "linked")
+    heads = cut(ordered.select("node", "size", F.explode(F.slice("words", F.lit(1), keep)).alias("w")), "linked")
 
     def links(pairs: DataFrame) -> DataFrame:
         left, right = ordered.select(F.col("node").alias("a"), F.col("words").alias("wa")), ordered.select(F.col("node").alias("b"), F.col("words").alias("wb"))
@@ -57,11 +42,11 @@ def alike_groups(sets: DataFrame, similarity: float) -> DataFrame:
 
     firsts = heads.groupBy("w").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     stars = heads.join(firsts, "w").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    edges = _cut(links(stars))
+    edges = cut(links(stars), "linked")
     labels = components(edges)
     named = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select("w", F.coalesce("label", "first").alias("first_label"))
-    named = _cut(named.join(first, "w"))
+    named = cut(named.join(first, "w"), "linked")
     rest = named.filter("label <> first_label").select("w", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
     other = named.select("w", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("size").alias("sy"))
     fits = F.least("sx", "sy") >= F.greatest("sx", "sy") * similarity - 1e-9

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import tokens_of
-from .sizes import contains_join, held, is_small
+from .sizes import contains_join, held
+from .tops import top_by
 
 #: Fixed values of the fusion: rank offset, weight of hits by keyword only, largest fused score.
 RRF_K, KEYWORD_ONLY = 60, 0.5
@@ -29,11 +30,6 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def top_by(df: DataFrame, n: int | Column, *order: Column | str, by: str = "query_id") -> DataFrame:
-    """Rows with v_rank (from 0) under ``n``, per query; `WindowGroupLimit` keeps the shuffle small."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).filter(F.col("rank") < n)
-
-
 def vector_top_n(queries: DataFrame, vectors: DataFrame, n: int, metric: str = "cosine") -> DataFrame:
     """query_id, chunk_id, distance, rank: exact nearest ``n`` (query vectors qvec, chunk vectors embedding)."""
     pairs = vectors.select("chunk_id", "embedding").crossJoin(held(queries.select("query_id", "qvec")))
@@ -49,35 +45,6 @@ def vector_top_n_lsh(queries: DataFrame, vectors: DataFrame, n: int, bucket: flo
     return top_by(near, n, "distance", "chunk_id")
 
 
-def _prefixed(postings: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows of ``postings`` with each of ``words`` (kw, distinct) that their term begins with. Both are joined by the
-    first (at most three) characters of the word: few words are broadcast to the postings as they are read; many
-    meet the distinct terms by shuffle first."""
-    few, out = is_small(words), None
-    terms = postings if few else postings.select("term").distinct()
-    for k in (1, 2, 3):
-        own = words.filter(F.least(F.length("kw"), F.lit(3)) == k).withColumn("_head", F.substring("kw", 1, k))
-        met = terms.withColumn("_head", F.substring("term", 1, k)).join(F.broadcast(own) if few else own, "_head").filter(F.startswith("term", "kw")).drop("_head")
-        out = met if out is None else out.unionByName(met)
-    return out if few else postings.join(out, "term")
-
-
-def bm25_search(queries: DataFrame, postings: DataFrame, n: int = 10, k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank: sum over a query's keywords (ARRAY keywords) of BM25 with the keyword as a prefix
-    of terms; postings (term, chunk_id, tf, doc_len), where rows of one term and chunk add up. ``lengths`` (chunk_id,
-    doc_len): of all chunks with terms, else taken from the postings. Scores are rounded to 9 places before ranking."""
-    docs = postings.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len")) if lengths is None else lengths
-    stats = docs.agg(F.count("*").alias("_n"), F.avg(F.col("doc_len").cast("double")).alias("_avg"))
-    keys = queries.select("query_id", F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("kw")).filter("kw <> ''")
-    found = _prefixed(postings, keys.select("kw").distinct()).groupBy("kw", "chunk_id").agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
-    df = found.groupBy("kw").agg(F.count("*").alias("_df"))
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_avg")))
-    scored = found.join(df, "kw").crossJoin(F.broadcast(stats)).select("kw", "chunk_id", part.alias("_s"))
-    total = scored.join(keys, "kw").groupBy("query_id", "chunk_id").agg(F.round(F.sum("_s"), 9).alias("score"))
-    return top_by(total, n, F.desc("score"), "chunk_id")
-
-
 def substring_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """query_id, chunk_id, rank: chunks that have a keyword in them, by the keyword's place in the query, then id."""
     keys = queries.select("query_id", F.posexplode("keywords").alias("_k", "kw")).filter("kw <> ''")

@@ -6,7 +6,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import keyword
+from ..shared import shared_dir
+from ..sources import versions
 from .fixtures import VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +30,16 @@ class Views:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.sql(VIEWS[name])
 
+    def kept_index(self, name: str, chunks: DataFrame) -> keyword.KeywordIndex:
+        """The keyword index ``name`` of ``chunks``, made of documents, below the shared folder. It is built when it is first
+        asked for, and again for other files of documents, or ones that were changed."""
+        file = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
+        files = self.documents.select(F.xxhash64(*file).alias("h")).distinct().agg(F.expr("coalesce(bit_xor(h), 0)").alias("h"), F.count("*").alias("n")).first()
+        root = f"{shared_dir(self.spark)}/index-{name}-{files['n']}-{files['h'] & (1 << 64) - 1:016x}"
+        if versions.latest(self.spark, root) is None:
+            keyword.build_index(self.spark, root, chunks)
+        return keyword.open_index(self.spark, root)
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over tables and views named in ``text``."""
         used = [t for t in [*TABLES, *VIEWS] if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import query_text as Q
-from ..operators import chunks as C
 from ..operators import corpus as K
+from ..operators import keyword as W
 from ..operators import retrieval as R
 from ..operators.sizes import MOST, held, is_small
 from .registry import Views, query
-from .text_queries import _CHUNKS, _POST, _TOK, chunk_table
+from .text_queries import _CHUNKS, _POST, _TERMS, _TOK, chunk_table
 
 NOW = "2025-01-01 00:00:00"
 _SRC = "CASE CAST(substr(chunk_id, 2, position('-' IN chunk_id) - 2) AS BIGINT) % 4 WHEN 0 THEN 'jira' WHEN 1 THEN 'confluence' WHEN 2 THEN 'sharepoint' ELSE 'docs' END"
@@ -50,23 +50,47 @@ def asked(v: Views):
     return v.queries_v.select("query_id", "q", F.transform(Q.extract_keywords("q"), lambda k: F.lower(k)).alias("keywords"))
 
 
-_KW = """kw0 AS (SELECT query_id, regexp_extract_all(q, '([가-힣A-Za-z0-9]+)', 1) AS w FROM queries_v), kw1 AS (SELECT query_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM kw0),
+_KW = f"""kw0 AS (SELECT query_id, regexp_extract_all(q, '([가-힣A-Za-z0-9]+)', 1) AS w FROM queries_v), kw1 AS (SELECT query_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM kw0),
 kw2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(t) DESC, i) AS n FROM kw1 WHERE length(t) >= 2 AND regexp_matches(t, '^[가-힣a-zA-Z]')),
-kws AS (SELECT DISTINCT query_id, lower(t) AS kw FROM kw2 WHERE n <= 3)"""
-_BM = f"""tf AS (SELECT kw, chunk_id, count(*) AS tf, any_value(doc_len) AS doc_len FROM p JOIN (SELECT DISTINCT kw FROM kws) ON starts_with(term, kw) GROUP BY 1, 2),
+kws AS (SELECT DISTINCT query_id, array_to_string({_TERMS.format('t')}, ' ') AS kw FROM kw2 WHERE n <= 3)"""
+# keywords are phrases of terms, the last one a prefix; p has the places of all terms
+_BM = f"""kj AS (SELECT kw, t, j, m FROM (SELECT kw, len(l) AS m, unnest(l) AS t, unnest(range(len(l))) AS j FROM (SELECT kw, string_split(kw, ' ') AS l FROM (SELECT DISTINCT kw FROM kws WHERE kw <> '')))),
+ex AS (SELECT kw, j, m, term FROM (SELECT DISTINCT term FROM p) JOIN kj ON j = m - 1 AND starts_with(term, t) UNION ALL SELECT kw, j, m, t FROM kj WHERE j < m - 1),
+oc AS (SELECT kw, chunk_id, pos - j AS s, any_value(doc_len) AS doc_len FROM p JOIN ex USING (term) GROUP BY kw, chunk_id, s, m HAVING count(*) = m),
+tf AS (SELECT kw, chunk_id, count(*) AS tf, any_value(doc_len) AS doc_len FROM oc GROUP BY 1, 2),
 st AS (SELECT count(DISTINCT chunk_id) AS n, (SELECT avg(d) FROM (SELECT chunk_id, any_value(doc_len) AS d FROM p GROUP BY 1)) AS a FROM p), df AS (SELECT kw, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / a))), 9) AS score FROM tf JOIN df USING (kw) JOIN kws USING (kw), st GROUP BY 1, 2),
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc)"""
 
 
-def keyword_hits(asks, chunks, n: int):
-    """`bm25_search` over chunks (chunk_id, text) of which no index is kept."""
-    return R.bm25_search(asks, C.occurrences_of(chunks), n, lengths=C.lengths_of(chunks))
+# and with two words in a row, the second of them cut, as one keyword
+_KW2 = _KW + """, kwp AS (SELECT query_id, lower(regexp_extract(q, '[A-Za-z]{3,} [A-Za-z]{3}')) AS kw FROM queries_v)"""
+_KW2 = _KW2.replace("kws AS (", "kwo AS (") + ", kws AS (SELECT query_id, kw FROM kwo UNION SELECT query_id, kw FROM kwp WHERE kw <> '')"
 
 
-@query("i03_bm25_search", f"WITH {_CHUNKS}, {_POST}, {_KW}, {_BM} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 10")
+def chunk_index(v: Views) -> W.KeywordIndex:
+    return v.kept_index("chunks", chunk_table(v))
+
+
+@query("i03_bm25_search", f"WITH {_CHUNKS}, {_POST}, {_KW2}, {_BM} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 10")
+def _(v: Views):
+    phrase = F.regexp_extract("q", "[A-Za-z]{3,} [A-Za-z]{3}", 0)
+    asks = asked(v).withColumn("keywords", F.concat("keywords", F.array(F.regexp_replace(phrase, " ", "-"))))
+    return W.bm25_search(asks, chunk_index(v), 10).withColumn("score", F.round("score", 6))
+
+
+# every twentieth issue is looked for by its key, among the titles of all
+
+_ISSUES = f"""ch AS (SELECT issue_key AS chunk_id, '[' || issue_key || '] ' || title || ' (' || assignee || ')' AS text FROM issues), {_POST},
+kws AS (SELECT issue_no AS query_id, array_to_string({_TERMS.format('k')}, ' ') AS kw FROM (SELECT issue_no, unnest([issue_key, assignee]) AS k FROM issues WHERE issue_no % 20 = 0))"""
+
+
+@query("i03_issue_key_search", f"WITH {_ISSUES}, {_BM} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank < 5")
 def _(v: Views):
-    return keyword_hits(asked(v), chunk_table(v), 10).withColumn("score", F.round("score", 6))
+    title = F.concat(F.lit("["), "issue_key", F.lit("] "), "title", F.lit(" ("), "assignee", F.lit(")"))
+    index = W.index_of(v.issues.select(F.col("issue_key").alias("chunk_id"), title.alias("text")))
+    asks = v.issues.filter("issue_no % 20 = 0").select(F.col("issue_no").alias("query_id"), F.array("issue_key", "assignee").alias("keywords"))
+    return W.bm25_search(asks, index, 5).withColumn("score", F.round("score", 6))
 
 
 @query("i04_substring_search", "WITH h AS (SELECT query_id, id AS chunk_id, min(k) AS k FROM (SELECT query_id, unnest([substr(q, 1, 6), substr(q, 8, 5)]) AS kw, unnest([0, 1]) AS k FROM queries_v) JOIN corpus_docs ON contains(content, kw) GROUP BY 1, 2) SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id) - 1 AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id) <= 10")
@@ -78,7 +102,7 @@ def _(v: Views):
 @query("d03_attach_chunks", f"WITH {_CHUNKS}, {_POST}, {_KW}, {_BM} SELECT query_id, br.chunk_id, ch.source FROM br JOIN ch USING (chunk_id) WHERE rank < 10 AND ch.source IN ('src0', 'src1', 'src2')")
 def _(v: Views):
     c = chunk_table(v)
-    return R.attach_chunks(keyword_hits(asked(v), c, 10), c.select("chunk_id", "source"), ["src0", "src1", "src2"]).select("query_id", "chunk_id", "source")
+    return R.attach_chunks(W.bm25_search(asked(v), chunk_index(v), 10), c.select("chunk_id", "source"), ["src0", "src1", "src2"]).select("query_id", "chunk_id", "source")
 
 
 # Candidates of both searches over all documents and all vectors; document i has vector i.
@@ -95,7 +119,7 @@ def candidates(v: Views):
     asks = v.queries_v.join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
     vecs = v.embeddings.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
     whole = v.corpus_docs.select(F.col("id").alias("chunk_id"), F.col("content").alias("text"))
-    return R.merge_candidates(R.vector_top_n(asks, vecs, 12), keyword_hits(asked(v), whole, 12))
+    return R.merge_candidates(R.vector_top_n(asks, vecs, 12), W.bm25_search(asked(v), v.kept_index("documents", whole), 12))
 
 
 def hits(v: Views):
@@ -298,12 +322,12 @@ rr AS (SELECT *, round({_OVER}, 6) AS rs FROM top), dd AS (SELECT *, row_number(
 SELECT query_id, doc_id, chunk_id, rs AS rerank_score FROM dd WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rrf DESC, chunk_id) <= 5"""
 
 
-def hybrid_search(queries, chunks, vecs, k: int, now: str):
+def hybrid_search(queries, chunks, index: W.KeywordIndex, vecs, k: int, now: str):
     """query_id, doc_id, chunk_id, rerank_score: questions (query_id, q, keywords, qvec) against chunks (chunk_id,
-    doc_id, source, text, created_at) and vectors: both searches, fusion, recency, second stage,
+    doc_id, source, text, created_at), their index and vectors: both searches, fusion, recency, second stage,
     a document once, best ``k``."""
     vec = R.vector_top_n(queries.filter("qvec IS NOT NULL"), vecs, 3 * k)
-    fused = R.rrf(R.merge_candidates(vec, keyword_hits(queries, chunks, 3 * k)))
+    fused = R.rrf(R.merge_candidates(vec, W.bm25_search(queries, index, 3 * k)))
     if is_small(queries, MOST // (6 * k)):  # then so are the hits: 6 * k a question at most
         fused = F.broadcast(fused)
     scored = R.recency_boost(fused.join(chunks, "chunk_id"), now).withColumn("rrf", F.round("rrf", 12))
@@ -318,7 +342,7 @@ def hybrid_query(v: Views):
     c = chunk_table(v, "created_at")
     q = asked(v).join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id", "left")
     vecs = v.embeddings.select(F.concat(F.lit("d"), F.col("vec_id").cast("string"), F.lit("-chunk-0")).alias("chunk_id"), "embedding")
-    return hybrid_search(q, c.select("chunk_id", "doc_id", "source", "text", "created_at"), vecs, 5, NOW)
+    return hybrid_search(q, c.select("chunk_id", "doc_id", "source", "text", "created_at"), chunk_index(v), vecs, 5, NOW)
 
 
 @query("k07_feedback_triage", f"SELECT query_id, CASE WHEN CAST(substr(doc_id, 2) AS BIGINT) % 2 = 0 THEN 'cited' ELSE 'missed' END AS verdict, count(*) AS n FROM ({_HYB}) GROUP BY 1, 2")
@@ -367,7 +391,7 @@ def _(v: Views):
 @query("k01_drop_identical", f"WITH {_CHUNKS}, {_KEEP} SELECT CAST(sum(chunks) AS BIGINT) AS chunks_removed, count(*) AS docs_removed FROM r WHERE n > 1")
 def _(v: Views):
     c = chunk_table(v)
-    return K.drop_identical(c, C.postings_of(c))[2]
+    return K.drop_identical(c, W.postings_of(c))[2]
 
 
 @query("e19_source_hash", f"WITH {_CHUNKS} SELECT source, md5(string_agg(content_hash, '|' ORDER BY content_hash)) AS source_hash FROM ch GROUP BY 1")

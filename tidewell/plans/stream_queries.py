@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +10,12 @@ from ..functions import text as T
 from ..sources import files
 from ..streaming import streams as S
 from . import text_queries  # noqa: F401
+from ..shared import scratch
 from .registry import GIVEN, Views, query
 
 
 def shared(v: Views) -> str:
-    base = v.spark.sparkContext.getConf().get("spark.checkpoint.dir") or v.spark.conf.get("tidewell.streams.dir", None)
-    if not base:
-        if not v.spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        v.spark.conf.set("tidewell.streams.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch(v.spark, "stream")
 
 
 def stream(v: Views, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import query_text as Q
 from ..functions import text as T
 from ..operators import chunks as C
+from ..operators import keyword as W
+from ..shared import scratch
 from ..sources import files as S
 from .registry import Views, query
 
@@ -382,18 +384,25 @@ def _(v: Views):
     return C.upserted(old, changed)
 
 
-_POST = f"p AS (SELECT chunk_id, unnest(t) AS term, len(t) AS doc_len FROM (SELECT chunk_id, {_TOK.format('text')} AS t FROM ch))"
+#: Terms as keyword search has them: without the marks of Latin letters.
+_TERMS = _TOK.replace("lower({})", "strip_accents(lower({}))")
+_POST = f"p AS (SELECT chunk_id, unnest(t) AS term, unnest(range(len(t))) AS pos, len(t) AS doc_len FROM (SELECT chunk_id, {_TERMS.format('text')} AS t FROM ch))"
 
 
 @query("a12_build_postings", f"WITH {_CHUNKS}, {_POST} SELECT term, chunk_id, count(*) AS tf, CAST(any_value(doc_len) AS INTEGER) AS doc_len FROM p GROUP BY term, chunk_id")
 def _(v: Views):
-    return C.postings_of(chunk_table(v))
+    return W.live_postings(v.kept_index("chunks", chunk_table(v)))
 
 
 @query("a11_upsert_postings", f"WITH {_CHUNKS}, {_POST} SELECT term, chunk_id, count(*) AS tf FROM p GROUP BY term, chunk_id")
 def _(v: Views):
-    c = chunk_table(v)
-    return C.upsert_postings(C.postings_of(c.withColumn("text", F.when(F.col("doc_id").endswith("1"), F.lit("old")).otherwise(F.col("text")))), c.filter(F.col("doc_id").endswith("1"))).select("term", "chunk_id", "tf")
+    """Built of chunks some of which have other texts or are to go, then a load, then the postings that count."""
+    c, root, changed = chunk_table(v), scratch(v.spark, "index"), F.col("doc_id").endswith("1")
+    old = c.select("chunk_id", F.when(changed, F.concat(F.lit("old "), F.substring("text", 1, 60))).otherwise(F.col("text")).alias("text"))
+    extra = v.corpus_docs.select(F.concat("id", F.lit("-chunk-old")).alias("chunk_id"), F.col("title").alias("text"))
+    W.build_index(v.spark, root, old.unionByName(extra))
+    W.upsert_index(v.spark, root, c.filter(changed), gone=extra.select("chunk_id"))
+    return W.live_postings(W.open_index(v.spark, root)).select("term", "chunk_id", "tf")
 
 
 @query("a07_route_files", "SELECT file_id, CASE WHEN size_bytes > 20971520 THEN 'too_large' ELSE 'binary' END AS route, CASE WHEN size_bytes > 20971520 THEN 'content not extracted: ' || name END AS placeholder FROM file_listing")
