@@ -13,7 +13,7 @@ from tidewell.operators import corpus as K
 from tidewell.operators import insight as I
 from tidewell.operators import retrieval as R
 from tidewell.sources import files as S
-from tidewell.streaming.streams import accept_calls, dedup_stream, late_rows
+from tidewell.streaming.streams import accept_calls
 
 
 def sales(spark, rows):
@@ -168,12 +168,13 @@ def test_markdown_tree(spark, tmp_path):
 def test_upsert_table(spark, tmp_path):
     schema = "chunk_id string, source string, content_hash string, meta map<string,string>"
     path = str(tmp_path / "t")
-    spark.createDataFrame([("1", "a", "h1", {}), ("2", "a", "h2", {}), ("3", "b", "h3", {})], schema).write.partitionBy("source").parquet(path)
+    S.upsert_chunks(spark, path, spark.createDataFrame([("1", "a", "h1", {}), ("2", "a", "h2", {}), ("3", "b", "h3", {})], schema))
     new = spark.createDataFrame([("1", "a", "h1", {}), ("2", "a", "new", {}), ("4", "c", "h4", {})], schema)
     done = {r.chunk_id: r.action for r in S.upsert_chunks(spark, path, new).collect()}
     assert done == {"1": "skipped", "2": "updated", "4": "new"}
-    assert sorted((r.chunk_id, r.content_hash) for r in spark.read.parquet(path).collect()) == [("1", "h1"), ("2", "new"), ("3", "h3"), ("4", "h4")]
-    assert spark.read.parquet(S.compact(spark, path, 1)).count() == 4
+    assert sorted((r.chunk_id, r.content_hash) for r in S.read_chunks(spark, path).collect()) == [("1", "h1"), ("2", "new"), ("3", "h3"), ("4", "h4")]
+    S.rebuild_collection(spark, path)
+    assert S.read_chunks(spark, path).count() == 4
 
 
 def test_table_function(spark):
@@ -183,24 +184,13 @@ def test_table_function(spark):
     assert [r.text for r in spark.sql("SELECT * FROM chunk('a b c d', 2, 1)").collect()] == ["a b", "b c", "c d", "d"]
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    for i, t in enumerate(["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-02 01:00:00", "2024-01-01 01:00:00"]):
-        spark.sql(f"SELECT {i}L AS id, TIMESTAMP '{t}' AS ts").write.parquet(str(tmp_path / f"in/n={i}"))
-    src = spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in/*"))
-    q = dedup_stream(src, "id", "1 hour").writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sum(late_rows(q).values()) == 1 and {r.id for r in spark.table("late").collect()} == {0, 1, 2}
-
-
 def test_upsert_moves_chunks_between_sources(spark, tmp_path):
     """A chunk that comes with another source stands there once, and a source that lost its last chunk is gone."""
-    from tidewell.sources.files import upsert_chunks
-
     row = lambda *rows: spark.createDataFrame([(c, s, h, {"k": "v"}) for c, s, h in rows], "chunk_id string, source string, content_hash string, meta map<string,string>")
     table = str(tmp_path / "table")
-    row(("1", "a b", "x"), ("2", "b", "x"), ("3", "b", "x")).write.partitionBy("source").parquet(table)
-    upsert_chunks(spark, table, row(("1", "b", "y"), ("3", "c", "x2"), ("4", "d", "z"), ("2", "b", "x")))
-    got = sorted((r.chunk_id, r.source, r.content_hash) for r in spark.read.parquet(table).collect())
+    S.upsert_chunks(spark, table, row(("1", "a b", "x"), ("2", "b", "x"), ("3", "b", "x")))
+    S.upsert_chunks(spark, table, row(("1", "b", "y"), ("3", "c", "x2"), ("4", "d", "z"), ("2", "b", "x")))
+    got = sorted((r.chunk_id, r.source, r.content_hash) for r in S.read_chunks(spark, table).collect())
     assert got == [("1", "b", "y"), ("2", "b", "x"), ("3", "c", "x2"), ("4", "d", "z")]
 
 

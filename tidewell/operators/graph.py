@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import MOST, contains_join, held
+from .needles import NAMES, contains_join
+from .sizes import held
 
 #: What open and closed mean, and the words that ask for them.
 OPEN_STATUSES = ["Open", "To Do", "In Progress", "In Review", "Ready for Development", "Reopened", "Frozen"]
@@ -104,13 +105,12 @@ def linked_issues(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return neighbours(edges, nodes, one)
 
 
-def link_mentions(nodes: DataFrame, entities: DataFrame, max_entities: int = MOST) -> DataFrame:
-    """src, dst: nodes (issue or doc) whose label has an entity's name or alias (name, alias) in it, by lower case.
-
-    Up to ``max_entities`` aliases are broadcast; see `contains_join` for more."""
+def link_mentions(nodes: DataFrame, entities: DataFrame, most: int = NAMES) -> DataFrame:
+    """src, dst: nodes (issue or doc) whose label has an entity's name or alias (name, alias) in it, by lower case;
+    ``most`` aliases are looked for in one pass."""
     some = nodes.filter(F.col("type").isin("issue", "doc")).select("id", F.lower("label").alias("_label"))
     alias = entities.select("name", F.lower("alias").alias("_alias")).filter(F.length("_alias") >= 2).distinct()
-    pairs = contains_join(some, alias, "_label", "_alias", max_entities)
+    pairs = contains_join(some, alias, "_label", "_alias", most)
     return pairs.select(F.col("id").alias("src"), F.concat(F.lit("entity:"), "name").alias("dst")).distinct()
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import tokens_of
-from .sizes import contains_join, held
+from .needles import contains_join
 from .tops import top_by
 
 #: Fixed values of the fusion: rank offset, weight of hits by keyword only, largest fused score.
@@ -23,25 +23,15 @@ RRF_MAX = 2 / 61
 SOURCE_WEIGHTS = {"jira": 0.95, "confluence": 0.85, "teams": 0.9, "sharepoint": 0.7, "local": 0.7, "docs": 0.5}
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    if metric == "l2":
-        return F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def vector_top_n(queries: DataFrame, vectors: DataFrame, n: int, metric: str = "cosine") -> DataFrame:
-    """query_id, chunk_id, distance, rank: exact nearest ``n`` (query vectors qvec, chunk vectors embedding)."""
-    pairs = vectors.select("chunk_id", "embedding").crossJoin(held(queries.select("query_id", "qvec")))
-    return top_by(pairs.select("query_id", "chunk_id", F.round(distance(F.col("qvec"), F.col("embedding"), metric), 9).alias("distance")), n, "distance", "chunk_id")
-
-
 def vector_top_n_lsh(queries: DataFrame, vectors: DataFrame, n: int, bucket: float = 0.5, tables: int = 6, reach: float = 1.5) -> DataFrame:
-    """As `vector_top_n` with l2, over candidates of a random-projection index, whose distances are exact."""
+    """As `vector_top_n` with l2, over candidates of a random-projection index, whose distances are exact. ``bucket`` and
+    ``reach`` are multiples of the vectors' mean length. It promises no number of rows; `vectors.search_lists` does."""
+    size = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v))
+    mean = vectors.agg(F.avg(size).alias("m")).first()["m"] or 1.0
     own = vectors.select("chunk_id", array_to_vector("embedding").alias("v"))
     asked = queries.select("query_id", array_to_vector("qvec").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(own)
-    near = model.approxSimilarityJoin(own, asked, reach, "d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(F.col("d") * F.col("d"), 9).alias("distance"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket * mean, numHashTables=tables, seed=1).fit(own)
+    near = model.approxSimilarityJoin(own, asked, reach * mean, "d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(F.col("d") * F.col("d"), 9).alias("distance"))
     return top_by(near, n, "distance", "chunk_id")
 
 

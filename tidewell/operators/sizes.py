@@ -1,8 +1,8 @@
-"""Joins with sides of a checked size."""
+"""Sides of a checked size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is sent to all tasks.
@@ -16,22 +16,3 @@ def is_small(df: DataFrame, most: int = MOST) -> bool:
 def held(df: DataFrame, most: int = MOST) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is small, else as it is."""
     return F.broadcast(df) if is_small(df, most) else df
-
-
-def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str, most: int = MOST) -> DataFrame:
-    """Pairs of rows where ``needle`` (not empty) stands in ``text``. Few needles are broadcast; many are joined by
-    their first (at most three) characters with the texts' substrings of that length, and then compared."""
-    some = needles.filter(F.length(needle) > 0)
-    if is_small(some, most):
-        return texts.join(F.broadcast(some), F.contains(text, needle))
-
-    def grams(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (k - 1))
-        return F.when(F.length(text) >= k, F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(k)))))
-
-    out = None
-    for k in (1, 2, 3):
-        own = some.filter(F.least(F.length(needle), F.lit(3)) == k).withColumn("_gram", F.substring(needle, 1, k))
-        pairs = texts.withColumn("_gram", F.explode(grams(k))).join(own, "_gram").filter(F.contains(text, needle)).drop("_gram")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out

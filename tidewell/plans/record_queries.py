@@ -378,7 +378,17 @@ def _(v: Views):
 
 @query("d08_link_mentions_by_grams", f"WITH {_MENTION} SELECT * FROM m")
 def _(v: Views):
-    return G.link_mentions(_doc_nodes(v), v.entities_v, max_entities=0)
+    """In several passes, as a dictionary of more names than an automaton may have takes."""
+    return G.link_mentions(_doc_nodes(v), v.entities_v, most=2)
+
+
+_PARTS = "(SELECT p_name AS name, split_part(p_name, ' ', 1) AS alias FROM part UNION ALL SELECT c_name, c_mktsegment FROM customer UNION ALL SELECT 'doc' || doc_id, substr(text, 12, 6) FROM documents)"
+
+
+@query("d08_link_many_mentions", f"SELECT DISTINCT d.id AS src, 'entity:' || e.name AS dst FROM corpus_docs d JOIN (SELECT DISTINCT name, lower(alias) AS alias FROM {_PARTS}) e ON length(alias) >= 2 AND contains(lower(d.title), e.alias)")
+def _(v: Views):
+    """A dictionary that grows with the tables: names of parts and customers, and a piece of every document's title."""
+    return G.link_mentions(_doc_nodes(v), v.sql(f"SELECT * FROM {_PARTS}"))
 
 
 @query("d19_detect_entities", "SELECT query_id, name FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY max(length(alias)) DESC, name) AS n FROM queries_v JOIN entities_v ON contains(q, alias) GROUP BY 1, 2) WHERE n <= 2")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keyword
-from ..shared import shared_dir
+from ..shared import find_package, shared_dir
 from ..sources import versions
 from .fixtures import VIEWS
 
@@ -24,21 +24,26 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        find_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.sql(VIEWS[name])
 
-    def kept_index(self, name: str, chunks: DataFrame) -> keyword.KeywordIndex:
-        """The keyword index ``name`` of ``chunks``, made of documents, below the shared folder. It is built when it is first
-        asked for, and again for other files of documents, or ones that were changed."""
+    def kept(self, name: str, source: DataFrame, build: Callable[[str], object]) -> str:
+        """A root below the shared folder that ``build`` fills when it is first asked for, and again for other files of
+        ``source``, or ones that were changed."""
         file = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
-        files = self.documents.select(F.xxhash64(*file).alias("h")).distinct().agg(F.expr("coalesce(bit_xor(h), 0)").alias("h"), F.count("*").alias("n")).first()
-        root = f"{shared_dir(self.spark)}/index-{name}-{files['n']}-{files['h'] & (1 << 64) - 1:016x}"
+        files = source.select(F.xxhash64(*file).alias("h")).distinct().agg(F.expr("coalesce(bit_xor(h), 0)").alias("h"), F.count("*").alias("n")).first()
+        root = f"{shared_dir(self.spark)}/kept-{name}-{files['n']}-{files['h'] & (1 << 64) - 1:016x}"
         if versions.latest(self.spark, root) is None:
-            keyword.build_index(self.spark, root, chunks)
-        return keyword.open_index(self.spark, root)
+            build(root)
+        return root
+
+    def kept_index(self, name: str, chunks: DataFrame) -> keyword.KeywordIndex:
+        """The keyword index ``name`` of ``chunks``, which are made of documents."""
+        return keyword.open_index(self.spark, self.kept(f"{name}-index", self.documents, lambda root: keyword.build_index(self.spark, root, chunks)))
 
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over tables and views named in ``text``."""

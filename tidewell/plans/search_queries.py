@@ -8,6 +8,7 @@ from ..functions import query_text as Q
 from ..operators import corpus as K
 from ..operators import keyword as W
 from ..operators import retrieval as R
+from ..operators import vectors as X
 from ..operators.sizes import MOST, held, is_small
 from .registry import Views, query
 from .text_queries import _CHUNKS, _POST, _TERMS, _TOK, chunk_table
@@ -28,12 +29,12 @@ def vectors(v: Views):
 
 @query("i01_vector_top_n", f"WITH {_VEC} SELECT query_id, chunk_id, distance, CAST(rank AS INTEGER) AS rank FROM vr WHERE rank < 15")
 def _(v: Views):
-    return R.vector_top_n(v.query_vectors, vectors(v), 15)
+    return X.vector_top_n(v.query_vectors, vectors(v), 15)
 
 
 @query("f03_rank_hits", f"WITH {_VEC} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM vr WHERE rank < 5")
 def _(v: Views):
-    return R.vector_top_n(v.query_vectors, vectors(v), 5).select("query_id", "chunk_id", "rank")
+    return X.vector_top_n(v.query_vectors, vectors(v), 5).select("query_id", "chunk_id", "rank")
 
 
 @query("i02_vector_lsh")
@@ -41,9 +42,27 @@ def _(v: Views):
     return R.vector_top_n_lsh(v.query_vectors, vectors(v), 15)
 
 
+def kept_lists(v: Views) -> str:
+    return v.kept("lists", v.embeddings, lambda root: X.build_lists(v.spark, root, vectors(v)))
+
+
+@query("i02_vector_lists")
+def _(v: Views):
+    return X.search_lists(v.spark, kept_lists(v), v.query_vectors, 15)
+
+
+@query("i02_lists_promise", "SELECT count(*) AS questions, count(*) * least(15, (SELECT count(*) FROM embeddings)) AS found, true AS recall_reached FROM query_vectors")
+def _(v: Views):
+    """How many rows the inverted lists give, and whether they hold nine tenths of the exact nearest ones."""
+    got = X.search_lists(v.spark, kept_lists(v), v.query_vectors, 15).select("query_id", "chunk_id", F.lit(True).alias("by_lists"))
+    exact = X.vector_top_n(v.query_vectors, vectors(v), 15, "l2").select("query_id", "chunk_id", F.lit(True).alias("exact"))
+    both = got.join(exact, ["query_id", "chunk_id"], "full_outer")
+    return both.agg(F.count_distinct("query_id").alias("questions"), F.count("by_lists").alias("found"), (F.count_if(F.col("by_lists") & F.col("exact")) >= 0.9 * F.count("exact")).alias("recall_reached"))
+
+
 @query("h03_merge_multi_query", f"WITH {_VEC}, t AS (SELECT query_id % 5 AS query_id, chunk_id, rank, distance FROM vr WHERE rank < 15) SELECT query_id, chunk_id, CAST(min(rank) AS INTEGER) AS rank, min(distance) AS distance FROM t GROUP BY 1, 2")
 def _(v: Views):
-    return R.merge_multi_query(R.vector_top_n(v.query_vectors, vectors(v), 15).withColumn("query_id", F.col("query_id") % 5))
+    return R.merge_multi_query(X.vector_top_n(v.query_vectors, vectors(v), 15).withColumn("query_id", F.col("query_id") % 5))
 
 
 def asked(v: Views):
@@ -119,7 +138,7 @@ def candidates(v: Views):
     asks = v.queries_v.join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
     vecs = v.embeddings.select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
     whole = v.corpus_docs.select(F.col("id").alias("chunk_id"), F.col("content").alias("text"))
-    return R.merge_candidates(R.vector_top_n(asks, vecs, 12), W.bm25_search(asked(v), v.kept_index("documents", whole), 12))
+    return R.merge_candidates(X.vector_top_n(asks, vecs, 12), W.bm25_search(asked(v), v.kept_index("documents", whole), 12))
 
 
 def hits(v: Views):
@@ -326,7 +345,7 @@ def hybrid_search(queries, chunks, index: W.KeywordIndex, vecs, k: int, now: str
     """query_id, doc_id, chunk_id, rerank_score: questions (query_id, q, keywords, qvec) against chunks (chunk_id,
     doc_id, source, text, created_at), their index and vectors: both searches, fusion, recency, second stage,
     a document once, best ``k``."""
-    vec = R.vector_top_n(queries.filter("qvec IS NOT NULL"), vecs, 3 * k)
+    vec = X.vector_top_n(queries.filter("qvec IS NOT NULL"), vecs, 3 * k)
     fused = R.rrf(R.merge_candidates(vec, W.bm25_search(queries, index, 3 * k)))
     if is_small(queries, MOST // (6 * k)):  # then so are the hits: 6 * k a question at most
         fused = F.broadcast(fused)

@@ -34,7 +34,7 @@ def drained(v: Views, rows: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         q = rows.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     else:
-        q = rows.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.write.parquet(f"{base}/rows/batch={n}")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q = rows.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return v.spark.read.schema(rows.schema).parquet(f"{base}/rows")
 
@@ -85,11 +85,17 @@ def _(v: Views):
     return v.spark.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").select("event_id")
 
 
-@query("l08_surge_stream", "WITH d AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1), l AS (SELECT * FROM d WHERE date > (SELECT max(date) - 14 FROM d)), s AS (SELECT avg(n) AS m, stddev_pop(n) AS s FROM l) SELECT date, n FROM l, s WHERE abs((n - m) / s) >= 1.2")
+@query("l08_surge_stream", "WITH d AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1 HAVING CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM events)), l AS (SELECT * FROM d WHERE date > (SELECT max(date) - 14 FROM d)), s AS (SELECT avg(n) AS m, stddev_pop(n) AS s FROM l) SELECT date, n FROM l, s WHERE abs((n - m) / s) >= 1.2")
 def _(v: Views):
-    base = shared(v)
-    S.surge_stream(events(v), lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows"), f"{base}/state", days=14, z=1.2).awaitTermination()
-    return v.spark.read.parquet(f"{base}/rows").select("date", "n")
+    # in several batches: the days of each part come after those of the one before
+    base, e = shared(v), v.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = e.agg(F.expr("approx_percentile(unix_micros(ts), array(0.3, 0.6))").alias("t")).first()["t"] or []
+    part = sum((F.when(F.unix_micros("ts") > t, 1).otherwise(0) for t in parts), F.lit(0))
+    for n in range(len(parts) + 1):
+        e.filter(part == n).write.parquet(f"{base}/in/part={n}")
+        source = v.spark.readStream.schema(e.schema).parquet(f"{base}/in/*")
+        S.surge_stream(source, lambda df, n: df.write.mode("overwrite").parquet(f"{base}/rows"), f"{base}/ring", f"{base}/state", days=14, z=1.2).awaitTermination()
+    return v.spark.read.schema("date date, n long").parquet(f"{base}/rows").select("date", "n")
 
 
 @query("l09_turn_counter", "SELECT id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) - 1 AS turn_index FROM chat_history")
@@ -126,19 +132,23 @@ def _(v: Views):
 
 @query("a10_upsert_table", "SELECT id AS chunk_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 6 = 0 THEN 'moved to' WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN source ELSE source || ' old' END AS source, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 'new' ELSE 'old' END AS content_hash FROM corpus_docs WHERE CAST(substr(id, 2) AS BIGINT) % 7 <> 0 OR CAST(substr(id, 2) AS BIGINT) % 3 = 0")
 def _(v: Views):
-    base, no = shared(v), F.substring("id", 2, 20).cast("long")
+    root, no = shared(v), F.substring("id", 2, 20).cast("long")
     row = lambda h, source: [F.col("id").alias("chunk_id"), source.alias("source"), F.lit(h).alias("content_hash"), F.create_map(F.lit("lang"), F.col("lang")).alias("meta")]
-    v.corpus_docs.filter(no % 7 != 0).select(*row("old", F.concat("source", F.lit(" old")))).write.partitionBy("source").parquet(f"{base}/table")
-    files.upsert_chunks(v.spark, f"{base}/table", v.corpus_docs.filter(no % 3 == 0).select(*row("new", F.when(no % 6 == 0, "moved to").otherwise(F.col("source")))))
-    return v.spark.read.parquet(files.compact(v.spark, f"{base}/table", 4)).select("chunk_id", "source", "content_hash")
+    files.upsert_chunks(v.spark, root, v.corpus_docs.filter(no % 7 != 0).select(*row("old", F.concat("source", F.lit(" old")))))
+    new = v.corpus_docs.filter(no % 3 == 0).select(*row("new", F.when(no % 6 == 0, "moved to").otherwise(F.col("source"))))
+    twice = v.corpus_docs.filter(no % 9 == 0).select(*row("before new", F.col("source")))  # ids that the load holds twice
+    files.upsert_chunks(v.spark, root, new.unionByName(twice))
+    return files.read_chunks(v.spark, root).select("chunk_id", "source", "content_hash")
 
 
 @query("a13_rebuild_collection", "SELECT id AS chunk_id, source FROM corpus_docs")
 def _(v: Views):
-    base = shared(v)
-    v.corpus_docs.select(F.col("id").alias("chunk_id"), "source").repartition(32).write.parquet(f"{base}/table")
-    files.rebuild_collection(v.spark, f"{base}/table", 4)
-    return v.spark.read.parquet(f"{base}/table")
+    root = shared(v)
+    rows = v.corpus_docs.select(F.col("id").alias("chunk_id"), "source", F.md5("content").alias("content_hash"), F.create_map().cast("map<string,string>").alias("meta"))
+    for part in range(3):
+        files.upsert_chunks(v.spark, root, rows.filter(F.substring("chunk_id", 2, 20).cast("long") % 3 == part))
+    files.rebuild_collection(v.spark, root)
+    return files.read_chunks(v.spark, root).select("chunk_id", "source")
 
 
 @query("a08_markdown_tree", """SELECT 'page/' || id || '.md' AS rel_path, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 2 = 0 THEN 'Title ' || id ELSE id END AS title, 'page' AS category
@@ -165,34 +175,37 @@ def _write_files(parts, folder: str):
         yield pd.DataFrame({"n": [len(part)]})
 
 
-@query("l10_late_rows", """SELECT 'dedupeWithinWatermark' AS operator, count(*) AS late FROM events
-WHERE event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events WHERE event_id % 10 > 1) - INTERVAL 1 HOUR""")
+@query("l10_late_rows", """WITH e AS (SELECT ts, CASE WHEN event_id % 10 > 1 THEN 0 WHEN event_id % 10 = 1 THEN 1 ELSE 2 END AS part FROM events),
+m AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT part FROM e) p)
+SELECT 'dedupeWithinWatermark' AS operator, count(*) AS late FROM e JOIN m USING (part) WHERE ts < mark""")
 def _(v: Views):
-    # most rows come first; a batch is filtered by the watermark that the one before it began with, so the third is
+    # three starts of one query, each with more files: what comes later than an hour before the newest so far is late
     base = shared(v)
-    for part, rows in (("a", "event_id % 10 > 1"), ("b", "event_id % 10 = 1"), ("c", "event_id % 10 = 0")):
-        v.events.filter(rows).select("event_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{base}/in/{part}")
-    source = v.spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    q = S.dedup_stream(source, "event_id").writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.createDataFrame(list(S.late_rows(q).items()), "operator string, late long")
+    late = S.LateRows(v.spark, f"{base}/late")
+    v.spark.streams.addListener(late)
+    try:
+        for part, rows in enumerate(("event_id % 10 > 1", "event_id % 10 = 1", "event_id % 10 = 0")):
+            v.events.filter(rows).select("event_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{base}/in/part={part}")
+            source = v.spark.readStream.schema("event_id long, ts timestamp").parquet(f"{base}/in/*")
+            q = S.dedup_stream(source, "event_id").writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+            late.wait(q)
+    finally:
+        v.spark.streams.removeListener(late)
+    return late.rows().groupBy("operator").agg(F.sum("late").alias("late"))
 
 
 def _ingested(v: Views) -> DataFrame:
-    """The table of chunks (chunk_id, source, content_hash, meta, doc_id, chunk_ix, text) after all documents came in."""
+    """The table of chunks (chunk_id, content_hash, meta, doc_id, chunk_ix, text) after all documents came in."""
     base = shared(v)
     docs = v.documents.filter("text IS NOT NULL").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "source", F.col("text").alias("content"))
     docs.write.json(f"{base}/in")
-    schema = "chunk_id string, content_hash string, meta map<string,string>, doc_id string, chunk_ix int, text string, source string"
-    v.spark.createDataFrame([], schema).write.partitionBy("source").parquet(f"{base}/table")
-
     def put(b: DataFrame, n: int) -> None:
-        # chunks have no source any more; the table is cut by a hash of the document instead
-        rows = b.select(T.chunk_id("doc_id", "chunk_ix").alias("chunk_id"), T.content_hash("text").alias("content_hash"), F.create_map().cast("map<string,string>").alias("meta"), "doc_id", "chunk_ix", "text", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("string").alias("source"))
-        files.upsert_chunks(b.sparkSession, f"{base}/table", rows, schema)
+        rows = b.select(T.chunk_id("doc_id", "chunk_ix").alias("chunk_id"), T.content_hash("text").alias("content_hash"), F.create_map().cast("map<string,string>").alias("meta"), "doc_id", "chunk_ix", "text")
+        files.upsert_chunks(b.sparkSession, f"{base}/table", rows)
 
     S.ingest_stream(v.spark, f"{base}/in", f"{base}/state", put).awaitTermination()
-    return v.spark.read.schema(schema).parquet(f"{base}/table")
+    return files.read_chunks(v.spark, f"{base}/table")
 
 
 @query("l01_ingest_stream", "SELECT 'd' || doc_id AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def find_package(spark: SparkSession) -> None:
+    """Python workers on this machine find this package where the driver found it."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset (local tests), a fresh folder is made and kept on the session."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidewell.shared.dir", None)

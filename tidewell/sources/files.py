@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import card_text, first_heading, issue_content, markup_to_text, merge_comments, merge_replies, message_html_to_text, question_section
-from ..operators.chunks import diff_chunks, upserted
+from ..operators.chunks import diff_chunks, latest_by
+from ..shared import cut
+from .versions import Version, bucket_of, commit, latest, read, upsert, write
 
 DOCUMENT = "id string, source string, source_id string, url string, title string, content string, content_type string, created_at string, updated_at string, author string, metadata map<string, string>"
 
@@ -146,47 +146,49 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def upsert_chunks(spark: SparkSession, target: str, incoming: DataFrame, schema: str | None = None) -> DataFrame:
-    """Puts new and changed chunks into the table at path ``target`` (partitioned by source): only the partitions that
-    change (also those that a chunk leaves for another source) are written, into a new folder, and then exchanged. Returns
-    ``incoming`` with its action. An empty table needs its ``schema``."""
-    stored = spark.read.schema(schema).parquet(target) if schema else spark.read.parquet(target)
-    side = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
-    diff_chunks(incoming, stored).write.parquet(f"{side}/diff")  # before the table changes
-    diff = spark.read.parquet(f"{side}/diff")
+#: Buckets of a chunk table.
+BUCKETS = 64
+
+
+def unique_chunks(incoming: DataFrame) -> DataFrame:
+    """One row of each chunk_id: the newest by ``updated_at`` where there is such a column, then of the greatest hash of its
+    content, then of all its other columns (those that can be hashed). Rows without chunk_id are left out."""
+    plain = [c.name for c in incoming.schema if "map<" not in c.dataType.simpleString() and c.dataType.simpleString() != "variant"]
+    order = [F.desc_nulls_last(c) for c in ("updated_at", "content_hash") if c in incoming.columns]
+    return latest_by(incoming.filter("chunk_id IS NOT NULL"), ["chunk_id"], *order, F.xxhash64(*plain))
+
+
+def upsert_chunks(spark: SparkSession, root: str, incoming: DataFrame) -> DataFrame:
+    """Puts new and changed chunks (chunk_id, content_hash, meta, ...) into the table below ``root`` (`read_chunks`); of rows of
+    one chunk_id the one of `unique_chunks`. Only buckets that hold changed chunks are written, into new folders, and one
+    rename makes them count, so who reads meanwhile reads the table as it was. Returns chunk_id and action."""
+    base, one = latest(spark, root), unique_chunks(incoming)
+    stored = read(spark, root, base, "chunks") if base else spark.createDataFrame([], one.schema)
+    diff = cut(diff_chunks(one, stored), "load-diff")
     changed = diff.filter("action <> 'skipped'").select(stored.columns)
-    places = stored.select("chunk_id", "source", F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1).alias("folder"))
-    left = places.join(changed.select("chunk_id"), "chunk_id", "left_semi").select("source", "folder").distinct()
-    left.write.parquet(f"{side}/left")
-    left = spark.read.parquet(f"{side}/left")
-    touched = stored.join(changed.select("source").union(left.select("source")).distinct(), "source", "left_semi")
-    upserted(touched, changed).repartition("source", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.partitionBy("source").parquet(f"{side}/rows")
-    spark.read.schema(stored.schema).parquet(f"{side}/rows").select(stored.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(target)
-    # partitions that no row is left in; a row a source at most
-    for r in left.join(spark.read.schema(stored.schema).parquet(f"{side}/rows").select("source").distinct(), "source", "left_anti").collect():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(r["folder"]))
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if base is None or not changed.isEmpty():
+        commit(spark, root, base, {"chunks": upsert(spark, root, "chunks", base, changed, "chunk_id", BUCKETS)})
     return diff.select("chunk_id", "action")
 
 
-def compact(spark: SparkSession, table: str, files: int) -> str:
-    """Writes the table's rows into few files beside it and checks that none is missing; returns the new folder."""
-    rows, side = spark.read.parquet(table), f"{table.rstrip('/')}.{uuid.uuid4().hex}"
-    rows.repartition(files).write.parquet(side)
-    if (old := rows.count()) != (new := spark.read.parquet(side).count()):
-        raise ValueError(f"{old} rows became {new}")
-    return side
-
-
-def rebuild_collection(spark: SparkSession, table: str, files: int) -> str:
-    """`compact`, and then the new table in the place of the old one; returns where the old one is kept. Whoever reads
-    while the folders are exchanged has to read again."""
-    side, old = compact(spark, table, files), f"{table.rstrip('/')}.old-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not (fs.rename(path(table), path(old)) and fs.rename(path(side), path(table))):
-        raise ValueError(f"{table} could not be exchanged; see {old} and {side}")
-    return old
+def read_chunks(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The chunk table below ``root`` at its newest version, or at version ``number``."""
+    version = latest(spark, root, number)
+    if version is None:
+        raise FileNotFoundError(f"no such table below {root}")
+    return read(spark, root, version, "chunks")
+
+
+def rebuild_collection(spark: SparkSession, root: str) -> int:
+    """Writes all rows of the table below ``root`` anew, in as few files as they need, checks that none is missing, and makes
+    them the next version, whose number it returns. The old version stays readable until `vacuum`."""
+    base = latest(spark, root)
+    old = read(spark, root, base, "chunks")
+    tables = {"chunks": write(root, old, bucket_of("chunk_id", BUCKETS), ["chunk_id"])}
+    before, after = old.count(), read(spark, root, Version(0, tables), "chunks").count()
+    if before != after:
+        raise ValueError(f"{before} rows became {after}")
+    return commit(spark, root, base, tables).number
 
 
 def evolve(df: DataFrame, defaults: dict[str, object]) -> DataFrame:

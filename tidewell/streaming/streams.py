@@ -1,19 +1,24 @@
 """Structured Streaming forms of ingestion, sessions, limits and statistics.
 
-Event times have to be TIMESTAMP (not NTZ). State grows with open windows, sessions or keys only; each operator says
-what bounds it.
+Event times have to be TIMESTAMP (not NTZ). Each operator says what bounds its state. Those that keep values of their own
+(`rate_limit`, `reply_state`, `turn_counter`) need the RocksDB state store, which they set on the session; a key's rows of
+one batch are held as two or three numbers a row, so a source's limit on a batch bounds the memory of a hot key.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.chunks import chunk_words
 from ..operators.insight import anomalies
@@ -47,8 +52,8 @@ def session_stream(stream: DataFrame, gap: str = "30 minutes", delay: str = "10
 
 
 def accept_calls(times: list[float], kept: list[float], limit: int, span: float = 60.0) -> tuple[list[bool], list[float]]:
-    """Which calls (seconds, in order) are accepted when at most ``limit`` accepted ones lie within ``span`` before;
-    0 or less: all. ``kept``: accepted times so far; at most ``limit`` are kept."""
+    """Which calls (times in order, in the unit of ``span``) are accepted when at most ``limit`` accepted ones lie within
+    ``span`` before; 0 or less: all. ``kept``: accepted times so far; at most ``limit`` are kept."""
     out = []
     for t in times:
         kept = [x for x in kept if t - x <= span]
@@ -61,50 +66,121 @@ def accept_calls(times: list[float], kept: list[float], limit: int, span: float
 _LIMITED = "client_id long, id long, us long, accepted boolean"
 
 
-def rate_limit(stream: DataFrame, limit: int = 30) -> DataFrame:
-    """client_id, id, us (microseconds), accepted of calls (client_id, id, created_at). A client's calls of a batch
-    are taken in order of time; its state is at most ``limit`` times."""
-    timed = stream.select("client_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
+def _with_own_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def one(part: pd.DataFrame, kept: list[float]) -> tuple[pd.DataFrame, list[float]]:
-        ok, kept = accept_calls((part["us"] / 1e6).tolist(), kept, limit)
-        return part.assign(accepted=ok)[["client_id", "id", "us", "accepted"]], kept
+
+def _columns(parts: Iterator[pd.DataFrame], *names: str) -> list[np.ndarray]:
+    """Columns of all ``parts``."""
+    held = [[part[n].to_numpy() for n in names] for part in parts]
+    return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+class _Quiet(StatefulProcessor):
+    """A key's values end with a timer when the watermark is past what it was last told. A time to live by the clock is not
+    used: it would not end with a replay, and a query that reads all there is would wait for it for ever."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms long")
+        self.values = self.open(handle)
+
+    def renew(self, ms: int) -> None:
+        if self.until.exists():
+            if (old := self.until.get()[0]) >= ms:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
+        self.until.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.values.clear()
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Limiter(_Quiet):
+    """Accepted times of a client (at most ``limit``), until the watermark is past all that they can rule out."""
+
+    def __init__(self, limit: int, span_us: int) -> None:
+        self.limit, self.span = limit, span_us
+
+    def open(self, handle: StatefulProcessorHandle):
+        return handle.getListState("kept", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        us, ids = _columns(rows, "us", "id")
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
+        ok, kept = accept_calls(us.tolist(), [r[0] for r in self.values.get()] if self.values.exists() else [], self.limit, self.span)
+        if kept:
+            self.values.put([(int(x),) for x in kept])
+            self.renew((max(kept) + self.span) // 1000 + 1)
+        yield pd.DataFrame({"client_id": np.full(len(us), key[0]), "id": ids, "us": us, "accepted": ok})
+
+
+def rate_limit(stream: DataFrame, limit: int = 30, span: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """client_id, id, us (microseconds), accepted of calls (client_id, id, created_at). A client's calls of a batch are taken
+    in order of time; calls that come more than ``delay`` late are dropped. State: at most ``limit`` times of each client
+    that called within ``span`` and ``delay`` before the newest call of all; a timer ends it. The result is that of the
+    batch form over each client's calls in the order that they are taken in."""
+    timed = stream.select("client_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
+    span_us = round(span * 1e6)
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, kept = None, []
         for part in parts:
             for c, rows in part.groupby("client_id", sort=False, dropna=False):
                 client, kept = (client, kept) if c == client else (c, [])
-                out, kept = one(rows, kept)
-                yield out
+                ok, kept = accept_calls(rows["us"].tolist(), kept, limit, span_us)
+                yield rows.assign(accepted=ok)[["client_id", "id", "us", "accepted"]]
 
     if not stream.isStreaming:
-        return timed.repartition("client_id").sortWithinPartitions("client_id", "us", "id").mapInPandas(walk, _LIMITED)
+        return timed.drop("created_at").repartition("client_id").sortWithinPartitions("client_id", "us", "id").mapInPandas(walk, _LIMITED)
+    _with_own_state(stream.sparkSession)
+    return timed.withWatermark("created_at", delay).groupBy("client_id").transformWithStateInPandas(_Limiter(limit, span_us), _LIMITED, "append", "eventtime")
+
+
+class _Replies(_Quiet):
+    """First document and newest time of a question."""
 
-    def stateful(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        out, kept = one(pd.concat(list(parts)).sort_values(["us", "id"]), kept)
-        state.update((kept,))
-        yield out
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet = quiet_ms
 
-    return timed.groupBy("client_id").applyInPandasWithState(stateful, _LIMITED, "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    def open(self, handle: StatefulProcessorHandle):
+        return handle.getValueState("reply", "first long, newest long")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, newest = self.values.get() if self.values.exists() else (None, None)
+        earliest, best = None, None
+        for part in rows:  # the first and the newest row are all that is held
+            places = list(zip(part["created_at"].tolist(), part["doc_id"].tolist(), part["reply"].tolist(), strict=True))
+            low, high = min(places, key=lambda x: x[:2]), max(places, key=lambda x: x[:2])
+            earliest = low if earliest is None or low[:2] < earliest[:2] else earliest
+            best = high if best is None or high[:2] > best[:2] else best
+        first = int(earliest[1]) if first is None else first
+        if newest is None or best[0] >= newest:
+            newest = int(best[0])
+            yield pd.DataFrame({"question": [key[0]], "doc_id": [first], "reply": [best[2]], "created_at": [newest]})
+        self.values.update((first, newest))
+        self.renew(newest + self.quiet)
 
-def reply_state(stream: DataFrame) -> DataFrame:
-    """question, doc_id, reply, created_at whenever a question's active reply changes: the newest reply, under the
-    document that answered the question first."""
-    schema = "question string, doc_id long, reply string, created_at long"
 
-    def stateful(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts)).sort_values(["created_at", "doc_id"])
-        first, newest = state.get if state.exists else (int(part["doc_id"].iat[0]), -(2**62))
-        last = part.iloc[-1]
-        if int(last["created_at"]) >= newest:
-            newest = int(last["created_at"])
-            yield pd.DataFrame({"question": [key[0]], "doc_id": [first], "reply": [last["reply"]], "created_at": [newest]})
-        state.update((first, newest))
+#: How long (of event time, in milliseconds) a question or session may be quiet before it is begun anew.
+QUIET_MS = 90 * 86_400_000
 
-    return stream.groupBy("question").applyInPandasWithState(stateful, schema, "first long, newest long", "update", GroupStateTimeout.NoTimeout)
+
+def reply_state(stream: DataFrame, quiet_ms: int = QUIET_MS, delay: str = "1 day") -> DataFrame:
+    """question, doc_id, reply, created_at (milliseconds) whenever a question's active reply changes: the newest reply, under
+    the document that answered the question first. Replies that come more than ``delay`` late are dropped. State: three
+    numbers for each question that had a reply within ``quiet_ms`` and ``delay`` before the newest reply of all; a later
+    reply begins the question anew."""
+    _with_own_state(stream.sparkSession)
+    timed = stream.select("question", "doc_id", "reply", "created_at", F.timestamp_millis("created_at").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("question").transformWithStateInPandas(_Replies(quiet_ms), "question string, doc_id long, reply string, created_at long", "update", "eventtime")
 
 
 def _drop_expired(spark: SparkSession, sink: str, last: date) -> None:
@@ -138,35 +214,96 @@ def retain_stream(stream: DataFrame, days: int, sink: str, checkpoint: str, ts:
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def surge_stream(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str, days: int = 7, z: float = 2.5, ts: str = "ts") -> StreamingQuery:
-    """After each batch the days of the last ``days`` whose counts stand out, from counts of closed days kept so far."""
-    counts = stream.withWatermark(ts, "1 hour").groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("date"), "n")
+def surge_stream(stream: DataFrame, put: Callable[[DataFrame, int], None], ring: str, checkpoint: str, days: int = 7, z: float = 2.5, ts: str = "ts", delay: str = "1 hour") -> StreamingQuery:
+    """After each batch that closes a day, ``put`` gets those of the last ``days`` closed days whose counts stand out. A day
+    is closed, and counted once, when ``delay`` after its end is reached. State: open days; the counts of the last
+    ``days`` closed ones are rows below ``ring``, one folder a batch, of which the newest two stay. A batch may run twice."""
+    counts = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("date"), "n")
+    schema, ring = "date date, n long", ring.rstrip("/")
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max("date")).first()[0]
-        if newest is not None:
-            put(anomalies(batch.filter(F.col("date") > F.date_sub(F.lit(newest), days)), "n", z, least_days=3), number)
-
-    return counts.writeStream.outputMode("complete").foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def turn_counter(stream: DataFrame) -> DataFrame:
-    """session_id, id, turn_index (from 0) in order of arrival, and of time within a batch."""
-    schema = "session_id string, id long, turn_index long"
-
-    def stateful(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(parts)).sort_values(["created_at", "id"])
-        n = state.get[0] if state.exists else 0
-        state.update((n + len(part),))
-        yield pd.DataFrame({"session_id": key[0], "id": part["id"].to_numpy(), "turn_index": range(n, n + len(part))})
-
-    return stream.select("session_id", "id", "created_at").groupBy("session_id").applyInPandasWithState(stateful, schema, "n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def late_rows(query: StreamingQuery) -> dict[str, int]:
-    """How many rows each stateful operator of the query dropped as too late, over its recent batches."""
-    out: dict[str, int] = {}
-    for batch in query.recentProgress:
-        for op in batch["stateOperators"]:
-            out[op["operatorName"]] = out.get(op["operatorName"], 0) + op.get("numRowsDroppedByWatermark", 0)
-    return out
+        spark = batch.sparkSession
+        before = [b for b in _batches(spark, ring) if b < number]
+        held = spark.read.schema(schema).parquet(f"{ring}/batch={before[-1]}") if before else spark.createDataFrame([], schema)
+        newest = held.unionByName(batch).orderBy(F.desc("date")).limit(days)
+        newest.write.mode("overwrite").parquet(f"{ring}/batch={number}")
+        if not batch.isEmpty():
+            put(anomalies(spark.read.schema(schema).parquet(f"{ring}/batch={number}"), "n", z, least_days=3), number)
+        for old in before[:-1]:
+            _delete(spark, f"{ring}/batch={old}")
+
+    return counts.writeStream.outputMode("append").foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path) or []
+    return sorted(int(f.getPath().getName().removeprefix("batch=")) for f in found)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class _Turns(_Quiet):
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet = quiet_ms
+
+    def open(self, handle: StatefulProcessorHandle):
+        return handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, ids = _columns(rows, "created_at", "id")
+        n = self.values.get()[0] if self.values.exists() else 0
+        self.values.update((n + len(ids),))
+        self.renew(int(at.max()) // 1000 + self.quiet)
+        yield pd.DataFrame({"session_id": key[0], "id": ids[np.lexsort((ids, at))], "turn_index": range(n, n + len(ids))})
+
+
+def turn_counter(stream: DataFrame, quiet_ms: int = QUIET_MS, delay: str = "1 day") -> DataFrame:
+    """session_id, id, turn_index (from 0) in order of arrival, and of time (created_at, microseconds) within a batch. Turns
+    that come more than ``delay`` late are dropped. State: two numbers for each session with a turn within ``quiet_ms``
+    and ``delay`` before the newest turn of all; a later turn is number 0 again."""
+    _with_own_state(stream.sparkSession)
+    timed = stream.select("session_id", "id", "created_at", F.timestamp_micros("created_at").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(_Turns(quiet_ms), "session_id string, id long, turn_index long", "append", "eventtime")
+
+
+class LateRows(StreamingQueryListener):
+    """Adds up, for all batches of all queries, how many rows each stateful operator dropped as too late: a small JSON file
+    below ``folder`` for each batch that dropped any, named by query and batch, so that one that runs twice counts once.
+    Add it to ``spark.streams`` before the query starts, and `wait` for the query's end before reading."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.ended = spark, folder.rstrip("/"), {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = [{"query": str(p.id), "batch": p.batchId, "operator": op.operatorName, "late": op.numRowsDroppedByWatermark} for op in p.stateOperators if op.numRowsDroppedByWatermark]
+        if rows:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p.id}-{p.batchId}.json")
+            out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+            out.write(bytearray("\n".join(map(json.dumps, rows)).encode()))
+            out.close()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all that the query told has come in."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError(f"query {query.runId} has not ended")
+
+    def rows(self) -> DataFrame:
+        """query, batch, operator, late."""
+        schema = "query string, batch long, operator string, late long"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).json(self.folder) if there else self.spark.createDataFrame([], schema)
