@@ -85,12 +85,12 @@ def source_hash_parts(df: DataFrame, group: str, hash_col: str = "content_hash")
 
 
 def fact_conflicts(facts: DataFrame) -> DataFrame:
-    """fact_key, n_values, entries (page_id, value) of keys that have more than one value over pages that aren't
-    disabled; keys and values are compared without blanks and case; blank keys don't count."""
+    """fact_key, n_values, page_id, fact_value: a row for each page of keys that have more than one value over pages that
+    aren't disabled; keys and values are compared without blanks and case; blank keys don't count."""
     plain = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", ""))
-    some = facts.filter("status <> 'disabled'").withColumn("_k", plain("fact_key")).withColumn("_v", plain("fact_value")).filter("_k <> ''")
-    groups = some.groupBy("_k").agg(F.countDistinct("_v").alias("n_values"), F.array_sort(F.collect_list(F.struct("page_id", "fact_value"))).alias("entries"))
-    return groups.filter("n_values > 1").select(F.col("_k").alias("fact_key"), "n_values", "entries")
+    some = facts.filter("status <> 'disabled'").select(plain("fact_key").alias("_k"), plain("fact_value").alias("_v"), "page_id", "fact_value").filter("_k <> ''")
+    apart = some.select("_k", "_v").distinct().groupBy("_k").agg(F.count("*").alias("n_values")).filter("n_values > 1")
+    return some.join(apart, "_k").select(F.col("_k").alias("fact_key"), "n_values", "page_id", "fact_value")
 
 
 def collect_sources(questions: DataFrame, hits: DataFrame, per_question: int = 8, most: int = 25) -> DataFrame:

@@ -188,13 +188,18 @@ def query_issues(issues: DataFrame, *, project: str = "", assignee: str = "", la
 def list_answers(queries: DataFrame, issues: DataFrame, top: int = 5) -> DataFrame:
     """Per query (query_id, project, assignee, status group `open`, `closed` or '') condition, total, first keys and
     whether the answer is definite: rows were found, or project or assignee was given."""
-    opened = F.when(F.col("i.status").isin(OPEN_STATUSES), "open").when(F.col("i.status").isin(CLOSED_STATUSES), "closed").otherwise("other")
-    fits = ((F.col("q.project") == "") | (F.col("q.project") == F.col("i.project"))) & ((F.col("q.assignee") == "") | (F.col("q.assignee") == F.col("i.assignee"))) & ((F.col("q.status") == "") | (F.col("q.status") == opened))
-    hits = issues.alias("i").join(held(queries).alias("q"), fits).select("q.query_id", "i.issue_key", "i.created_at")
-    w = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "issue_key")
-    first = hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "issue_key"))), lambda x: x["issue_key"]), ",").alias("first_keys"))
-    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
-    out = queries.join(totals, "query_id", "left").join(first, "query_id", "left")
+    opened = F.when(F.col("status").isin(OPEN_STATUSES), "open").when(F.col("status").isin(CLOSED_STATUSES), "closed").otherwise("other")
+    # an issue answers at most eight conditions: each of its three values, or none of it
+    fields, either = ["project", "assignee", "status"], lambda c: F.explode(F.array(c, F.lit("")))
+    asked = queries.select(*fields).distinct()
+    own = issues.select("issue_key", "created_at", "project", "assignee", opened.alias("status"))
+    for c in fields:
+        own = own.withColumn(c, either(F.col(c)))
+    hits = own.join(held(asked), fields, "left_semi")
+    w = Window.partitionBy(*fields).orderBy(F.desc("created_at"), "issue_key")
+    first = hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top).groupBy(*fields).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "issue_key"))), lambda x: x["issue_key"]), ",").alias("first_keys"))
+    totals = hits.groupBy(*fields).agg(F.count("*").alias("total"))
+    out = queries.join(totals, fields, "left").join(first, fields, "left")
     condition = F.concat_ws(" ", F.nullif("project", F.lit("")), F.nullif("assignee", F.lit("")), F.nullif("status", F.lit("")))
     total = F.coalesce("total", F.lit(0))
     return out.select("query_id", condition.alias("condition"), total.alias("total"), F.coalesce("first_keys", F.lit("")).alias("first_keys"), ((total > 0) | (F.col("project") != "") | (F.col("assignee") != "")).alias("definite"))

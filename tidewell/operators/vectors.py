@@ -95,7 +95,7 @@ def _nearest(pairs: DataFrame, n: int, metric: str) -> DataFrame:
                         r, c = row[at : at + 100_000], col[at : at + 100_000]
                         # squared distances once more, as sums of squares lose no digits
                         exact = ((q[first + r] - x[c]) ** 2).sum(1) if metric == "l2" else d[r, c]
-                        yield pa.RecordBatch.from_arrays([b.column("q_ids")[i].values.take(pa.array(first + r)), b.column("v_ids")[i].values.take(pa.array(c)), pa.array(np.round(exact, 9))], ["query_id", "chunk_id", "distance"])
+                        yield pa.RecordBatch.from_arrays([b.column("q_ids")[i].values.take(pa.array(first + r)), b.column("v_ids")[i].values.take(pa.array(c)), pa.array(np.round(exact, 9) + 0.0)], ["query_id", "chunk_id", "distance"])
 
     blocks = pairs.select("q_ids", "q", "v_ids", "v", "dim")
     return blocks.mapInArrow(go, f"query_id {q_kind}, chunk_id {v_kind}, distance double")

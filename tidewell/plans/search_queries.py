@@ -274,22 +274,33 @@ def _(v: Views):
     return R.compare_references(h, h.filter("no % 7 = 0").select("query_id", "doc_id"), reach=0.1).select("query_id", "chunk_id", "verdict")
 
 
+# answers are pieces of the questions with marks of hits, some of which there are not; the hits are the vector search's
+
+_ANSWERS = """an AS (SELECT query_id, substr(q, 1, 30) || ' [REF' || (1 + query_id % 5) || '] ' || substr(q, 31, 20) || ' [REF2] and [REF' || (10 + query_id % 4) || ']' AS answer FROM queries_v),
+nm AS (SELECT query_id, rank AS pos, title AS name FROM hv JOIN corpus_docs d ON d.id = chunk_id WHERE rank < 11)"""
+
+
 def _answers(v: Views):
-    return v.queries_v.select("query_id", F.lit("a [REF1] b [REF3] c [REF9] d [AB-1] e [AB-1](x) f [CD-2] g").alias("answer"))
+    n = F.col("query_id")
+    return v.queries_v.select("query_id", F.concat(F.substring("q", 1, 30), F.lit(" [REF"), 1 + n % 5, F.lit("] "), F.substring("q", 31, 20), F.lit(" [REF2] and [REF"), 10 + n % 4, F.lit("]")).alias("answer"))
 
 
 def _named(v: Views):
-    return v.queries_v.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).select("query_id", "pos", F.concat(F.lit("n"), F.col("pos").cast("string")).alias("name"), F.when(F.col("pos") != 2, F.concat(F.lit("u"), F.col("pos").cast("string"))).alias("url"), F.when(F.col("pos") == 1, "AB-1").alias("issue_key"))
+    none = F.lit(None).cast("string")
+    return hits(v).filter("v_rank < 11").select("query_id", F.col("v_rank").alias("pos"), F.col("title").alias("name"), F.concat(F.lit("u"), F.col("no").cast("string")).alias("url"), none.alias("issue_key"))
 
 
-@query("d14_resolve_citations", "SELECT query_id, unnest([0, 2]) AS pos, unnest(['n0', 'n2']) AS name FROM queries_v")
+@query("d14_resolve_citations", f"WITH {_HITS}, {_ANSWERS}, m AS (SELECT DISTINCT query_id, CAST(unnest(regexp_extract_all(answer, 'REF([0-9]+)', 1)) AS INTEGER) - 1 AS pos FROM an) SELECT query_id, pos, name FROM m JOIN nm USING (query_id, pos)")
 def _(v: Views):
     return R.resolve_citations(_answers(v), _named(v))
 
 
 @query("b37_render_citations", "SELECT query_id, 'a [n0](u0) b n2 c  d [AB-1](u1) e [AB-1](x) f [CD-2] g' AS rendered FROM queries_v")
 def _(v: Views):
-    return R.render_citations(_answers(v), _named(v)).select("query_id", "rendered")
+    marked = v.queries_v.select("query_id", F.lit("a [REF1] b [REF3] c [REF9] d [AB-1] e [AB-1](x) f [CD-2] g").alias("answer"))
+    places = v.queries_v.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    named = places.select("query_id", "pos", F.concat(F.lit("n"), F.col("pos").cast("string")).alias("name"), F.when(F.col("pos") != 2, F.concat(F.lit("u"), F.col("pos").cast("string"))).alias("url"), F.when(F.col("pos") == 1, "AB-1").alias("issue_key"))
+    return R.render_citations(marked, named).select("query_id", "rendered")
 
 
 @query("c17_compact_hits", f"WITH {_HITS} SELECT query_id, chunk_id, rrf FROM hits")
@@ -315,10 +326,10 @@ def _(v: Views):
     return R.assemble_context(h)
 
 
-@query("e28_assemble_sources", "SELECT CAST(substr(id, 2) AS BIGINT) % 50 AS page_id, string_agg('# ' || title || ' (' || source || ', ' || CAST(created_at AS VARCHAR) || ')' || chr(10) || substr(content, 1, 1200), chr(10) || chr(10) ORDER BY CAST(substr(id, 2) AS BIGINT)) AS block FROM corpus_docs GROUP BY 1")
+@query("e28_assemble_sources", "SELECT CAST(substr(id, 2) AS BIGINT) // 20 AS page_id, string_agg('# ' || title || ' (' || source || ', ' || CAST(created_at AS VARCHAR) || ')' || chr(10) || substr(content, 1, 1200), chr(10) || chr(10) ORDER BY CAST(substr(id, 2) AS BIGINT)) AS block FROM corpus_docs GROUP BY 1")
 def _(v: Views):
     no = F.substring("id", 2, 20).cast("long")
-    d = v.corpus_docs.select((no % 50).alias("page_id"), no.alias("rank"), "title", "source", F.col("created_at").alias("day"), "content")
+    d = v.corpus_docs.select(F.floor(no / 20).alias("page_id"), no.alias("rank"), "title", "source", F.col("created_at").alias("day"), "content")
     return R.assemble_sources(d)
 
 
@@ -364,11 +375,12 @@ def hybrid_query(v: Views):
     return hybrid_search(q, c.select("chunk_id", "doc_id", "source", "text", "created_at"), chunk_index(v), vecs, 5, NOW)
 
 
-@query("k07_feedback_triage", f"SELECT query_id, CASE WHEN CAST(substr(doc_id, 2) AS BIGINT) % 2 = 0 THEN 'cited' ELSE 'missed' END AS verdict, count(*) AS n FROM ({_HYB}) GROUP BY 1, 2")
+@query("k07_feedback_triage", f"WITH {_HITS} SELECT query_id, CASE WHEN k_rank < 4 THEN 'cited' WHEN rrf >= 0.3 * 2 / 61 AND distance <= 0.6 THEN 'missed' ELSE 'other' END AS verdict, count(*) AS n FROM hits GROUP BY 1, 2")
 def _(v: Views):
-    found = hybrid_query(v).withColumn("rrf", F.lit(0.02)).withColumn("distance", F.lit(0.1))
-    refs = found.filter(F.substring("doc_id", 2, 20).cast("long") % 2 == 0).select("query_id", "doc_id")
-    return R.compare_references(found, refs).groupBy("query_id", "verdict").agg(F.count("*").alias("n"))
+    """What an answer by the best keyword hits cites, against all hits with their fused scores and distances."""
+    h = hits(v).withColumn("doc_id", F.col("no"))
+    found = R.compare_references(h, h.filter("k_rank < 4").select("query_id", "doc_id"), share=0.3, reach=0.6)
+    return found.groupBy("query_id", "verdict").agg(F.count("*").alias("n"))
 
 
 # the corpus
@@ -425,7 +437,7 @@ def _(v: Views):
 
 @query("e20_fact_conflicts", "WITH f AS (SELECT lower(replace(fact_key, ' ', '')) AS k, page_id, fact_value FROM page_facts WHERE status <> 'disabled') SELECT k AS fact_key, count(DISTINCT fact_value) AS n_values, count(*) AS n FROM f GROUP BY 1 HAVING count(DISTINCT fact_value) > 1")
 def _(v: Views):
-    return K.fact_conflicts(v.page_facts).select("fact_key", "n_values", F.size("entries").cast("long").alias("n"))
+    return K.fact_conflicts(v.page_facts).groupBy("fact_key", "n_values").agg(F.count("*").alias("n"))
 
 
 @query("k04_stale_pages", f"WITH {_CHUNKS}, h AS (SELECT source, md5(string_agg(content_hash, '|' ORDER BY content_hash)) AS h FROM ch GROUP BY 1) SELECT source AS topic, CASE WHEN source IN ('src1', 'src2') THEN 'rebuilt' ELSE 'unchanged' END AS state, source = 'src1' AS was_approved FROM h UNION ALL SELECT 'gone', 'missing', false")
@@ -451,11 +463,13 @@ def _(v: Views):
 _PAGES = "SELECT conv_id AS page_id, 't' || CAST(conv_id AS {0}) AS topic, CASE conv_id % 4 WHEN 0 THEN 'disabled' ELSE 'draft' END AS status, turn, text FROM conversations WHERE role = 'user'"
 
 
-@query("k10_question_index", f"SELECT 'page-' || page_id || '-q-' || (row_number() OVER (PARTITION BY page_id ORDER BY turn) - 1) AS id, topic, text AS question FROM ({_PAGES.format('VARCHAR')}) WHERE status <> 'disabled'")
+@query("k10_question_index", f"SELECT 'page-' || page_id || '-q-' || (row_number() OVER (PARTITION BY page_id ORDER BY turn) - 1) AS id, topic, CASE WHEN page_id % 5 = 0 THEN 'old ' || text ELSE text END AS question FROM ({_PAGES.format('VARCHAR')}) WHERE page_id % 5 = 0 OR status <> 'disabled'")
 def _(v: Views):
+    """All pages stand in the index with old questions; four fifths come again, some of them disabled."""
     rows = v.sql(_PAGES.format("STRING"))
     pages = rows.groupBy("page_id", "topic", "status").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("questions"))
-    return K.replace_questions(K.question_index(pages).limit(0), pages).select("id", "topic", "question")
+    old = pages.withColumn("status", F.lit("draft")).withColumn("questions", F.transform("questions", lambda t: F.concat(F.lit("old "), t)))
+    return K.replace_questions(K.question_index(old), pages.filter("page_id % 5 <> 0")).select("id", "topic", "question")
 
 
 @query("a18_upsert_pages", "WITH o AS (SELECT s_suppkey AS k, 't' || s_suppkey AS topic FROM supplier WHERE s_suppkey % 2 = 0), i AS (SELECT s_suppkey AS k, 't' || s_suppkey AS topic FROM supplier WHERE s_suppkey % 3 = 0) SELECT coalesce(o.topic, i.topic) AS topic, CASE WHEN i.k IS NULL THEN 'old' ELSE 'new2' END AS content, CASE WHEN i.k IS NULL THEN 'approved' ELSE 'draft' END AS status, CASE WHEN o.k IS NULL THEN 9 ELSE 1 END AS created_at, CASE WHEN i.k IS NULL THEN 1 ELSE 9 END AS updated_at FROM o FULL JOIN i ON o.topic = i.topic")
