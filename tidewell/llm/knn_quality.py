@@ -120,10 +120,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, max_rows:
 
     The sample is bounded: for each label at most ``max_rows`` of the rows for which ``train`` (on doc_id) holds,
     those first by a hash of their id. Ids that are null, or labels that are null or without document, teach
-    nothing; of a document that is given several times one text is learnt from. Without any label the model says 0.5.
+    nothing; an id with several labels has the smallest; of a document that is given several times the text that is first
+    by its hash is learnt from. Of neighbours with the same similarity at the k-th place the vote takes any, always the
+    same ones for one model. Without any label the model says 0.5.
     """
     bound = max_rows or {0: 1500, 1: 4500}
-    known = labels.filter(train & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    known = labels.filter(train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     ids = None
     for label, most in bound.items():
         some = known.filter(F.col("label") == label).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)

@@ -10,38 +10,59 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
+from decimal import Context, Decimal, localcontext
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
 
+HALF, HALF_LOG_2PI = Decimal("0.5"), Decimal("0.91893853320467274178032973640561763986139747363778")
+#: Copies of a row that stay together when rows are numbered.
+COPIES = 1024
 
-def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` taken without replacement out of ``good + bad`` are good: exact inversion, walking
-    outwards from the mode, so the steps grow with the deviation and not with the counts."""
+
+def log_factorial(n: int) -> Decimal:
+    """To 40 digits and more: by the factorial itself, or by Stirling's series, whose next term is under 1e-23 from 1000 on."""
+    if n < 1000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    return (x + HALF) * x.ln() - x + HALF_LOG_2PI + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+def law(good: int, bad: int, draws: int) -> Iterator[tuple[int, float]]:
+    """(number of good ones, probability) of ``draws`` taken without replacement out of ``good + bad``, outwards from the mode.
+
+    The first probability is taken from long decimals, as a difference of numbers of up to 1e15 leaves none of a float's
+    digits; the others follow by ratios, so their sum is 1 but for rounding."""
     low, high = max(0, draws - bad), min(good, draws)
-    if low == high:
-        return low
     mode = min(high, max(low, (good + 1) * (draws + 1) // (good + bad + 2)))
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    u = rng.random() - p
+    with localcontext(Context(prec=50)):
+        choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+        p = float((choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws)).exp())
+    yield mode, p
     up, down, p_up, p_down = mode, mode, p, p
-    while u > 0 and (up < high or down > low):
+    while (up < high and p_up) or (down > low and p_down):
         if up < high:
             p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
             up += 1
-            if (u := u - p_up) <= 0:
-                return up
+            yield up, p_up
         if down > low:
             p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
             down -= 1
-            if (u := u - p_down) <= 0:
-                return down
-        if p_up == 0 and p_down == 0:
-            break
-    return mode
+            yield down, p_down
+
+
+def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` taken without replacement out of ``good + bad`` are good: inversion, walking outwards from the
+    mode, so the steps grow with the deviation and not with the counts."""
+    u, first = rng.random(), None
+    for value, p in law(good, bad, draws):
+        first = value if first is None else first
+        if (u := u - p) <= 0:
+            return value
+    return first  # what rounding left over, under 1e-9
 
 
 def communication_matrix(sizes: list[int], shards: list[int], seed: int) -> list[list[int]]:
@@ -71,17 +92,27 @@ def shuffle_into_shards(
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard): a uniform random
     order cut into shards whose row counts are at most one apart.
 
-    ``key_cols`` name columns that tell rows apart; rows alike in all of them are interchangeable here, and the
-    order is a function of them, the seed and the number of rows, so a task that runs again deals the same way.
+    ``key_cols`` name columns that tell rows apart. Rows alike in all columns are counted and numbered first, and the
+    order is a function of the key columns, that number and the seed, so that many copies are spread like other rows and
+    a task that runs again deals the same way. (Tables with maps or variants can't be counted; there copies stay together.)
     Nulls are a value like others; an empty table gives an empty result; columns of ``df`` named shard or slot are
-    replaced, all others stay as they are. ``df`` is read three times; select narrow columns.
+    replaced, all others stay as they are. ``df`` goes by shuffle; select narrow columns.
     """
     spark = df.sparkSession
-    n = df.count()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    if any(x in df.schema.simpleString() for x in ("map<", "variant")):
+        rows = rows.withColumn("no", F.lit(0).cast("long"))
+    else:
+        counted = rows.groupBy("row").agg(F.count("*").alias("copies"))
+        piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+        spread = counted.withColumn("first", piece).withColumn("first", F.col("first") * COPIES).repartition(F.xxhash64("row", "first"))
+        rows = spread.select("row", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES, F.col("copies")) - 1)).alias("no"))
+    rows = cut(rows, "sharding-rows")
+    n = rows.count()
     parts = max(least_partitions, -(-n // rows_per_partition))
-    keys = [F.col(f"row.`{c}`") for c in key_cols]
+    keys = [*[F.col(f"row.`{c}`") for c in key_cols], F.col("no")]
     whole = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *keys)
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumn("part", F.pmod(whole(1), F.lit(parts)))
+    keyed = rows.withColumn("part", F.pmod(whole(1), F.lit(parts)))
     sizes = {r["part"]: r["n"] for r in keyed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a partition
     extra = random.Random(seed).sample(range(n_shards), n % n_shards)
     matrix = communication_matrix([sizes.get(p, 0) for p in range(parts)], [n // n_shards + (s in extra) for s in range(n_shards)], seed)
@@ -93,7 +124,7 @@ def shuffle_into_shards(
     # The second permutation orders each shard by a fresh random number. Its leading part cuts the shard into
     # pieces, so a shard is never sorted by one task; a piece's first slot is the sum of the pieces before it.
     pieces = max(8, parts // n_shards + 1)
-    dealt = cut(dealt.select("row", shard.alias("shard"), F.pmod(whole(3), F.lit(pieces)).alias("piece")), "sharding")
+    dealt = cut(dealt.select("row", "no", shard.alias("shard"), F.pmod(whole(3), F.lit(pieces)).alias("piece")), "sharding")
     counts = dealt.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("before"))

@@ -10,6 +10,7 @@ Files are opened with ``pyarrow.fs``, so the folder can be any that it knows and
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -27,7 +28,9 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 URN = "urn:page:"
 WINDOW = 4 << 20
 LINES = "path string, member string, offset long, length long"
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string"
+#: Digests that are checked.
+DIGESTS = ("sha1", "sha256", "sha512", "md5")
 
 
 def _fs(uri: str):
@@ -247,23 +250,48 @@ def _index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame(rows, columns=["path", "member", "offset", "length"])
 
 
-def parse_record(data: bytes) -> tuple:
-    """The columns of RECORDS from a WARC record."""
+def _digest_fits(said: str, payload: bytes) -> bool:
+    """Whether a digest "algorithm:value" (hex or base 32) is that of ``payload``; unknown algorithms aren't checked."""
+    kind, _, value = said.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in DIGESTS:
+        return True
+    told = hashlib.new(kind, payload).digest()
+    return value.strip().lower() in (told.hex(), base64.b32encode(told).decode().rstrip("=").lower(), base64.b32encode(told).decode().lower())
+
+
+def parse_record(data: bytes) -> tuple | None:
+    """The columns of RECORDS from a WARC record; None for types other than response and revisit (as warcinfo, request,
+    metadata, which are passed over). Ids that are no page numbers of ours are null, and stand in record_id as they are.
+    The payload is what follows the HTTP head of the block, the whole block if it has none; its size is its length, for a
+    revisit that of its HTTP head (null without). All known digests that the record has are checked."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode(errors="replace").split("\r\n")[1:])}
+    kind = fields.get("warc-type", "").lower()
+    if kind not in ("response", "revisit"):
+        return None
     block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda x: None if x is None or x.strip("<>") == f"{URN}null" else int(x.strip("<>").removeprefix(URN))
-    said = fields["warc-payload-digest"].removeprefix("sha256:")
-    revisit = fields["warc-type"] == "revisit"
-    if not revisit and (len(payload) != size or hashlib.sha256(payload).hexdigest() != said):
-        raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
-    return number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], number(fields.get("warc-refers-to")), size, said, None if revisit else payload
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+
+    def number(x: str | None) -> int | None:
+        own = (x or "").strip("<>").removeprefix(URN)
+        return int(own) if (x or "").strip("<>").startswith(URN) and own.lstrip("-").isdigit() else None
+
+    name, said = fields.get("warc-record-id"), fields.get("warc-payload-digest", "")
+    if "warc-block-digest" in fields and not _digest_fits(fields["warc-block-digest"], block):
+        raise ValueError(f"the block of {name} is damaged")
+    if kind == "revisit":
+        size = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        digest, payload = said.removeprefix("sha256:") or None, None
+    else:
+        if len(block) < int(fields["content-length"]) or not _digest_fits(said, payload):
+            raise ValueError(f"the payload of {name} is damaged")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    return number(name), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), size, digest, payload, name
 
 
 def _fetch(parts: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in RECORDS.split(", ")]
+    names, numbers = [c.split()[0] for c in RECORDS.split(", ")], {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"}
     opened, file = None, None
     for part in parts:
         out, size, window, begin = [], 0, b"", 0
@@ -277,18 +305,20 @@ def _fetch(parts: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.Dat
                 file.seek(offset)
                 window, begin = file.read(max(length, 1 << 18)), offset
             row = parse_record(gzip.decompress(window[offset - begin : offset - begin + length]))
-            out.append(row if with_payload else (*row[:-1], None))
-            if (size := size + (row[4] if with_payload else 0)) > WINDOW:
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            if row is None:
+                continue
+            out.append(row if with_payload else (*row[:6], None, row[7]))
+            if (size := size + (len(row[6] or b"") if with_payload else 0)) > WINDOW:
+                yield pd.DataFrame(out, columns=names).astype(numbers)
                 out, size = [], 0
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype(numbers)
     if file:
         file.close()
 
 
 def read_archives(packages: DataFrame, *, with_payload: bool = True, range_bytes: int = 4 << 20) -> DataFrame:
-    """One row a record of the packages named in column ``path``. A response's payload is checked against its
+    """One row a response or revisit (see `parse_record`) of the packages named in column ``path``. A response's payload is checked against its
     digest; a revisit's size and digest are those of the full payload, from its headers, and its payload is null.
     Archives that the index doesn't list are read through; packages without archives give no rows. An archive that is
     compressed in the package, and an index that names an archive which isn't there, are errors: no record is left out."""
