@@ -123,9 +123,10 @@ def test_surges_of_closed_days_over_batches(spark, tmp_path):
     assert told == {0: [], 1: [], 2: [(5, 60)], 3: [(5, 60)]} or told == {1: [], 2: [(5, 60)], 3: [(5, 60)]}, told
 
 
-def test_late_rows_of_more_than_a_hundred_batches(spark, tmp_path):
+def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "4")  # a hundred by default
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    for n in range(103):
+    for n in range(12):
         rows = [(2 * n, at(7200 + n))] + ([(2 * n + 1, at(0))] if n > 1 else [])
         spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/n={n:03d}"))
     late = S.LateRows(spark, str(tmp_path / "late"))
@@ -135,5 +136,6 @@ def test_late_rows_of_more_than_a_hundred_batches(spark, tmp_path):
     q.awaitTermination()
     late.wait(q)
     spark.streams.removeListener(late)
-    assert late.rows().agg(F.sum("late")).first()[0] == 101
-    assert len(q.recentProgress) <= 100
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert late.rows().agg(F.sum("late")).first()[0] == 10
+    assert len(q.recentProgress) <= 4
