@@ -1,11 +1,8 @@
-"""The table function `chunk(text, size, overlap)` and analytics domains."""
+"""The table function `chunk(text, size, overlap)`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 
@@ -22,12 +19,3 @@ class Chunk:
 
 def register(spark: SparkSession) -> None:
     spark.udtf.register("chunk", Chunk)
-
-
-@dataclass(frozen=True)
-class Domain:
-    """An analytics domain: the fields that its records have, and its statistics as tables."""
-
-    name: str
-    signature_fields: list[str]
-    stats: Callable[[DataFrame], dict[str, DataFrame]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import domains as D
 from ..operators import insight as I
 from ..operators import logs as L
 from .registry import Views, query
@@ -259,9 +260,16 @@ def _(v: Views):
     return I.daily_surge(v.voc_records, 1.5).select("date", "n", F.round("z_score", 6).alias("z_score"))
 
 
-@query("e18_domain_coverage", "WITH f AS (SELECT * FROM voc_records ORDER BY date, text, category, channel, rating LIMIT 50), c AS (SELECT 'rated' AS domain, avg(CASE WHEN rating IS NOT NULL AND channel IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage FROM f UNION ALL SELECT 'text', avg(CASE WHEN text IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM f UNION ALL SELECT 'sales', 0.0) SELECT domain, coverage, coverage >= 0.8 AS chosen FROM c")
+@query("e18_domain_coverage", "WITH f AS (SELECT * FROM voc_records ORDER BY date, text, category, channel, rating LIMIT 50), c AS (SELECT 'rated' AS domain, avg(CASE WHEN rating IS NOT NULL AND channel IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage FROM f UNION ALL SELECT 'voc', avg(CASE WHEN text IS NOT NULL AND date IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM f UNION ALL SELECT 'sales', 0.0) SELECT domain, coverage, coverage >= 0.8 AS chosen FROM c")
 def _(v: Views):
-    return I.domain_coverage(v.voc_records, {"rated": ["rating", "channel"], "text": ["text"], "sales": ["amount"]}, ["date", "text", "category", F.asc_nulls_last("channel"), F.asc_nulls_last("rating")])
+    D.REGISTRY.setdefault("rated", D.Domain("rated", ("rating", "channel"), {"ratings": I.rating_stats}))
+    return D.coverage(v.voc_records, ["date", "text", "category", F.asc_nulls_last("channel"), F.asc_nulls_last("rating")], names=["rated", "sales", "voc"])
+
+
+@query("e18_domain_stats", "SELECT date, CAST(sum(amount) AS DOUBLE) AS amount FROM sales_records GROUP BY 1")
+def _(v: Views):
+    """A statistic that the registry makes of a domain's records."""
+    return D.analyse(v.sales_records, "sales")["daily"].select("date", F.col("amount").cast("double").alias("amount"))
 
 
 @query("f13_feedback_sample", "SELECT date, substr(text, 1, 200) AS text, rating FROM voc_records ORDER BY coalesce(rating <= 2, false) DESC, date DESC, text, rating LIMIT 60")
