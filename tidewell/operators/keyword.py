@@ -138,13 +138,13 @@ def _expanded(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def phrase_hits(phrases: DataFrame, index: KeywordIndex) -> DataFrame:
-    """phrase, chunk_id, tf, doc_len: how often ``phrases`` (ARRAY phrase, distinct, not empty) stand in live chunks: their
+    """kw, chunk_id, tf, doc_len: how often ``phrases`` (kw, ARRAY phrase, distinct, not empty) stand in live chunks: their
     words one after the other, the last one as the beginning of a term.
 
     A word's postings are read once for all phrases that have it. The rarest word of a phrase gives its chunks, and the
     others are only looked up there, so a frequent word doesn't give each phrase that has it all its chunks."""
-    words = phrases.select("phrase", F.posexplode("phrase").alias("at", "word"), (F.size("phrase") - 1).alias("_last"))
-    words = words.select("phrase", "at", "word", (F.col("at") == F.col("_last")).alias("begins"))
+    words = phrases.select("kw", F.posexplode("phrase").alias("at", "word"), F.size("phrase").alias("of"))
+    words = words.select("kw", "at", "of", "word", (F.col("at") == F.col("of") - 1).alias("begins"))
     words = cut(words.withColumn("word_id", F.xxhash64("word", "begins")), "phrase-words")
     asked = words.select("word_id", "word", "begins").distinct()
     few = is_small(asked)
@@ -155,22 +155,23 @@ def phrase_hits(phrases: DataFrame, index: KeywordIndex) -> DataFrame:
     met = index.postings.join(F.broadcast(terms) if is_small(terms) else terms, "term")
     # live ones only, with their lengths
     met = cut(met.join(index.docs, ["chunk_id", "load"]).select("word_id", "chunk_id", "doc_len", "places"), "word-hits")
+    one = met.join(words.filter("of = 1").select("word_id", "kw"), "word_id")
+    one = one.groupBy("kw", "chunk_id").agg(F.sum(F.size("places").cast("long")).alias("tf"), F.first("doc_len").alias("doc_len"))
+    several = words.filter("of > 1")
     counts = met.groupBy("word_id").agg(F.count("*").alias("_df"))
-    ranked = words.join(counts, "word_id", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-    ranked = cut(ranked.withColumn("_n", F.row_number().over(Window.partitionBy("phrase").orderBy("_df", "at"))).select("phrase", "at", "word_id", "_n"), "ranked-words")
-    rare = met.join(ranked.filter("_n = 1").select("phrase", "at", "word_id"), "word_id")
-    rest = ranked.filter("_n > 1").select("phrase", "at", "word_id")
-    places = rare.select("phrase", "chunk_id").join(rest, "phrase").distinct()
-    others = met.join(places, ["word_id", "chunk_id"])
-    met = rare.select("phrase", "at", "chunk_id", "doc_len", "places").unionByName(others.select("phrase", "at", "chunk_id", "doc_len", "places"))
+    ranked = several.join(counts, "word_id", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    ranked = cut(ranked.withColumn("_n", F.row_number().over(Window.partitionBy("kw").orderBy("_df", "at"))).select("kw", "at", "of", "word_id", "_n"), "ranked-words")
+    rare = met.join(ranked.filter("_n = 1").drop("_n"), "word_id")
+    rest = ranked.filter("_n > 1").drop("_n")
+    others = met.join(rare.select("kw", "chunk_id").join(rest, "kw").distinct(), ["word_id", "chunk_id"])
+    columns = ["kw", "chunk_id", "of", "at", "doc_len", "places"]
     # places where the phrase would begin, by each of its words; a chunk's places are all that is in a group
     begins = F.transform("places", lambda p: p - F.col("at"))
-    groups = met.groupBy("phrase", "chunk_id").agg(F.collect_list(F.struct("at", begins.alias("begins"))).alias("_m"), F.first("doc_len").alias("doc_len"))
+    groups = rare.select(columns).unionByName(others.select(columns)).groupBy("kw", "chunk_id", "of").agg(F.flatten(F.collect_list(begins)).alias("_s"), F.first("doc_len").alias("doc_len"))
     # a word stands at a place once, so a beginning that all words give is there as many times as there are words
-    starts = F.sort_array(F.flatten(F.transform("_m", lambda m: m["begins"])))
-    groups = groups.withColumn("_n", F.size("phrase")).withColumn("_s", starts).filter(F.size("_s") >= F.col("_n"))
-    whole = F.filter(F.sequence(F.lit(0), F.size("_s") - F.col("_n")), lambda i: F.get("_s", i) == F.get("_s", i + F.col("_n") - 1))
-    return groups.select("phrase", "chunk_id", F.size(whole).cast("long").alias("tf"), "doc_len").filter("tf > 0")
+    groups = groups.withColumn("_s", F.sort_array("_s")).filter(F.size("_s") >= F.col("of"))
+    whole = F.filter(F.sequence(F.lit(0), F.size("_s") - F.col("of")), lambda i: F.get("_s", i) == F.get("_s", i + F.col("of") - 1))
+    return one.unionByName(groups.select("kw", "chunk_id", F.size(whole).cast("long").alias("tf"), "doc_len").filter("tf > 0"))
 
 
 def bm25_search(queries: DataFrame, index: KeywordIndex, n: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -183,7 +184,7 @@ def bm25_search(queries: DataFrame, index: KeywordIndex, n: int = 10, k1: float
     stats = index.docs.agg(F.count("*").alias("_n"), F.avg(F.col("doc_len").cast("double")).alias("_avg"))
     keys = queries.select("query_id", F.explode("keywords").alias("_kw")).select("query_id", terms_of(F.col("_kw")).alias("phrase")).filter(F.size("phrase") > 0).distinct()
     keys = keys.select("query_id", "phrase", F.xxhash64("phrase").alias("kw"))
-    found = phrase_hits(keys.select("phrase").distinct(), index).withColumn("kw", F.xxhash64("phrase")).drop("phrase")
+    found = phrase_hits(keys.select("kw", "phrase").distinct(), index)
     df = found.groupBy("kw").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_avg")))
