@@ -184,7 +184,7 @@ def bm25_search(queries: DataFrame, index: KeywordIndex, n: int = 10, k1: float
     stats = index.docs.agg(F.count("*").alias("_n"), F.avg(F.col("doc_len").cast("double")).alias("_avg"))
     keys = queries.select("query_id", F.explode("keywords").alias("_kw")).select("query_id", terms_of(F.col("_kw")).alias("phrase")).filter(F.size("phrase") > 0).distinct()
     keys = keys.select("query_id", "phrase", F.xxhash64("phrase").alias("kw"))
-    found = phrase_hits(keys.select("kw", "phrase").distinct(), index)
+    found = cut(phrase_hits(keys.select("kw", "phrase").distinct(), index), "phrase-hits")
     df = found.groupBy("kw").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_avg")))
