@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, repeated
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -270,17 +270,21 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, size: int = 4096, end: in
 
     Sequences hold at most ``size`` tokens; pieces stand in them without gaps. Null and empty texts are the end
     token alone. Rows of one doc_id are documents of their own; null ids stay null. Columns besides doc_id and text
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. Pieces alike in all columns are counted before they are ranked,
+    and get places one after the other.
     """
-    pieces = cut(token_pieces(docs, tokenizer=tokenizer, size=size, end=end), "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+    pieces = token_pieces(docs, tokenizer=tokenizer, size=size, end=end)
+    pieces = cut(pieces.groupBy(*PIECES.names).agg(F.count("*").alias("copies")), "pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.sum("copies").alias("n")).collect()}  # at most ``size`` rows
     slots = docs.sparkSession.sparkContext.broadcast(plan_slots(pack_plan(counts, size)))
     parts = max(least_parts, sum(counts.values()) // rows_per_part)
     dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-    sizes = dealt.groupBy("length", "_part").agg(F.count("*").alias("n"))
+    sizes = dealt.groupBy("length", "_part").agg(F.sum("copies").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("length", "_part", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = dealt.withColumn("_own", own).join(sizes, ["length", "_part"]).withColumn("rank", F.col("_before") + F.col("_own"))
+    earlier = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32", "start").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("copies").over(earlier), F.lit(0))
+    first = dealt.withColumn("_own", own).join(sizes, ["length", "_part"]).select(*PIECES.names, "copies", (F.col("_before") + F.col("_own")).alias("_first"))
+    ranked = repeated(first, "copies", "_no").withColumn("rank", F.col("_first") + F.col("_no"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select(*PIECES.names, "rank").mapInArrow(lambda b: _place(b, slots.value), schema)

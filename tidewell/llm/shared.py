@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows alike that one task makes again of their number.
+COPIES = 10_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -48,6 +51,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeated(df: DataFrame, copies: str, number: str) -> DataFrame:
+    """Rows of ``df`` as many times as its column ``copies`` says, numbered from 0 in column ``number``. They are cut in
+    blocks of `COPIES` first, which go to tasks by their own hash, so that no task makes all copies of a row."""
+    last = F.floor((F.col(copies) - 1) / COPIES)
+    blocks = df.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(number, F.col(number) * COPIES)
+    dealt = blocks.repartition(F.xxhash64(*blocks.columns))
+    return dealt.withColumn(number, F.explode(F.sequence(F.col(number), F.least(F.col(number) + COPIES, F.col(copies)) - 1)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

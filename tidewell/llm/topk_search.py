@@ -128,12 +128,14 @@ def exact_top_k(
     good = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     rows = vectors.filter(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"), is_query.alias("q"), F.size(x).alias("dim"), x.alias("x"))
     # one number for all: sums of products have to fit 64 bits
-    told = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v.cast("double") * scale)))).alias("top")).first()
+    told = rows.agg(F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v.cast("double") * scale)))).alias("top")).first()
     if (told["dim"] or 0) * (float(told["top"] or 0) + 1) ** 2 >= 2**63:
         raise ValueError(f"inner products of {told['dim']} components up to {told['top']:.4g} don't fit 64 bits; take a smaller scale")
-    n, rows = max(1, told["n"]), rows.drop("x")
-    shards = -(-n // shard_rows)
-    spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m)).cast("int")
+    # a query takes k at most of rows alike in id and vector, so k of them are all that it can need
+    alike = rows.groupBy("id", "v", "q", "dim").agg(F.count("*").alias("copies"))
+    rows = cut(alike.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.least("copies", F.lit(k)).cast("int")))).drop("copies"), "vectors")
+    shards = -(-max(1, rows.count()) // shard_rows)
+    spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.lit(m)).cast("int")
     query_blocks = -(-max(1, rows.filter("q").count()) // block_queries)
     queries = rows.filter("q").dropDuplicates(["id", "v"]).withColumn("block", spread(2, query_blocks))
 

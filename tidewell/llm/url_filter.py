@@ -4,7 +4,8 @@ A host is reversed label by label (labels parted by ``/``, which no host has) an
 neither has), so every rule ``host + path`` becomes the interval of keys that begin with the rule's own key. A rule also holds for subdomains, so a URL is asked once for
 each of its host's suffixes that has no more labels than the longest rule host. Keys are range-partitioned and
 sorted; each partition sweeps once over its keys and the sorted rules and keeps the stack of rules whose interval
-is open. The key carries the page id, so one hot host or URL is spread over many partitions.
+is open. Rows alike are counted first, and the key carries the page id, so one hot host or URL is spread over many
+partitions.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, repeated
 
 LABEL, SEP = "/", "?"
 
@@ -32,13 +33,13 @@ def rule_key(host: str, path: str) -> str:
     return LABEL.join(reversed(host.split("."))) + SEP + path
 
 
-def _sweep(parts: Iterator[pd.DataFrame], rules: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+def _sweep(parts: Iterator[pa.RecordBatch], rules: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
     """One pass over sorted keys. ``rules``: sorted (key, number); a key's open rules form a stack, innermost on top."""
     stack: list[tuple[str, int]] = []
     at, last, found = 0, None, None
     for part in parts:
         out = []
-        for key in part["_key"]:
+        for key in part.column("_key").to_pylist():
             if key != last:
                 last = key
                 while at < len(rules) and rules[at][0] <= key:
@@ -50,9 +51,8 @@ def _sweep(parts: Iterator[pd.DataFrame], rules: list[tuple[str, int]]) -> Itera
                     stack.pop()
                 found = stack[-1][1] if stack else -1
             out.append(found)
-        part = part.drop(columns="_key")
-        part["_rule"] = pd.Series(out, index=part.index, dtype="int64")
-        yield part
+        kept = ["_id", "_url", "_copies"]
+        yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(out, pa.int64())], names=[*kept, "_rule"])
 
 
 def judge_urls(
@@ -67,7 +67,7 @@ def judge_urls(
     """Per row of ``pages``: id, host, path, rule (``host + path`` or null), verdict.
 
     ``rules``: (verdict, host, path prefix). The longest fitting rule (characters of host and path; then of the
-    host) wins; of equal rules the first; a rule whose host has a character that no host can have fits nothing. Rules go to the tasks in sorted blocks of ``max_rules``; further blocks
+    host) wins; of equal rules the first; a rule whose host has a character that no host can have, or A-Z, fits nothing. Rules go to the tasks in sorted blocks of ``max_rules``; further blocks
     are further sweeps over the same keys, so no broadcast is larger than a block and none is dropped.
     Null or odd URLs get empty host and path and the default verdict; repeated rows stay repeated; other columns
     of ``pages``, whatever their names, are not touched. An empty table gives an empty result.
@@ -78,28 +78,27 @@ def judge_urls(
         if not set(host) & set("/?#"):
             numbered.setdefault((host, path), verdict)
     known = sorted(numbered, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r))  # a greater number wins
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).groupBy("_id", "_url").agg(F.count("*").alias("_copies"))
     host, path = host_path(F.col("_url"))
     depth = max((h.count(".") + 1 for h, _ in known), default=1)
-    labelled = rows.select("_id", "_url", F.reverse(F.split(host, r"\.")).alias("_labels"), path.alias("_path"))
+    labelled = rows.select("_id", "_url", "_copies", F.reverse(F.split(host, r"\.")).alias("_labels"), path.alias("_path"))
     suffixes = F.sequence(F.lit(1), F.least(F.lit(depth), F.size("_labels")))
     keys = F.transform(suffixes, lambda n: F.concat(F.array_join(F.slice("_labels", F.lit(1), n), LABEL), F.lit(SEP), F.col("_path")))
-    asked = labelled.select("_id", "_url", F.posexplode(keys).alias("_n", "_key"))
+    asked = labelled.select("_id", "_url", "_copies", F.explode(keys).alias("_key"))
     asked = asked.repartitionByRange("_key", "_id").sortWithinPartitions("_key")
     best = None
-    schema = "_id {0}, _url string, _n int, _rule bigint".format(rows.schema["_id"].dataType.simpleString())
+    schema = "_id {0}, _url string, _copies bigint, _rule bigint".format(rows.schema["_id"].dataType.simpleString())
     ordered = iter(sorted((rule_key(h, p), n) for n, (h, p) in enumerate(known)))
     while block := list(islice(ordered, max_rules)):
         held = spark.sparkContext.broadcast(block)
-        swept = asked.mapInPandas(lambda parts, held=held: _sweep(parts, held.value), schema)
+        swept = asked.mapInArrow(lambda parts, held=held: _sweep(parts, held.value), schema)
         best = swept if best is None else best.unionByName(swept)
     if best is None:
-        best = asked.select("_id", "_url", "_n", F.lit(-1).cast("long").alias("_rule"))
-    blocks = max(1, -(-len(known) // max_rules))
-    best = best.groupBy("_id", "_url").agg(F.max("_rule").alias("_rule"), F.count_if(F.col("_n") == 0).alias("_copies"))
+        best = asked.select("_id", "_url", "_copies", F.lit(-1).cast("long").alias("_rule"))
+    best = best.groupBy("_id", "_url").agg(F.max("_rule").alias("_rule"), F.max("_copies").alias("_copies"))
     names = spark.createDataFrame([(n, h + p, numbered[h, p]) for n, (h, p) in enumerate(known)], "_rule bigint, rule string, verdict string")
     best = best.join(F.broadcast(names) if len(known) <= max_rules else names, "_rule", "left")
-    best = best.withColumn("_again", F.explode(F.array_repeat(F.lit(1), (F.col("_copies") / blocks).cast("int"))))
+    best = repeated(best, "_copies", "_no")
     host, path = host_path(F.col("_url"))
     return best.select(F.col("_id").alias("page_id"), host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
