@@ -15,12 +15,15 @@ from tidewell.llm.queries import KEEP_SCORE, TOKENIZERS, held_out
 from tidewell.llm.shared import cut, fresh, table
 
 
-def _marked(docs: DataFrame, keys: DataFrame, how: str, mark: str) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text_hash) is or isn't in ``keys``, with both in column ``mark``. As one struct they
-    are one key of the join, by which a window can go on, and null ids are like others."""
-    told = keys.select(F.struct("doc_id", F.coalesce("text_hash", F.lit(0)).alias("text_hash")).alias("told")).distinct()
-    rows = docs.withColumn(mark, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    return rows.join(told, rows[mark] == told["told"], how)
+def _marked(docs: DataFrame, mark: str) -> DataFrame:
+    """``docs`` with doc_id and the text's hash in column ``mark``. As one struct they are one key of window and join, and
+    null ids are like others."""
+    return docs.withColumn(mark, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+
+
+def _told(keys: DataFrame) -> DataFrame:
+    """The distinct (doc_id, text_hash) of ``keys`` as column ``told``."""
+    return keys.select(F.struct("doc_id", F.coalesce("text_hash", F.lit(0)).alias("text_hash")).alias("told")).distinct()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +35,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates; of rows alike in id and text the first by a hash of all columns
-    (those that can be hashed)."""
-    told = near_dedup.near_duplicates(docs)
+    (those that can be hashed). That first is taken before the join, in each task and then over all, so copies of one row
+    are one row a task by the time that they are shuffled."""
+    told = _told(near_dedup.near_duplicates(docs).filter("kept"))
     mark, number = fresh(docs, "_mark", "_number")
-    kept = _marked(docs, told.filter("kept"), "left_semi", mark)
-    # the join has already dealt the rows by this mark, so texts are shuffled once
+    # the join goes by the window's key, so texts are shuffled once; a semi-join would be moved below the window
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
     first = Window.partitionBy(mark).orderBy(F.xxhash64(*plain))
-    return kept.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).drop(mark, number)
+    rows = _marked(docs, mark).withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1)
+    return rows.join(told, rows[mark] == told["told"]).drop(mark, number, told["told"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    told = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    told = _told(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
     (mark,) = fresh(docs, "_mark")
-    return _marked(docs, told.filter("contaminated"), "left_anti", mark).drop(mark)
+    rows = _marked(docs, mark)
+    return rows.join(told, rows[mark] == told["told"], "left_anti").drop(mark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
