@@ -3,6 +3,7 @@
 import random
 
 from tidewell.operators import needles as N
+from tidewell.operators import retrieval as R
 
 
 def test_fifty_thousand_names_in_several_passes(spark):
@@ -16,3 +17,33 @@ def test_fifty_thousand_names_in_several_passes(spark):
         got = [(r.id, r.name) for r in N.contains_join(t, n, "text", "alias", most).collect()]
         assert len(got) == len(want) and set(got) == want
     assert N.contains_join(t, n.limit(0), "text", "alias").count() == N.contains_join(t.limit(0), n, "text", "alias").count() == 0
+
+
+def test_texts_are_not_handed_on(spark):
+    t, n = spark.createDataFrame([("a", "one two")], "id string, text string"), spark.createDataFrame([("two",)], "alias string")
+    assert N.contains_join(t, n, "text", "alias").columns == ["id", "alias"]
+
+
+def test_first_rows_of_each_name(spark):
+    rng = random.Random(5)
+    texts = [(f"t{rng.randrange(300)}", " ".join(rng.choice("abcdef") for _ in range(4))) for _ in range(600)]
+    t = spark.createDataFrame(texts, "id string, text string").repartition(5)
+    n = spark.createDataFrame([(c,) for c in "abcxyz"], "alias string")
+    got = sorted((r.id, r.alias) for r in N.contains_join(t, n, "text", "alias", first=("id", 4)).collect())
+    want = []
+    for c in "abcxyz":
+        ids = sorted(i for i, text in texts if c in text)
+        want += [(i, c) for i in ids if i in ids[:4]]
+    assert got == sorted(want)
+
+
+def test_substring_search_by_all_pairs(spark):
+    rng = random.Random(6)
+    texts = [(f"d{i}", " ".join(rng.choice(["red", "blue", "green", "old"]) for _ in range(3))) for i in range(400)]
+    asks = [(1, ["blue", "red"]), (2, ["old", "old"]), (3, ["none", "green"]), (4, ["", "een o"])]
+    t, q = spark.createDataFrame(texts, "chunk_id string, text string"), spark.createDataFrame(asks, "query_id long, keywords array<string>")
+    want = set()
+    for i, keys in asks:
+        hits = sorted((min(k for k, x in enumerate(keys) if x and x in text), c) for c, text in texts if any(x and x in text for x in keys))
+        want |= {(i, c, rank) for rank, (_, c) in enumerate(hits[:10])}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in R.substring_search(q, t.repartition(3), 10).collect()} == want
