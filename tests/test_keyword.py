@@ -118,3 +118,26 @@ def test_vacuum_leaves_what_is_read(spark, tmp_path):
     want = found(W.open_index(spark, root), spark)
     assert V.vacuum(spark, root, keep=1) > 0 and found(W.open_index(spark, root), spark) == want
     assert V.latest(spark, root, 0) is None and V.vacuum(spark, root, keep=1) == 0
+
+
+def test_prefixes_are_joined_by_their_length(spark):
+    terms = spark.createDataFrame([("a",), ("abc",), ("abcd",), ("b",)], "term string")
+    prefixes = spark.createDataFrame([("a",), ("abc",), ("bc",)], "prefix string")
+    got = W._expanded(terms, prefixes)
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("abc", "a"), ("abc", "abc"), ("abcd", "a"), ("abcd", "abc")]
+    assert "startswith" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert W._expanded(terms, prefixes.limit(0)).count() == 0
+
+
+def test_distinct_chunks_are_indexed_without_dealing_texts_out(spark):
+    once, twice = frame(spark, {"x": "a b", "y": "b"}), spark.createDataFrame([("x", "a b"), ("x", "c")], "chunk_id string, text string")
+    assert "Window" not in W.index_of(once).docs._jdf.queryExecution().optimizedPlan().toString()
+    assert W.index_of(twice).docs.count() == 1
+
+
+def test_scores_of_many_queries_with_shared_keywords(spark):
+    rng = __import__("random").Random(8)
+    texts = {f"k{i:03d}": " ".join(rng.choice(["aa", "ab", "b", "cc", "cd", "d"]) for _ in range(rng.randrange(1, 7))) for i in range(200)}
+    asks = [(q, rng.sample(["a", "b", "c", "aa", "cd d", "ab b"], rng.randrange(1, 5))) for q in range(12)]
+    got = W.bm25_search(spark.createDataFrame(asks, "query_id long, keywords array<string>"), W.index_of(frame(spark, texts)), 5).collect()
+    assert sorted((r.query_id, r.chunk_id, round(r.score, 8), r["rank"]) for r in got) == sorted((q, c, round(s, 8), r) for q, c, s, r in plain(texts, asks, 5))
