@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.embed import embedder, hashed_trigrams
 from tidewell.operators import domains as D
+from tidewell.operators import insight as I
 from tidewell.operators import vectors as X
+from tidewell.plans import QUERIES
 
 
 def test_embedder_gives_each_text_its_vector(spark):
@@ -41,3 +43,13 @@ def test_domains(spark, monkeypatch):
     with pytest.raises(KeyError, match="no domain"):
         D.analyse(df, "none")
     assert {r.domain: r.coverage for r in D.coverage(df, ["a"]).collect()} == {"mine": 0.5, "sales": 0.0, "voc": 0.0}
+
+
+def test_several_domains_may_fit(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", 3 * i, "view", 1.0, '{"k": 1}') for i in range(1, 7)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.domain: (r.coverage, r.chosen) for r in QUERIES["e18_domain_coverage"](spark, str(tmp_path)).collect()}
+    assert got == {"rated": (1.0, True), "voc": (1.0, True), "sales": (0.0, False)}
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert {r.domain: (r.fits, r.chosen) for r in I.domain_coverage(df, {"x": ["a"], "y": ["b"]}, ["a"]).collect()} == {"x": (True, False), "y": (True, False)}

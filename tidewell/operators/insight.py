@@ -100,13 +100,14 @@ def daily_surge(records: DataFrame, z: float = 2.5) -> DataFrame:
 
 
 def domain_coverage(records: DataFrame, domains: dict[str, list[str]], order: list[str], n: int = 50) -> DataFrame:
-    """Per domain the share of the first ``n`` rows (by ``order``) that have all its fields, and whether it is the only one from 0.8 on."""
+    """Per domain the share of the first ``n`` rows (by ``order``) that have all its fields (coverage), whether that is 0.8 at least
+    (fits), and whether it is the only domain that fits (chosen)."""
     first = records.orderBy(*order).limit(n)
     has = lambda fields: F.avg(F.when(F.expr(" AND ".join(f"`{f}` IS NOT NULL" for f in fields)), 1.0).otherwise(0.0)) if all(f in records.columns for f in fields) else F.lit(0.0)
     one = first.agg(*[has(fields).alias(d) for d, fields in domains.items()])
     long_ = one.select(F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(d).alias("coverage")) for d in domains])).alias("x")).select("x.*")
-    winners = F.count_if(F.col("coverage") >= 0.8).over(Window.partitionBy())
-    return long_.withColumn("chosen", (F.col("coverage") >= 0.8) & (winners == 1))
+    winners = F.count_if("fits").over(Window.partitionBy())
+    return long_.withColumn("fits", F.col("coverage") >= 0.8).withColumn("chosen", F.col("fits") & (winners == 1))
 
 
 def feedback_sample(records: DataFrame, n: int = 60, cut: int = 200) -> DataFrame:
