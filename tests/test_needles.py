@@ -2,6 +2,7 @@
 
 import random
 
+from tidewell.operators import graph as G
 from tidewell.operators import needles as N
 from tidewell.operators import retrieval as R
 
@@ -47,3 +48,12 @@ def test_substring_search_by_all_pairs(spark):
         hits = sorted((min(k for k, x in enumerate(keys) if x and x in text), c) for c, text in texts if any(x and x in text for x in keys))
         want |= {(i, c, rank) for rank, (_, c) in enumerate(hits[:10])}
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in R.substring_search(q, t.repartition(3), 10).collect()} == want
+
+
+def test_mentions_of_a_frequent_alias_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART", (3, 4))
+    nodes = spark.createDataFrame([(f"d{i}", "doc", "Red Blue" if i % 2 else "blue") for i in range(30)] + [("d1", "doc", "red")], "id string, type string, label string")
+    names = [(f"n{i}", "BLUE" if i % 3 else "red") for i in range(20)] + [("n1", "red"), ("n2", "blue")]
+    got = [(r.src, r.dst) for r in G.link_mentions(nodes, spark.createDataFrame(names, "name string, alias string")).collect()]
+    want = {(d, f"entity:{n}") for d, _, label in map(tuple, nodes.collect()) for n, a in names if a.lower() in label.lower()}
+    assert len(got) == len(want) and set(got) == want
