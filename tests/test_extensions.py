@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.embed import embedder, hashed_trigrams
+from tidewell.functions.embed import embedder, hashed_trigrams, with_vectors
 from tidewell.operators import domains as D
 from tidewell.operators import insight as I
 from tidewell.operators import vectors as X
@@ -30,6 +30,19 @@ def test_hybrid_search_with_an_embedder(spark, sf):
     assert len({r.query_id for r in rows}) == asked and len({(r.query_id, r.doc_id) for r in rows}) == len(rows) <= 5 * asked
 
 
+def test_vectors_of_a_table_are_those_of_the_column_function(spark):
+    texts = ["abc", None, "", "a", "\U0001f600 가나다 é", "xyz " * 300] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(5)
+    got = {r.chunk_id: (r.text, r.embedding) for r in with_vectors(df, hashed_trigrams, rows=7).collect()}
+    assert got == {r.chunk_id: (r.text, r.v) for r in df.select("*", embedder(hashed_trigrams)("text").alias("v")).collect()} and len(got) == len(texts)
+    assert with_vectors(df.limit(0), hashed_trigrams).count() == 0
+
+
+def test_chunks_wait_for_vectors_without_their_documents(spark, sf):
+    plan = QUERIES["i13_hybrid_embedded"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "EvalPython" in line and "_w#" in line]
+
+
 def test_domains(spark, monkeypatch):
     monkeypatch.setattr(D, "REGISTRY", dict(D.REGISTRY))
     mine = D.register(D.Domain("mine", ("a",), {"rows": lambda df: df.agg(F.count("*").alias("n"))}))
