@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import keyword as W
 from tidewell.sources import versions as V
@@ -90,6 +91,14 @@ def test_kept_index(spark, tmp_path):
     assert index.postings.count() == W.live_postings(index).count() == W.places_of(frame(spark, now)).count()
 
 
+def test_postings_stay_with_their_chunk(spark, tmp_path):
+    texts = {f"c{i:02d}": f"w{i} w{i + 1} the end of v{i % 7}" for i in range(60)}
+    W.build_index(spark, f"{tmp_path}/i", frame(spark, texts).repartition(3))
+    postings = W.open_index(spark, f"{tmp_path}/i").postings.withColumn("file", F.input_file_name())
+    assert postings.select("file").distinct().count() == 3
+    assert postings.groupBy("chunk_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").isEmpty()
+
+
 def test_a_load_that_holds_an_id_twice(spark, tmp_path):
     twice = spark.createDataFrame([("a", "one two"), ("a", "three"), ("b", "one")], "chunk_id string, text string")
     W.build_index(spark, f"{tmp_path}/i", twice)
