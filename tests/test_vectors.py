@@ -47,6 +47,35 @@ def test_odd_vectors(spark):
     assert X.vector_top_n(q, v.limit(0), 3).count() == 0 and X.vector_top_n(q.limit(0), v, 3).count() == 0
 
 
+def test_a_task_holds_few_distances_at_once(spark, monkeypatch):
+    whole = X._distances
+
+    def few(q, x, metric):
+        assert len(q) * len(x) <= 64 * 4096
+        return whole(q, x, metric)
+
+    monkeypatch.setattr(X, "_distances", few)
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(5000, 4)), rng.normal(size=(600, 4))
+    assert got(X.vector_top_n(table(spark, q, "query_id", "qvec").coalesce(1), table(spark, x, "chunk_id", "embedding").coalesce(1), 3)) == exact(q, x, 3, "cosine")
+
+
+@pytest.mark.parametrize("waiting", [0, 2000, 32 << 20])
+def test_packing_holds_few_vectors_of_many_lists(spark, monkeypatch, waiting):
+    monkeypatch.setattr(X, "WAITING", waiting, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=2 + i % 2)], int(rng.integers(100))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, list int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        blocks = X.packed(df, "chunk_id", "embedding", 10, "ids", "m", keep="list").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unpacked = [(i, [float(v) for v in m], b.list) for b in blocks for i, m in zip(b.ids, np.frombuffer(b.m).reshape(-1, b.dim), strict=True)]
+    assert sorted(unpacked) == rows and max(len(b.ids) for b in blocks) < 20
+    assert (len(blocks) > 800) == (waiting < 32 << 20)
+
+
 @pytest.mark.parametrize("scale", [1.0, 3.0, 100.0])
 def test_lists_keep_their_promise_at_any_scale(spark, tmp_path, scale):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
