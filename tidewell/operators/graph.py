@@ -27,10 +27,14 @@ def _edge(src: Column, dst: Column, rel: str, meta: Column | None = None) -> Col
     return F.struct(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), (F.lit("{}") if meta is None else meta).alias("meta"))
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.coalesce("issue_key", F.lit("")) != "").withColumn("issue_key", F.upper("issue_key"))
+
+
 def issue_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of issue rows: issue_key, project, title, status, assignee, reporter, labels ARRAY, links
     ARRAY<STRUCT<key, rel>>, created_at, position. A missing project is the key's own prefix. Nodes keep position."""
-    d = docs.filter(F.coalesce("issue_key", F.lit("")) != "").withColumn("issue_key", F.upper("issue_key"))
+    d = _with_key(docs)
     d = d.withColumn("project", F.upper(F.coalesce(F.nullif("project", F.lit("")), F.get(F.split("issue_key", "-"), F.lit(0)))))
     me, project = F.concat(F.lit("issue:"), "issue_key"), F.concat(F.lit("project:"), "project")
     person = lambda c: F.concat(F.lit("person:"), F.trim(F.col(c)))
@@ -51,6 +55,14 @@ def issue_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.select("position", F.explode(nodes).alias("n")).select("n.*", "position"), d.select("position", F.explode(edges).alias("e")).select("e.*", "position")
 
 
+def link_graph(docs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of `issue_graph` that are issues and links between them, which is all that neighbours need: without
+    meta, of issue rows (issue_key, title, position) and link rows (issue_key, key). Nodes keep position."""
+    me, issue = F.concat(F.lit("issue:"), "issue_key"), F.lit("issue").alias("type")
+    nodes = _with_key(docs).select(me.alias("id"), issue, F.coalesce("title", "issue_key").alias("label"), "position")
+    return nodes, _with_key(links).select(me.alias("src"), F.concat(F.lit("issue:"), F.upper("key")).alias("dst"), F.lit("LINKS_TO").alias("rel"))
+
+
 def merge_nodes(nodes: DataFrame) -> DataFrame:
     """One row an id: the last by position for issues, the first for others."""
     order = F.struct(F.when(F.col("type") == "issue", -F.col("position")).otherwise(F.col("position")).alias("at"), "type", "label")
@@ -67,7 +79,7 @@ def placeholder_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` and a bare issue node for each link's target that isn't there."""
     gone = edges.filter("rel = 'LINKS_TO'").select(F.col("dst").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
     bare = gone.select("id", F.lit("issue").alias("type"), F.regexp_replace("id", "^issue:", "").alias("label"), F.lit('{"placeholder":true}').alias("meta"))
-    return nodes.unionByName(bare)
+    return nodes.unionByName(bare.select(nodes.columns))
 
 
 def replace_types(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -95,17 +107,26 @@ def issues_with_edge(issues: DataFrame, edges: DataFrame, rels: list[str], dst:
     return issues.join(edges.filter(F.col("rel").isin(rels) & (F.col("dst") == dst)).select(F.col("src").alias("id")), "id", "left_semi")
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, id, label, rel, meta of nodes linked with ``keys`` (column key), in both directions, once each."""
-    links = edges.filter("rel = 'LINKS_TO'")
-    out = links.join(keys, links["src"] == keys["key"]).select("key", F.col("dst").alias("id"), "meta")
-    back = links.join(keys, links["dst"] == keys["key"]).select("key", F.col("src").alias("id"), "meta")
-    return out.union(back).distinct().join(nodes.select("id", "label"), "id")
+def neighbours(edges: DataFrame, nodes: DataFrame, keys: DataFrame, meta: bool = True) -> DataFrame:
+    """key, id, label, and a link's meta, of nodes linked with ``keys`` (column key), in both directions, once each; without
+    ``meta`` a key has a node once, however many links there are.
+
+    Links are made once, and distinct by both ends, so neither a key nor a node of many links is one task; the ends then
+    change places."""
+    more = ["meta"] if meta else []
+    links = edges.filter("rel = 'LINKS_TO' AND src IS NOT NULL AND dst IS NOT NULL")
+    pairs = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), *more).distinct()
+    way = lambda key, id_: F.struct(F.col(key).alias("key"), F.col(id_).alias("id"))
+    ways = pairs.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))).alias("w"), *more)
+    # ids have long beginnings in common, so that sorts for joins compare them whole; hashes come first
+    hashed = lambda df, c: df.withColumn("_h", F.xxhash64(c))
+    found = hashed(ways.select("w.*", *more), "key").join(hashed(keys, "key"), ["_h", "key"], "left_semi")
+    return hashed(found, "id").join(hashed(nodes.select("id", "label"), "id"), ["_h", "id"]).select("id", "key", *more, "label")
 
 
 def linked_issues(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     one = nodes.sparkSession.createDataFrame([(f"issue:{key}",)], "key string")
-    return neighbours(edges, nodes, one)
+    return neighbours(edges, nodes, one, meta=False)
 
 
 def link_mentions(nodes: DataFrame, entities: DataFrame, most: int = NAMES) -> DataFrame:
