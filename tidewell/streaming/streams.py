@@ -246,28 +246,88 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-class _Turns(_Quiet):
+#: Parts that sessions are dealt to by a hash, groups of sessions in a part whose state is one value, and how often a part
+#: is looked through for ended sessions in the time that a session is kept.
+PARTS, GROUPS, SWEEPS = 1024, 256, 8
+
+
+class _Turns(StatefulProcessor):
+    """Turns so far, and the time when it ends, of each session of a part, kept by groups. Ended ones go when their group
+    is written, or when the part is looked through; one that is still there counts as gone."""
+
     def __init__(self, quiet_ms: int) -> None:
-        self.quiet = quiet_ms
+        self.quiet, self.step = quiet_ms, max(1, quiet_ms // SWEEPS)
 
-    def open(self, handle: StatefulProcessorHandle):
-        return handle.getValueState("count", "n long")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.groups = handle.getMapState("groups", "in_group int", "names array<string>, n array<long>, until array<long>")
+        self.sweep = handle.getValueState("sweep", "ms long")  # there as long as the part has sessions
+
+    def _sweep_after(self, until: int, old: tuple | None) -> None:
+        ms = (until // self.step + 1) * self.step
+        if old is None or ms < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self.handle.registerTimer(ms)
+            self.sweep.update((ms,))
+
+    def _put(self, group: int, kept: dict) -> None:
+        turns, until = zip(*kept.values(), strict=True)
+        self.groups.updateValue((group,), (list(kept), list(turns), list(until)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, ids = _columns(rows, "created_at", "id")
-        n = self.values.get()[0] if self.values.exists() else 0
-        self.values.update((n + len(ids),))
-        self.renew(int(at.max()) // 1000 + self.quiet)
-        yield pd.DataFrame({"session_id": key[0], "id": ids[np.lexsort((ids, at))], "turn_index": range(n, n + len(ids))})
+        at, ids, names, groups = _columns(rows, "created_at", "id", "session_id", "in_group")
+        codes, sessions = pd.factorize(names, use_na_sentinel=False)
+        order, counts = np.lexsort((ids, at, codes)), np.bincount(codes)
+        ends, first = np.cumsum(counts), np.zeros(len(counts), dtype=np.int64)
+        until, own = (at[order][ends - 1] // 1000 + self.quiet).tolist(), groups[order][ends - 1]
+        old, mark = self.sweep.get(), timerValues.getCurrentWatermarkInMs()
+        members = np.argsort(own, kind="stable")
+        for some in np.split(members, np.flatnonzero(np.diff(own[members])) + 1):
+            group = int(own[some[0]])
+            held = old and self.groups.getValue((group,))
+            kept = {x: (n, t) for x, n, t in zip(*held, strict=True) if t >= mark} if held else {}
+            for i in some.tolist():
+                name = sessions[i] if isinstance(sessions[i], str) else None
+                first[i], t = kept.get(name, (0, until[i]))
+                kept[name] = int(first[i] + counts[i]), max(t, until[i])
+            self._put(group, kept)
+        self._sweep_after(min(until), old)
+        turns = np.arange(len(ids)) - np.repeat(ends - counts - first, counts)
+        yield pd.DataFrame({"session_id": names[order], "id": ids[order], "turn_index": turns})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, fewer, least = timerValues.getCurrentWatermarkInMs(), {}, []
+        for (group,), held in self.groups.iterator():
+            kept = {x: (n, t) for x, n, t in zip(*held, strict=True) if t >= mark}
+            if len(kept) < len(held[0]):
+                fewer[group] = kept
+            least.extend(sorted(t for _, t in kept.values())[:1])
+        for group, kept in fewer.items():
+            if kept:
+                self._put(group, kept)
+            else:
+                self.groups.removeKey((group,))
+        self.sweep.clear()
+        if least:
+            self._sweep_after(min(least), None)
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
-def turn_counter(stream: DataFrame, quiet_ms: int = QUIET_MS, delay: str = "1 day") -> DataFrame:
+def turn_counter(stream: DataFrame, quiet_ms: int = QUIET_MS, delay: str = "1 day", parts: int = PARTS) -> DataFrame:
     """session_id, id, turn_index (from 0) in order of arrival, and of time (created_at, microseconds) within a batch. Turns
     that come more than ``delay`` late are dropped. State: two numbers for each session with a turn within ``quiet_ms``
-    and ``delay`` before the newest turn of all; a later turn is number 0 again."""
+    (an eighth more at most) and ``delay`` before the newest turn of all; a later turn is number 0 again. Python takes a
+    part of the sessions at a time, as a call for each session costs more than its turns; a part's rows of one batch are
+    held, so a source's limit on a batch bounds the memory. ``parts`` can't be changed for a checkpoint that is there."""
     _with_own_state(stream.sparkSession)
     timed = stream.select("session_id", "id", "created_at", F.timestamp_micros("created_at").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("session_id").transformWithStateInPandas(_Turns(quiet_ms), "session_id string, id long, turn_index long", "append", "eventtime")
+    code = F.xxhash64("session_id")
+    dealt = timed.withColumn("part", F.pmod(code, F.lit(parts))).withColumn("in_group", F.pmod(F.shiftright(code, 32), F.lit(GROUPS)).cast("int"))
+    return dealt.groupBy("part").transformWithStateInPandas(_Turns(quiet_ms), "session_id string, id long, turn_index long", "append", "eventtime")
 
 
 class LateRows(StreamingQueryListener):
