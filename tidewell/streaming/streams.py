@@ -25,11 +25,12 @@ from ..operators.insight import anomalies
 from ..sources.files import DOCUMENT
 
 
-def ingest_stream(spark: SparkSession, path: str, checkpoint: str, put: Callable[[DataFrame, int], None], size: int = 100, overlap: int = 20) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, path: str, checkpoint: str, put: Callable[[DataFrame, int], None], size: int = 100, overlap: int = 20, empty: bool = False) -> StreamingQuery:
     """Reads new JSON files of documents below ``path``, chunks them, and gives each batch of chunks to ``put``, which
-    has to be safe to run twice (an upsert is). Ends when all files are read; the next start goes on from there."""
+    has to be safe to run twice (an upsert is). Ends when all files are read; the next start goes on from there. With
+    ``empty`` a document without words comes as one empty chunk."""
     docs = spark.readStream.schema(DOCUMENT).json(path).filter("id IS NOT NULL AND content IS NOT NULL")
-    chunks = chunk_words(docs, size, overlap)
+    chunks = chunk_words(docs, size, overlap, empty=empty)
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
