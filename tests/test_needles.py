@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidewell.operators import graph as G
 from tidewell.operators import needles as N
 from tidewell.operators import retrieval as R
@@ -57,3 +59,12 @@ def test_mentions_of_a_frequent_alias_meet_in_parts(spark, monkeypatch):
     got = [(r.src, r.dst) for r in G.link_mentions(nodes, spark.createDataFrame(names, "name string, alias string")).collect()]
     want = {(d, f"entity:{n}") for d, _, label in map(tuple, nodes.collect()) for n, a in names if a.lower() in label.lower()}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_pairs_are_made_in_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART", (5, 10))
+    monkeypatch.setattr(G, "PAIRS", 200, raising=False)
+    nodes = spark.createDataFrame([(f"d{i}", "doc", "so red") for i in range(100)], "id string, type string, label string")
+    pairs = G.link_mentions(nodes, spark.createDataFrame([(f"n{i}", "red") for i in range(60)], "name string, alias string"))
+    made = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(made) == pairs.distinct().count() == 6000 and max(made) < 1500
